@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.encode import encoded
 from millrace.llm.pack import packed, token_sizes
 from millrace.llm.registry import query
+from millrace.llm.sentences import sentences
 from millrace.sources.tables import table
 
 CAPACITY = 2048
@@ -29,3 +30,8 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers by how full they are, in tenths of their capacity."""
     per = p9_packed(spark, folder).groupBy("container").agg(F.sum("size").alias("used"))
     return per.groupBy(F.floor(F.col("used") * 10 / CAPACITY).alias("tenths")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
+
+
+@query()
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(table(spark, folder, "documents"), "doc_id", "text")
