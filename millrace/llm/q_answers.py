@@ -1,4 +1,4 @@
-"""Query 7: answers that differ only in form."""
+"""Queries 6 and 7: defective responses, and answers that differ only in form."""
 
 from __future__ import annotations
 
@@ -6,9 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.format_dups import collapsed, duplicates
+from millrace.llm.pairs import defects
 from millrace.llm.registry import query
 from millrace.sources.tables import table
 
+
+@query()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return defects(table(spark, folder, "api_responses"), table(spark, folder, "api_requests"), "response_id", "request_id", "response", "prompt", "patch", "code")
+
+
 _SETS = r"""WITH f AS (
   SELECT answer_id, lower(upper(regexp_replace(resolved_version, '[^\pL\pN]+', '', 'g'))) AS body,
          list_sort(list_filter(list_transform(string_split(coalesce(model, ''), ','), lambda x: lower(upper(regexp_replace(x, '[^\pL\pN]+', '', 'g')))), lambda x: x <> '')) AS names
