@@ -17,12 +17,14 @@ The only shuffle is the join by request. Every batch is judged row by row in Arr
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
-import regex as re
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ NO_VALUE = set(
 MARKER = re.compile(r"[<{\[]{1,2}\|?\s*(/?)\s*([A-Za-z]+(?:_[A-Za-z]+)*)\s*/?\|?[>}\]]{1,2}")
 BLOCK_NAMES = {"patched_code", "code", "answer", "result", "output", "response", "solution", "resolved", "patch"}
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)[ \t]*([\w+#.\-]*)[ \t]*\r?$", re.M)
-INVISIBLE = re.compile(r"[\p{Cf}\p{Cc}\p{Z}\s️ㅤᅠ]+")
-WORDS = re.compile(r"[^\p{L}\p{N}]+")
+INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Z}\s️ㅤᅠ]+")
+WORDS = re.compile(r"[^\W_]+")
 LABEL_MOST = 16
 FEW = 12
 
@@ -80,20 +82,32 @@ VOTES: dict[str, list[str]] = {}
 for _lang, _words in FUNCTION.items():
     for _w in set(_words.split()):
         VOTES.setdefault(_w, []).append(_lang)
-HINTS = [("es", re.compile(r"[ñ¿¡]|ción\b|\w+[áéíóú]n\b")), ("pt", re.compile(r"[ãõ]|ção\b|\bções")), ("fr", re.compile(r"[èêûîœù]|\b[jldnsc]'[\p{L}]|\b(?:l|d|n|j|c|qu)’\p{L}")), ("de", re.compile(r"[äöüß]"))]
+HINTS = [
+    ("es", re.compile(r"[ñ¿¡]|ción\b|\w[áéíóú]n\b")),
+    ("pt", re.compile(r"[ãõ]|ção\b|\bções")),
+    ("fr", re.compile(r"[èêûîœù]|\b[jldnsc]['’][^\W\d_]|\bqu['’][^\W\d_]")),
+    ("de", re.compile(r"[äöüß]")),
+]
 
 # Names of languages in the languages of prompts.
 NAMES = {
-    "en": r"english|englisch\w*|anglais|inglés|inglês|по-английски|английск\w+|英文|英语|英語",
-    "de": r"german|deutsch\w*|allemand|alemán|alemão|по-немецки|немецк\w+|德文|德语|ドイツ語",
-    "fr": r"french|französisch\w*|français|francés|francês|по-французски|французск\w+|法文|法语|フランス語",
-    "es": r"spanish|spanisch\w*|espagnol|español|espanhol|по-испански|испанск\w+|西班牙文|西班牙语|スペイン語",
-    "pt": r"portuguese|portugiesisch\w*|portugais|portugués|português|по-португальски|португальск\w+|葡萄牙文|葡萄牙语|ポルトガル語",
-    "ru": r"russian|russisch\w*|russe|ruso|russo|по-русски|русск\w+|俄文|俄语|ロシア語",
-    "zh": r"chinese|chinesisch\w*|chinois|chino|chinês|по-китайски|китайск\w+|中文|汉语|中国語",
-    "ja": r"japanese|japanisch\w*|japonais|japonés|japonês|по-японски|японск\w+|日文|日语|日本語",
+    "en": "english englisch anglais inglés inglês по-английски английск 英文 英语 英語",
+    "de": "german deutsch allemand alemán alemão по-немецки немецк 德文 德语 ドイツ語",
+    "fr": "french französisch français francés francês по-французски французск 法文 法语 フランス語",
+    "es": "spanish spanisch espagnol español espanhol по-испански испанск 西班牙文 西班牙语 スペイン語",
+    "pt": "portuguese portugiesisch portugais portugués português по-португальски португальск 葡萄牙文 葡萄牙语 ポルトガル語",
+    "ru": "russian russisch russe ruso russo по-русски русск 俄文 俄语 ロシア語",
+    "zh": "chinese chinesisch chinois chino chinês по-китайски китайск 中文 汉语 中国語",
+    "ja": "japanese japanisch japonais japonés japonês по-японски японск 日文 日语 日本語",
 }
-ASKED = re.compile("|".join(f"(?P<{k}>(?<!\\p{{L}}{{2}}(?=[\\p{{Latin}}\\p{{Cyrillic}}]))(?:{v}))" for k, v in NAMES.items()), re.I)
+NAME_OF = {name: lang for lang, names in NAMES.items() for name in names.split()}
+WIDE_NAMES = [(name, lang) for name, lang in NAME_OF.items() if name[0] > "⺀"]
+TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+KANA, HAN, CYRILLIC, LATIN = (re.compile(x) for x in ("[぀-ヿ]", "[㐀-鿿]", "[Ѐ-ӿ]", "[A-Za-zÀ-ɏ]"))
+SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+TWO_LETTERS = re.compile(r"[^\W\d_]{2}")
+PARTIAL_END = re.compile(r"[<{\[]{1,2}\|?/?[a-z_]*\|?$|(?:^|\n)[ \t]*`{1,2}$")
+SPACES = re.compile(r"\s+")
 IDENTIFIER = re.compile(r"https?:[!-~]+|`[^`]*`|[A-Za-z0-9_.\-]*[_/][A-Za-z0-9_./\-]*[A-Za-z0-9_](?:\(\))?|[A-Za-z0-9_]+\(\)")
 
 CODE_LINE = re.compile(r"^(?:[ \t]*(?:static|struct|if \(|if\(|for \(|switch \(|int |u\d\d |return\b|goto |[{}]|/\*|\*/|#include|#define|//|break;|else\b|case )|\t+\S|[+\-@ ]?\t)|[;{}]\s*(?:/\*.*\*/)?\s*$|^[ \t]*\w+\([^)]*\);?\s*$")
@@ -103,30 +117,34 @@ SENTENCE_END = re.compile(r"[.!?…。！？।؟:：]['\"”’»“」』)\]
 def language(text: str) -> str | None:
     """The language of prose, or None if there is too little to tell."""
     text = IDENTIFIER.sub(" ", text)
-    kana, han, cyrillic = len(re.findall(r"[\p{Hiragana}\p{Katakana}]", text)), len(re.findall(r"\p{Han}", text)), len(re.findall(r"\p{Cyrillic}", text))
-    latin = len(re.findall(r"\p{Latin}", text))
-    if (kana + han) * 3 >= max(latin, cyrillic) and kana + han >= 2:
-        return "ja" if kana * 8 >= han else "zh"
-    if cyrillic > latin and cyrillic >= 4:
-        return "ru"
+    if not text.isascii():
+        kana, han, cyrillic, latin = (len(x.findall(text)) for x in (KANA, HAN, CYRILLIC, LATIN))
+        if (kana + han) * 3 >= max(latin, cyrillic) and kana + han >= 2:
+            return "ja" if kana * 8 >= han else "zh"
+        if cyrillic > latin and cyrillic >= 4:
+            return "ru"
+    text = text.lower()
     score: Counter[str] = Counter()
-    for w in re.findall(r"[\p{L}']+", text.lower()):
+    for w in SPOKEN.findall(text):
         for lang in VOTES.get(w, ()):
             score[lang] += 1 / len(VOTES[w])
     for lang, hint in HINTS:
-        score[lang] += 0.7 * min(4, len(hint.findall(text.lower())))
+        score[lang] += 0.7 * min(4, len(hint.findall(text)))
     (best, top), (_, second) = (score.most_common(2) + [("", 0.0), ("", 0.0)])[:2]
     return best if top >= 1 and top > 1.15 * second else None
 
 
+@lru_cache(maxsize=1024)
 def wanted(prompt: str) -> str | None:
     """The language that a prompt asks for, or else is written in."""
-    asked = [m.lastgroup for m in ASKED.finditer(IDENTIFIER.sub(" ", prompt))]
+    plain = IDENTIFIER.sub(" ", prompt.lower())
+    asked = [lang for w in TOKEN.findall(plain) for lang in (NAME_OF.get(w) or NAME_OF.get(w[:-1]) or NAME_OF.get(w[:-2]) or NAME_OF.get(w[:-3]),) if lang]
+    asked += [lang for name, lang in WIDE_NAMES if name in plain]
     return asked[-1] if asked else language(prompt)
 
 
 def letters(text: str) -> str:
-    return WORDS.sub("", text).lower()
+    return "".join(WORDS.findall(text)).lower()
 
 
 class Parts:
@@ -159,25 +177,36 @@ class Parts:
                 (code_lines if c else prose_lines).append(x)
         self.bare = code_lines
         self.blocks = [b for b in blocks if b.strip()]
-        block_lines = [x for b in self.blocks for x in b.splitlines() if x.strip()]
-        self.block_prose = [x for x in block_lines if not CODE_LINE.search(x) and re.search(r"\p{L}{2}", x)]
-        self.code = [x for x in block_lines if CODE_LINE.search(x)] + code_lines
         self.prose = "\n".join(prose_lines)
         self.content = "\n".join([*prose, *blocks])
 
+    def has_code(self, least: int = 2) -> bool:
+        """At least so many lines of code."""
+        n = len(self.bare)
+        for b in self.blocks:
+            for x in b.splitlines():
+                n += bool(x.strip() and CODE_LINE.search(x))
+                if n >= least:
+                    return True
+        return n >= least
+
+    def block_prose(self) -> list[str]:
+        return [x for b in self.blocks for x in b.splitlines() if not CODE_LINE.search(x) and TWO_LETTERS.search(x)]
+
 
 def own_prose(prose: str, prompt: str) -> str:
     """The prose without the lines that repeat the prompt."""
-    asked = letters(prompt)
-    return "\n".join(x for x in prose.splitlines() if letters(x) not in asked)
+    return "\n".join(x for x in prose.splitlines() if x.strip() not in prompt)
 
 
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
+    if len(text) > 400 and len(WORDS.findall(text)) > 50:
+        return False
     bare = FENCE.sub(" ", MARKER.sub(" ", text))
-    bare = WORDS.sub("", INVISIBLE.sub("", bare)).lower()
-    return not bare or (bare in NO_VALUE and len(text) < 200)
+    bare = letters(INVISIBLE.sub("", bare))
+    return not bare or bare in NO_VALUE
 
 
 def _near(a: str, b: str) -> bool:
@@ -203,7 +232,9 @@ def is_copy(content: str, prompt: str, patch: str, code: str) -> bool:
     if len(source) < 16:
         return letters(content) == letters(prompt) != ""
     packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(source, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **_FAST)
-    new = min(len(packer.compress(text)), len(packer.compress(content.strip().lower().encode())))
+    new = len(packer.compress(text))
+    if content.isupper():
+        new = min(new, len(packer.compress(content.strip().lower().encode())))
     if new > 48 + len(text) // 8:
         return False
     rest, found = letters(content), False
@@ -231,13 +262,13 @@ def is_truncated(parts: Parts, code: str) -> bool:
     if parts.open:
         return True
     tail = MARKER.sub("", parts.text).rstrip() if not parts.last_is_block else ""
-    if re.search(r"[<{\[]{1,2}\|?/?[a-z_]*\|?$|(?:^|\n)[ \t]*`{1,2}$", parts.text.rstrip()) and not parts.last_is_block:
+    if not parts.last_is_block and PARTIAL_END.search(parts.text.rstrip()[-40:]):
         return True
     last = [x for x in tail.splitlines() if x.strip()][-1:]
     if last and not CODE_LINE.search(last[0]):
         return not SENTENCE_END.search(last[0].rstrip().rstrip("​﻿*_"))
     body = [x for b in parts.blocks for x in b.splitlines() if x.strip()] or parts.bare
-    if not body or not parts.code:
+    if not body or not parts.has_code(1):
         return False
     whole = [x for x in code.splitlines() if x.strip()]
     return bool(whole) and whole[-1].strip() == "}" and body[-1].strip() != "}" and body[-1].strip() not in {x.strip() for x in whole[-2:]}
@@ -250,9 +281,10 @@ def defect(response: str | None, prompt: str | None, patch: str | None, code: st
     parts = Parts(response)
     if is_copy(parts.content, prompt, patch, code):
         return "copy"
-    said = "\n".join([parts.prose, *parts.block_prose])
-    if len(parts.code) < 2 and REFUSAL.search(IDENTIFIER.sub("x", re.sub(r"\s+", " ", said.replace("’", "'")))):
-        return "refusal"
+    if not parts.has_code():
+        said = "\n".join([parts.prose, *parts.block_prose()])
+        if REFUSAL.search(IDENTIFIER.sub("x", SPACES.sub(" ", said.replace("’", "'")))):
+            return "refusal"
     if is_truncated(parts, code):
         return "truncated"
     spoken, asked = language(own_prose(parts.prose, prompt)), wanted(prompt)
