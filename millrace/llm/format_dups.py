@@ -9,7 +9,7 @@ least identifier and the number of copies.
 
 Level counts are combined on the map side. At most ``rows / fits`` prefixes can be oversized at a level, and ``fits``
 is at least ``rows / MOST_SPLITS``, so the list of oversized prefixes that is broadcast has at most ``MOST_SPLITS``
-rows at any size of the table.
+rows of fixed width at any size of the table.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ NOT_KEPT = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Letters and digits of ``text`` in order, without case."""
-    return F.lower(F.upper(F.regexp_replace(text, NOT_KEPT, "")))
+    """Letters and digits of ``text`` in order, without case (sharp s counts as ss)."""
+    kept = F.regexp_replace(F.regexp_replace(text, NOT_KEPT, ""), "[ßẞ]", "ss")
+    return F.lower(F.upper(kept))
 
 
 def canonical_list(text: Column, separator: str = ",") -> Column:
@@ -90,37 +91,37 @@ def members(df: DataFrame, item: str, text: str, lists: Sequence[str] = ()) -> D
     keys = materialize(keyed(df, item, text, lists), "forms")
     total = keys.count()
     fits = max(LEAST_FIT, -(-total // MOST_SPLITS))
-    depth = 0
-    splits: list[DataFrame] = []
-    open_rows = keys
+    splits: list[tuple[int, DataFrame]] = []
+    depth, open_rows = STEP, keys
     while total > fits:
-        depth += STEP
-        prefix = F.substring("form", 1, depth)
-        level = open_rows.groupBy(prefix.alias("prefix")).agg(
-            F.count("*").alias("n"), F.min("id").alias("kept"), *(f(F.xxhash64("form", F.lit(seed))).alias(f"{f.__name__}{seed}") for seed in (1, 2) for f in (F.min, F.max))
+        level = open_rows.groupBy(_prefix(depth).alias("prefix")).agg(
+            F.count("*").alias("n"), F.min("id").alias("least"), *(f(F.xxhash64("form", F.lit(seed))).alias(f"{f.__name__}{seed}") for seed in (1, 2) for f in (F.min, F.max))
         )
-        large = materialize(level.where(F.col("n") > fits).withColumn("same", (F.col("min1") == F.col("max1")) & (F.col("min2") == F.col("max2"))).select("prefix", "n", "kept", "same"), "level")
-        state = {r["same"]: r["c"] for r in large.groupBy("same").agg(F.count("*").alias("c")).collect()}  # two rows at most
-        splits.append(large)
-        if not state.get(False):
+        same = (F.col("min1") == F.col("max1")) & (F.col("min2") == F.col("max2"))
+        large = materialize(level.where(F.col("n") > fits).select("prefix", "least", same.alias("same")), "level")
+        splits.append((depth, large))
+        if not large.where("not same").limit(1).count():
             break
-        again = F.broadcast(large.where("not same").select("prefix"))
-        open_rows = open_rows.join(again, prefix == F.col("prefix"), "left_semi")
+        open_rows = open_rows.join(F.broadcast(large.where("not same").select("prefix")), _prefix(depth) == F.col("prefix"), "left_semi")
+        depth *= 2
     # each row's bucket is its shortest prefix that is not split; a settled prefix gives the kept identifier as well
-    rows = keys.select("id", "form", F.lit("").alias("bucket"), F.lit(total > fits).alias("open"), F.lit(None).cast("long").alias("kept"))
-    for at, large in enumerate(splits):
-        prefix = F.substring("form", 1, (at + 1) * STEP)
-        small = F.broadcast(large.select("prefix", F.col("kept").alias("least"), "same"))
-        met = rows.join(small, F.col("open") & (prefix == F.col("prefix")), "left")
+    rows = keys.select("id", "form", F.lit(None).cast("binary").alias("bucket"), F.lit(total > fits).alias("open"), F.lit(None).cast("long").alias("kept"))
+    for depth, large in splits:
+        met = rows.join(F.broadcast(large), F.col("open") & (_prefix(depth) == F.col("prefix")), "left")
         rows = met.select(
-            "id", "form", F.when(F.col("open"), prefix).otherwise(F.col("bucket")).alias("bucket"), (F.col("open") & F.coalesce(~F.col("same"), F.lit(False))).alias("open"), F.coalesce("kept", F.when(F.col("same"), F.col("least"))).alias("kept")
+            "id", "form", F.when(F.col("open"), _prefix(depth)).otherwise(F.col("bucket")).alias("bucket"), (F.col("open") & F.coalesce(~F.col("same"), F.lit(False))).alias("open"), F.coalesce("kept", F.when(F.col("same"), F.col("least"))).alias("kept")
         )
     hot = rows.where(F.col("kept").isNotNull()).select("kept", "id")
-    rest = rows.where(F.col("kept").isNull()).select("bucket", "id", "form")
+    rest = rows.where(F.col("kept").isNull()).select(F.coalesce("bucket", F.lit(b"")).alias("bucket"), "id", "form")
     walked = rest.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_walk, "kept long, id long")
     return walked.unionByName(hot)
 
 
+def _prefix(depth: int) -> Column:
+    """The first ``depth`` characters of a form, as a digest of 128 bits."""
+    return F.unhex(F.md5(F.substring("form", 1, depth)))
+
+
 def duplicates(df: DataFrame, item: str, text: str, lists: Sequence[str] = ()) -> DataFrame:
     """(``kept``, ``copy``): one row for each row that is a copy of one with a smaller identifier."""
     return members(df, item, text, lists).where(F.col("kept") != F.col("id")).select("kept", F.col("id").alias("copy"))

@@ -147,6 +147,14 @@ def letters(text: str) -> str:
     return "".join(WORDS.findall(text)).lower()
 
 
+def squashed(text: str) -> str:
+    """Without white space, and without the signs of quoted lines if all lines have them."""
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    if lines and all(x.startswith(">") for x in lines):
+        lines = [x[1:] for x in lines]
+    return "".join("".join(lines).split())
+
+
 class Parts:
     """A response in parts: prose outside of blocks, the blocks' contents, and what is open at the end."""
 
@@ -237,10 +245,11 @@ def is_copy(content: str, prompt: str, patch: str, code: str) -> bool:
         new = min(new, len(packer.compress(content.strip().lower().encode())))
     if new > 48 + len(text) // 8:
         return False
-    rest, found = letters(content), False
-    for piece in (letters(code), letters(patch)):
+    rest, found = squashed(content), False
+    for piece in (squashed(code), squashed(patch)):
         if len(piece) >= 20 and piece in rest:
-            rest, found = rest.replace(piece, "", 1), True
+            rest, found = rest.replace(piece, " ", 1), True
+    rest = letters(rest)
     asked = letters(prompt)
     if found and len(rest) <= LABEL_MOST:
         return True

@@ -17,8 +17,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SETS = r"""WITH f AS (
-  SELECT answer_id, lower(upper(regexp_replace(resolved_version, '[^\pL\pN]+', '', 'g'))) AS body,
-         list_sort(list_filter(list_transform(string_split(coalesce(model, ''), ','), lambda x: lower(upper(regexp_replace(x, '[^\pL\pN]+', '', 'g')))), lambda x: x <> '')) AS names
+  SELECT answer_id, lower(upper(regexp_replace(regexp_replace(resolved_version, '[^\pL\pN]+', '', 'g'), '[ßẞ]', 'ss', 'g'))) AS body,
+         list_sort(list_filter(list_transform(string_split(coalesce(model, ''), ','), lambda x: lower(upper(regexp_replace(regexp_replace(x, '[^\pL\pN]+', '', 'g'), '[ßẞ]', 'ss', 'g')))), lambda x: x <> '')) AS names
   FROM answers),
 s AS (SELECT answer_id, min(answer_id) OVER w AS kept_answer_id, count(*) OVER w AS copies FROM f WHERE body <> '' WINDOW w AS (PARTITION BY body, names))
 """
