@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scores import number, score_percent, usable
@@ -39,3 +41,57 @@ def model_stats(results: DataFrame) -> DataFrame:
         *scores,
         F.avg(usable(F.col("duration"))).alias("mean_duration"),
     )
+
+
+def name_matches(name: Column, pattern: str) -> Column:
+    """``pattern`` matches ``name`` from its first character on (not necessarily to the end)."""
+    return name.rlike(f"^(?:{pattern})")
+
+
+def any_of(results: DataFrame, key: str, flags: Sequence[str]) -> DataFrame:
+    """One row: the number of keys, and for each flag the share of keys with at least one row for which it holds."""
+    per_key = results.groupBy(key).agg(*(F.bool_or(F.coalesce(F.col(f), F.lit(False))).alias(f) for f in flags))
+    return per_key.agg(F.count("*").alias("entries"), *(ratio(F.col(f)).alias(f"any_{f}") for f in flags))
+
+
+def turned_true(first: DataFrame, second: DataFrame, key: str, flags: Sequence[str], row: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Keys whose rows are all false in all ``flags`` in ``first`` and all true in ``second``, with equally many rows.
+
+    Each gives one row: ``key`` and the ``row`` columns of the last of its rows in ``second`` by ``order``. A null flag is
+    neither true nor false.
+    """
+
+    def uniform(df: DataFrame, value: bool) -> Column:
+        holds = F.lit(True)
+        for f in flags:
+            holds = holds & F.coalesce(F.col(f) == value, F.lit(False))
+        return holds
+
+    a = first.groupBy(key).agg(F.count("*").alias("n"), F.bool_and(uniform(first, False)).alias("ok")).where("ok").select(key, "n")
+    last = F.max(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c).alias(f"r{i}") for i, c in enumerate(row)))).alias("last")
+    b = second.groupBy(key).agg(F.count("*").alias("n"), F.bool_and(uniform(second, True)).alias("ok"), last).where("ok")
+    return a.join(b, [key, "n"]).select(key, *(F.col(f"last.r{i}").alias(c) for i, c in enumerate(row)))
+
+
+def unfinished(items: DataFrame, done: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """Items with fewer rows in ``done`` than there are ``names``; rows with other names do not count, repeated rows do."""
+    wanted = names.select(name).distinct()
+    need = wanted.agg(F.count("*").alias("need"))
+    counts = done.join(wanted, name, "left_semi").groupBy(key).agg(F.count("*").alias("have"))
+    complete = counts.join(F.broadcast(need), F.col("have") >= F.col("need"))  # one row
+    return items.join(complete, key, "left_anti")
+
+
+def expand_counts(counts: DataFrame, n: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, numbered from 1."""
+    return counts.where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+
+
+def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that more than one row has, and how many."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+
+
+def leaderboard(stats: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Places by descending ``by`` columns, ties by name. ``stats`` is an aggregate with one row per name."""
+    return stats.withColumn("place", F.row_number().over(Window.orderBy(*(F.desc_nulls_last(c) for c in by), F.asc_nulls_last(name))))
