@@ -54,10 +54,10 @@ def any_of(results: DataFrame, key: str, flags: Sequence[str]) -> DataFrame:
     return per_key.agg(F.count("*").alias("entries"), *(ratio(F.col(f)).alias(f"any_{f}") for f in flags))
 
 
-def turned_true(first: DataFrame, second: DataFrame, key: str, flags: Sequence[str], row: Sequence[str], order: Sequence[str]) -> DataFrame:
+def turned_true(first: DataFrame, second: DataFrame, keys: Sequence[str], flags: Sequence[str], row: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keys whose rows are all false in all ``flags`` in ``first`` and all true in ``second``, with equally many rows.
 
-    Each gives one row: ``key`` and the ``row`` columns of the last of its rows in ``second`` by ``order``. A null flag is
+    Each gives one row: ``keys`` and the ``row`` columns of the last of its rows in ``second`` by ``order``. A null flag is
     neither true nor false.
     """
 
@@ -67,10 +67,10 @@ def turned_true(first: DataFrame, second: DataFrame, key: str, flags: Sequence[s
             holds = holds & F.coalesce(F.col(f) == value, F.lit(False))
         return holds
 
-    a = first.groupBy(key).agg(F.count("*").alias("n"), F.bool_and(uniform(first, False)).alias("ok")).where("ok").select(key, "n")
+    a = first.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and(uniform(first, False)).alias("ok")).where("ok").select(*keys, "n")
     last = F.max(F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c).alias(f"r{i}") for i, c in enumerate(row)))).alias("last")
-    b = second.groupBy(key).agg(F.count("*").alias("n"), F.bool_and(uniform(second, True)).alias("ok"), last).where("ok")
-    return a.join(b, [key, "n"]).select(key, *(F.col(f"last.r{i}").alias(c) for i, c in enumerate(row)))
+    b = second.groupBy(*keys).agg(F.count("*").alias("n"), F.bool_and(uniform(second, True)).alias("ok"), last).where("ok")
+    return a.join(b, [*keys, "n"]).select(*keys, *(F.col(f"last.r{i}").alias(c) for i, c in enumerate(row)))
 
 
 def unfinished(items: DataFrame, done: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:

@@ -58,7 +58,7 @@ def merged_labels(answers: DataFrame, keys: Sequence[str], label: str = "model",
 
     Names and bracket parts stand in the order of their first row.
     """
-    names = answers.select(*keys, F.explode(F.split(label, r"\s*,\s*")).alias("name"), F.col(order).alias("at")).where("name <> ''")
+    names = answers.select(*keys, F.explode(F.split(label, ",")).alias("name"), F.col(order).alias("at")).withColumn("name", F.trim("name")).where("name <> ''")
     first = names.groupBy(*keys, "name").agg(F.min("at").alias("at"))
     base, inside = split_label(F.col("name"))
     parts = first.select(*keys, base.alias("base"), inside.alias("inside"), "at")

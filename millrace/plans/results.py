@@ -64,13 +64,12 @@ def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(analytics.leaderboard(stats, [f"share_{f}" for f in _FLAGS], "model"))
 
 
-@query("""WITH a AS (SELECT entry_index, count(*) AS n FROM checkpoint_a GROUP BY entry_index HAVING bool_and(coalesce(NOT correct AND NOT correct_aligned AND NOT correct_stripped, false))),
-  b AS (SELECT entry_index, count(*) AS n, max_by(model, (recorded_at, model)) AS model, max(recorded_at) AS recorded_at FROM checkpoint_b GROUP BY entry_index
-        HAVING bool_and(coalesce(correct AND correct_aligned AND correct_stripped, false)))
-  SELECT entry_index, b.model, b.recorded_at FROM a JOIN b USING (entry_index, n)""")
+@query("""WITH a AS (SELECT entry_index, model, count(*) AS n FROM checkpoint_a GROUP BY ALL HAVING bool_and(coalesce(NOT correct, false))),
+  b AS (SELECT entry_index, model, count(*) AS n, max(recorded_at) AS recorded_at, max_by(duration, (recorded_at, duration)) AS duration FROM checkpoint_b GROUP BY ALL HAVING bool_and(coalesce(correct, false)))
+  SELECT entry_index, model, b.recorded_at, b.duration FROM a JOIN b USING (entry_index, model, n)""")
 def ckpt_diff(spark: SparkSession, folder: str) -> DataFrame:
     a, b = table(spark, folder, "checkpoint_a"), table(spark, folder, "checkpoint_b")
-    return analytics.turned_true(a, b, "entry_index", _FLAGS, ["model", "recorded_at"], ["recorded_at", "model"]).select("entry_index", "model", "recorded_at")
+    return analytics.turned_true(a, b, ["entry_index", "model"], ["correct"], ["recorded_at", "duration"], ["recorded_at", "duration"])
 
 
 _NAMES = "names AS (SELECT DISTINCT regexp_replace(endpoint_name, '\\s+$', '') AS model FROM endpoints)"
@@ -111,7 +110,7 @@ def outcome_tally(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(stats)
 
 
-@query("""SELECT entry_index, model, class, count(*) AS n, round(sum(logprob) * 100000)::BIGINT AS sum_logprob_e5 FROM (
+@query("""SELECT entry_index, model, class, count(*) AS n, sum(floor(logprob * 1000)::BIGINT)::BIGINT AS sum_e3 FROM (
   SELECT entry_index, model, logprob, unnest(['global'] || CASE WHEN correct_stripped THEN ['stripped'] ELSE ['incorrect'] END || CASE WHEN correct_aligned THEN ['aligned'] ELSE [] END || CASE WHEN correct THEN ['correct'] ELSE [] END) AS class
   FROM results WHERE logprob IS NOT NULL AND NOT isnan(logprob) AND NOT coalesce(error, false)) GROUP BY ALL""")
 def score_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,7 +120,7 @@ def score_classes(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.lit("global"), F.when(F.col("correct_stripped"), "stripped").otherwise("incorrect"), F.when(F.col("correct_aligned"), "aligned"), F.when(F.col("correct"), "correct"))
     )
     long = rows.select("entry_index", "model", "logprob", F.explode(classes).alias("class"))
-    return long.groupBy("entry_index", "model", "class").agg(F.count("*").alias("n"), F.round(F.sum("logprob") * 100000).cast("long").alias("sum_logprob_e5"))
+    return long.groupBy("entry_index", "model", "class").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("logprob") * 1000)).alias("sum_e3"))
 
 
 @query("""SELECT r.patch_commit_hash AS hash, count(DISTINCT r.entry_index) AS entries, count(*) AS answers, max(e.filename) AS filename
