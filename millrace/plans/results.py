@@ -9,7 +9,7 @@ from millrace.operators import analytics
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
-_SCORE = "100 * least(greatest(pow(1e6, {}), 0), 1)"
+_SCORE = "CASE WHEN {0} IS NOT NULL THEN 100 * least(greatest(pow(1e6, {0}), 0), 1) END"
 _LP = "(CASE WHEN NOT isnan(logprob) THEN logprob END)"
 _WRONG = "(NOT coalesce(correct_stripped, false) AND NOT coalesce(error, false))"
 _STATS = ", ".join(
