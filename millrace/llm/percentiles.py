@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.storage import materialize
 
-HALVINGS = 4
+HALVINGS = 6
 BROADCAST_BYTES = 16 << 20
 ROW_BYTES = 160
 
