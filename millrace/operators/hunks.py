@@ -5,7 +5,7 @@ A diff's lines become rows with a running hunk number; sums over one diff's line
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import HUNK_HEADER, bare_lines
@@ -57,3 +57,72 @@ def neighbours(df: DataFrame, key: str, patch: str) -> DataFrame:
     rows = diff_lines(df, key, patch).where("hunk > 0").where(~F.col("line").rlike(HUNK_HEADER))
     rows = rows.withColumn("before", F.lag("line").over(w)).withColumn("behind", F.lead("line").over(w))
     return rows.where(F.col("line").startswith("+") | F.col("line").startswith("-"))
+
+
+def parts(df: DataFrame, key: str, patch: str, gap: int) -> DataFrame:
+    """Hunks split where at least ``gap`` unchanged lines stand between changes: (key, hunk, part, base_start, base_len,
+    remote_start, remote_len, body).
+
+    The unchanged lines between two parts belong to both. Hunks without a change have one part. Starts are those of
+    the header, moved on by the lines left out before the part.
+    """
+    rows = diff_lines(df, key, patch).where("hunk > 0")
+    head = rows.where(F.col("line").rlike(HUNK_HEADER)).select(key, "hunk", *(F.expr(f"cast(regexp_extract(line, r'{HUNK_HEADER}', {i}) as bigint)").alias(n) for i, n in ((1, "b0"), (3, "r0"))))
+    body = rows.where(~F.col("line").rlike(HUNK_HEADER) & ~F.col("line").startswith("\\"))
+    w = Window.partitionBy(key, "hunk").orderBy("pos")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    sign = F.substring("line", 1, 1)
+    changed = sign.isin("+", "-")
+    numbered = (
+        body.withColumn("base_before", F.coalesce(F.sum((sign != "+").cast("long")).over(before), F.lit(0)))
+        .withColumn("remote_before", F.coalesce(F.sum((sign != "-").cast("long")).over(before), F.lit(0)))
+        .withColumn("last", F.max(F.when(changed, F.col("pos"))).over(before))
+        .withColumn("next", F.min(F.when(changed, F.col("pos"))).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("starts", (changed & (F.col("last").isNull() | (F.col("pos") - F.col("last") > gap))).cast("int"))
+    )
+    # a line belongs to the part of the last change before it and, between far changes, to that of the next one too
+    own = numbered.withColumn("part", F.greatest(F.sum("starts").over(w), F.lit(1)))
+    wide = F.col("last").isNotNull() & F.col("next").isNotNull() & ~changed & (F.col("next") - F.col("last") > gap)
+    placed = own.withColumn("part", F.explode(F.when(wide, F.array("part", F.col("part") + 1)).otherwise(F.array("part"))))
+    grouped = placed.groupBy(key, "hunk", "part").agg(
+        F.min("base_before").alias("b1"), F.min("remote_before").alias("r1"), F.sum((sign != "+").cast("long")).alias("base_len"), F.sum((sign != "-").cast("long")).alias("remote_len"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("body")
+    )
+    out = grouped.join(head, [key, "hunk"])
+    return out.select(key, "hunk", F.col("part").cast("long").alias("part"), (F.col("b0") + F.col("b1")).alias("base_start"), "base_len", (F.col("r0") + F.col("r1")).alias("remote_start"), "remote_len", F.transform("body", lambda x: x["line"]).alias("body"))
+
+
+def coalesced(pieces: DataFrame, key: str) -> DataFrame:
+    """Pieces of a diff put together again where their base ranges overlap in equal unchanged lines.
+
+    (key, base_start, base_len, remote_start, remote_len, body, ok). A piece that overlaps the one before outside of
+    unchanged lines, by different numbers of lines on both sides, or with other text makes ``ok`` false and is not
+    joined; pieces without lines on a side are never joined. Pieces are folded in order of (base_start, remote_start); a
+    diff's pieces are at most as many as its lines.
+    """
+    fields = "base_start bigint, base_len bigint, remote_start bigint, remote_len bigint, body array<string>, ok boolean"
+    piece = F.struct("base_start", "remote_start", "base_len", "remote_len", "body")
+    ordered = pieces.groupBy(key).agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    context = lambda body, rev: F.array_position(F.transform(F.reverse(body) if rev else body, lambda x: ~x.startswith(" ")), True)
+    run = lambda body, rev: F.when(context(body, rev) > 0, context(body, rev) - 1).otherwise(F.size(body))
+    made = lambda b, bl, r, rl, body, ok: F.struct(b.alias("base_start"), bl.alias("base_len"), r.alias("remote_start"), rl.alias("remote_len"), body.alias("body"), ok.alias("ok"))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        n = F.greatest(last["base_start"] + last["base_len"] - x["base_start"], F.lit(0)).cast("int")
+        sides = (last["base_len"] > 0) & (last["remote_len"] > 0) & (x["base_len"] > 0) & (x["remote_len"] > 0)
+        meet = sides & ((n > 0) | ((last["remote_start"] < x["remote_start"] + x["remote_len"]) & (x["remote_start"] < last["remote_start"] + last["remote_len"])))
+        fits = (n > 0) & (last["remote_start"] + last["remote_len"] - x["remote_start"] == n) & (n <= run(last["body"], True)) & (n <= run(x["body"], False))
+        equal = F.slice(last["body"], F.greatest(F.size(last["body"]) - n + 1, F.lit(1)), n) == F.slice(x["body"], F.lit(1), n)
+        joined = made(last["base_start"], last["base_len"] + x["base_len"] - n, last["remote_start"], last["remote_len"] + x["remote_len"] - n, F.concat(last["body"], F.slice(x["body"], n + 1, F.size(x["body"]))), last["ok"])
+        alone = made(x["base_start"], x["base_len"], x["remote_start"], x["remote_len"], x["body"], ~meet)
+        first = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when((F.size(done) > 0) & meet & fits & equal, F.concat(first, F.array(joined))).otherwise(F.concat(done, F.array(F.when(F.size(done) > 0, alone).otherwise(made(x["base_start"], x["base_len"], x["remote_start"], x["remote_len"], x["body"], F.lit(True))))))
+
+    folded = ordered.select(key, F.explode(F.aggregate("p", F.array().cast(f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"), step)).alias("h"))
+    return folded.select(key, "h.*")
+
+
+def rendered(start: Column, length: Column, remote_start: Column, remote_length: Column, body: Column) -> Column:
+    """A hunk as text; a count of 1 is left out."""
+    span = lambda s, n: F.when(n == 1, s.cast("string")).otherwise(F.concat_ws(",", s.cast("string"), n.cast("string")))
+    return F.concat(F.lit("@@ -"), span(start, length), F.lit(" +"), span(remote_start, remote_length), F.lit(" @@\n"), F.array_join(body, "\n"), F.lit("\n"))

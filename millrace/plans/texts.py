@@ -184,3 +184,69 @@ def diff_attached(spark: SparkSession, folder: str) -> DataFrame:
     """A diff is of use if it names the file that the prompt is about."""
     path = F.regexp_extract("prompt", r"[a-z]+(?:/[a-z]+)+\.[A-Za-z]+", 0)
     return table(spark, folder, "api_requests").where("prompt is not null").select("request_id", (F.col("git_diff").isNotNull() & F.coalesce(F.col("git_diff").contains(path), F.lit(False)) & (path != "")).alias("attached"))
+
+
+_PARTS = rf"""{_LINES}, x AS (SELECT *, line[1] IN ('+', '-') AS changed FROM h WHERE hunk > 0 AND NOT regexp_matches(line, '{_HEAD}') AND NOT starts_with(line, chr(92))),
+  y AS (SELECT *, coalesce(sum((line[1] <> '+')::INT) OVER p, 0) AS bb, coalesce(sum((line[1] <> '-')::INT) OVER p, 0) AS rb, max(CASE WHEN changed THEN pos END) OVER p AS last, min(CASE WHEN changed THEN pos END) OVER f AS next FROM x
+    WINDOW p AS (PARTITION BY entry_index, hunk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY entry_index, hunk ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  z AS (SELECT *, greatest(sum((changed AND (last IS NULL OR pos - last > 2))::INT) OVER (PARTITION BY entry_index, hunk ORDER BY pos), 1) AS part FROM y),
+  w AS (SELECT * EXCLUDE (part), unnest(CASE WHEN last IS NOT NULL AND next IS NOT NULL AND NOT changed AND next - last > 2 THEN [part, part + 1] ELSE [part] END)::BIGINT AS part FROM z),
+  s AS (SELECT entry_index, hunk, regexp_extract(line, '{_HEAD}', 1)::BIGINT AS b0, regexp_extract(line, '{_HEAD}', 3)::BIGINT AS r0 FROM h WHERE regexp_matches(line, '{_HEAD}'))"""
+
+
+@query(rf"""WITH {_PARTS} SELECT entry_index, hunk, part, (b0 + min(bb))::BIGINT AS base_start, sum((line[1] <> '+')::INT)::BIGINT AS base_len, (r0 + min(rb))::BIGINT AS remote_start, sum((line[1] <> '-')::INT)::BIGINT AS remote_len, md5(string_agg(line, chr(10) ORDER BY pos)) AS body
+  FROM w JOIN s USING (entry_index, hunk) GROUP BY entry_index, hunk, part, b0, r0""")
+def hunk_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Hunks split where three or more unchanged lines stand between changes."""
+    rows = hunks.parts(table(spark, folder, "test_entries").where("patch is not null"), "entry_index", "patch", 2)
+    return rows.withColumn("body", F.md5(F.array_join("body", "\n")))
+
+
+@query(rf"""WITH {_PARTS} SELECT entry_index, b0 AS base_start, sum((line[1] <> '+')::INT)::BIGINT AS base_len, r0 AS remote_start, sum((line[1] <> '-')::INT)::BIGINT AS remote_len, md5(string_agg(line, chr(10) ORDER BY pos)) AS body, true AS ok FROM x JOIN s USING (entry_index, hunk) GROUP BY entry_index, hunk, b0, r0""")
+def hunk_coalesce(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts put together again: the hunks as they were."""
+    pieces = hunks.parts(table(spark, folder, "test_entries").where("patch is not null"), "entry_index", "patch", 2)
+    return hunks.coalesced(pieces, "entry_index").withColumn("body", F.md5(F.array_join("body", "\n")))
+
+
+@query(rf"""WITH {_PARTS}, q AS (SELECT entry_index, b0, sum((line[1] <> '+')::INT)::BIGINT AS bl, r0, sum((line[1] <> '-')::INT)::BIGINT AS rl, string_agg(line, chr(10) ORDER BY pos) AS body FROM x JOIN s USING (entry_index, hunk) GROUP BY entry_index, hunk, b0, r0)
+  SELECT entry_index, md5('@@ -' || b0 || CASE WHEN bl = 1 THEN '' ELSE ',' || bl END || ' +' || r0 || CASE WHEN rl = 1 THEN '' ELSE ',' || rl END || ' @@' || chr(10) || body || chr(10)) AS rendered FROM q""")
+def hunk_render(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hunk written anew from its lines."""
+    rows = hunks.parts(table(spark, folder, "test_entries").where("patch is not null"), "entry_index", "patch", 1_000_000)
+    return rows.select("entry_index", F.md5(hunks.rendered(*(F.col(c) for c in ("base_start", "base_len", "remote_start", "remote_len", "body")))).alias("rendered"))
+
+
+@query(r"""WITH s AS (SELECT entry_index, code AS a, patched_code AS b, regexp_replace(code, '[\t-\r \x{85}\pZ]+', '', 'g') AS sa, regexp_replace(patched_code, '[\t-\r \x{85}\pZ]+', '', 'g') AS sb FROM test_entries WHERE code IS NOT NULL AND patched_code IS NOT NULL)
+  SELECT entry_index, CASE WHEN a = b THEN 'identical' WHEN sa = sb THEN 'white_space' WHEN starts_with(b, a) OR ends_with(b, a) THEN 'extended' WHEN starts_with(a, b) OR ends_with(a, b) THEN 'cut' WHEN lower(sa) = lower(sb) THEN 'letter_case' ELSE 'changed' END AS rule FROM s""")
+def resolution_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rule of a cascade that tells how two sides differ."""
+    a, b = F.col("code"), F.col("patched_code")
+    sa, sb = tx.without_space(a), tx.without_space(b)
+    rule = (
+        F.when(a == b, "identical").when(sa == sb, "white_space").when(b.startswith(a) | b.endswith(a), "extended").when(a.startswith(b) | a.endswith(b), "cut").when(F.lower(sa) == F.lower(sb), "letter_case").otherwise("changed")
+    )
+    return table(spark, folder, "test_entries").where("code is not null and patched_code is not null").select("entry_index", rule.alias("rule"))
+
+
+@query(r"""WITH w AS (SELECT entry_index, list_distinct(regexp_extract_all(code, '[A-Za-z0-9_]+')) AS a, list_distinct(regexp_extract_all(patched_code, '[A-Za-z0-9_]+')) AS b FROM test_entries WHERE code IS NOT NULL AND patched_code IS NOT NULL)
+  SELECT entry_index, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS gone, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS new, len(list_filter(a, lambda x: list_contains(b, x))) AS kept FROM w""")
+def word_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct words that are gone, new and kept between two sides."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    rows = table(spark, folder, "test_entries").where("code is not null and patched_code is not null").select("entry_index", words("code").alias("a"), words("patched_code").alias("b"))
+    return rows.select("entry_index", F.size(F.array_except("a", "b")).alias("gone"), F.size(F.array_except("b", "a")).alias("new"), F.size(F.array_intersect("a", "b")).alias("kept"))
+
+
+@query(r"""SELECT request_id, replace(replace(rtrim(base64(unhex(sha256(coalesce(patch, '')))), '='), '+', '-'), '/', '_') AS short FROM api_requests""")
+def url_key(spark: SparkSession, folder: str) -> DataFrame:
+    """A content key in URL-safe base64 without padding."""
+    raw = F.base64(F.unhex(F.sha2(F.coalesce("patch", F.lit("")), 256)))
+    return table(spark, folder, "api_requests").select("request_id", F.rtrim(F.translate(raw, "+/", "-_"), F.lit("=")).alias("short"))
+
+
+@query("""SELECT request_id, unnest(range(0, 5)) AS attempt, unnest(list_transform(range(0, 5), lambda k: least(delay * pow(2, k), max_delay)::BIGINT)) AS wait FROM api_requests JOIN endpoints USING (endpoint_index)""")
+def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """The waits of five attempts of each request: doubled each time, up to the endpoint's longest."""
+    rows = table(spark, folder, "api_requests").select("request_id", "endpoint_index").join(table(spark, folder, "endpoints").select("endpoint_index", "delay", "max_delay"), "endpoint_index")
+    return rows.select("request_id", "delay", "max_delay", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("attempt")).select("request_id", "attempt", F.least(F.col("delay") * F.pow(F.lit(2), F.col("attempt")), F.col("max_delay")).cast("long").alias("wait"))

@@ -30,7 +30,3 @@ def total_counts(spark: SparkSession, out: str) -> DataFrame:
     """The sums over all batches."""
     return spark.read.parquet(out).groupBy("model", "run_day").agg(*(F.sum(c).alias(c) for c in ("answers", "n_correct", "n_error")))
 
-
-def day_windows(stream: DataFrame, delay: str = "3 days") -> DataFrame:
-    """Answers per day of recording, late rows within ``delay`` included; closed days come out once."""
-    return stream.withWatermark("recorded_at", delay).groupBy(F.window("recorded_at", "1 day")).agg(F.count("*").alias("answers"), F.count_if("correct").alias("n_correct"))

@@ -161,3 +161,58 @@ def test_registry(spark):
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names) and "model_stats" in names
     assert entry.entry(spark).count() > 0
+
+
+def patches():
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        text, base, remote = "", 3, 7
+        for _ in range(rng.randrange(1, 4)):
+            body = [rng.choice([" a", " b", " c", " d", "-x", "+y"]) for _ in range(rng.randrange(1, 25))]
+            nb, nr = sum(x[0] != "+" for x in body), sum(x[0] != "-" for x in body)
+            text += f"@@ -{base},{nb} +{remote},{nr} @@\n" + "".join(x + "\n" for x in body)
+            base, remote = base + nb + 30, remote + nr + 30
+        rows.append((i, text))
+    return rows
+
+
+def test_parts_split_at_wide_gaps(spark):
+    patch = "@@ -10,8 +10,9 @@\n a\n-b\n c1\n c2\n c3\n+d\n+e\n f\n g\n"
+    got = [tuple(r)[2:] for r in hunks.parts(spark.createDataFrame([(1, patch)], "id long, p string"), "id", "p", 2).orderBy("part").collect()]
+    assert got == [(1, 10, 5, 10, 4, [" a", "-b", " c1", " c2", " c3"]), (2, 12, 5, 11, 7, [" c1", " c2", " c3", "+d", "+e", " f", " g"])]
+
+
+@pytest.mark.parametrize("gap", [0, 1, 3])
+def test_coalescing_parts_gives_the_hunks_back(spark, gap):
+    rows = patches()
+    df = spark.createDataFrame(rows, "id long, p string")
+    whole = {(r["id"], r["base_start"]): r["body"] for r in hunks.parts(df, "id", "p", 10**6).collect()}
+    pieces = hunks.parts(df, "id", "p", gap)
+    back = hunks.coalesced(pieces, "id").collect()
+    assert pieces.count() > len(whole) and all(r["ok"] for r in back)
+    for r in back:
+        assert r["base_len"] == sum(x[0] != "+" for x in r["body"]) and r["remote_len"] == sum(x[0] != "-" for x in r["body"])
+    if gap:  # parts that share no line on a side stay apart
+        assert {(r["id"], r["base_start"]): r["body"] for r in back} == whole
+
+
+def test_coalescing_refuses_what_does_not_fit(spark):
+    schema = "id long, base_start long, base_len long, remote_start long, remote_len long, body array<string>"
+    fit = [(1, 1, 3, 1, 3, [" a", "-b", "+B", " c"]), (1, 3, 3, 3, 3, [" c", "-d", "+D", " e"])]
+    other_text = [(2, 1, 3, 1, 3, [" a", "-b", "+B", " c"]), (2, 3, 3, 3, 3, [" x", "-d", "+D", " e"])]
+    uneven = [(3, 1, 3, 1, 3, [" a", "-b", "+B", " c"]), (3, 3, 3, 2, 3, [" c", "-d", "+D", " e"])]
+    beyond = [(4, 1, 3, 1, 3, [" a", " c", "-b", "+B"]), (4, 3, 3, 3, 3, ["-b", "+D", " e", " f"])]
+    apart = [(5, 1, 2, 1, 2, [" a", "-b", "+B"]), (5, 3, 2, 3, 2, ["-d", "+D", " e"])]
+    got = {}
+    for r in hunks.coalesced(spark.createDataFrame(fit + other_text + uneven + beyond + apart, schema), "id").collect():
+        got.setdefault(r["id"], []).append((r["base_start"], r["base_len"], r["ok"]))
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 5, True)], **{k: [(1, 3, True), (3, 3, False)] for k in (2, 3, 4)}, 5: [(1, 2, True), (3, 2, True)]}
+
+
+def test_rendered_hunks_parse_back(spark):
+    df = spark.createDataFrame(patches(), "id long, p string")
+    cut = hunks.parts(df, "id", "p", 1)
+    text = cut.select("id", "part", "hunk", "base_start", hunks.rendered(*(F.col(c) for c in ("base_start", "base_len", "remote_start", "remote_len", "body"))).alias("p"))
+    again = hunks.hunks(text.withColumn("key", F.concat_ws("/", "id", "hunk", "part")).drop("hunk"), "key", "p").collect()
+    assert len(again) == cut.count() and all(r["valid"] for r in again)
