@@ -24,17 +24,13 @@ from millrace.storage import materialize
 
 WINDOW = 32
 CHUNK_BITS = 8
+WORK_BYTES = 4 << 20
 U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Positions in ``data`` (UTF-8 bytes of several texts) at which chunks start, text bounds included.
-
-    A chunk starts after every window of ``WINDOW`` bytes within a text whose hash has ``CHUNK_BITS`` zero bits at the
-    top, moved on to the next start of a character.
-    """
-    n = len(data)
+def _ends(data: np.ndarray) -> np.ndarray:
+    """Positions behind windows whose hash has the zero bits."""
     with np.errstate(over="ignore"):
         h = (data.astype(U) + U(1)) * U(0xBF58476D1CE4E5B9)
         h ^= h >> U(29)
@@ -43,7 +39,17 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             h[width:] = h[width:] + U(factor) * h[:-width]
             width, factor = width * 2, factor * factor % (1 << 64)
         h = (h ^ (h >> U(32))) * U(_STEP)
-    at = np.flatnonzero(h >> U(64 - CHUNK_BITS) == 0) + 1
+    return np.flatnonzero(h[WINDOW - 1 :] >> U(64 - CHUNK_BITS) == 0) + WINDOW
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Positions in ``data`` (UTF-8 bytes of several texts) at which chunks start, text bounds included.
+
+    A chunk starts after every window of ``WINDOW`` bytes within a text whose hash has ``CHUNK_BITS`` zero bits at the
+    top, moved on to the next start of a character.
+    """
+    n = len(data)
+    at = np.concatenate([_ends(data[max(0, a - WINDOW) : a + WORK_BYTES]) + max(0, a - WINDOW) for a in range(0, n, WORK_BYTES)] or [np.zeros(0, np.int64)])
     text = np.searchsorted(offsets, at, side="right") - 1
     at = at[(at < n) & (at - offsets[np.minimum(text, len(offsets) - 2)] >= WINDOW)]
     for _ in range(3):
