@@ -72,10 +72,10 @@ REFUSAL = re.compile(
 # Function words, by language.
 FUNCTION = {
     "en": "the and of to is was were in it its that this not with for as on by be are have has had you your i now here from which so but can any no he she they we be below above stays stayed more",
-    "de": "der die das und ist nicht mit ich hat haben den dem ein eine von zu auf nun hier da wie es war wird nur sonst beide beiden leider steht daher deshalb bitte im am zum zur für über unter vor nach auch noch den sich",
-    "fr": "le la les des et est pas pour je ne que qui dans un une du sur ce cette comme avec au aux nous reste avant désolé l'appel il fallait en tu vous donc par plus de c'est j'ai n'avait d'erreur",
-    "es": "el la los las y es no se que del un una por con para como he queda lo al aquí más ahora antes resto pide siento hacía así ambos gana de en su sigue no archivo está son hay",
-    "pt": "o os as e não se que do da dos um uma por com para como ao aqui mais agora antes resto pede desculpe foi preciso dois vence de em isso mantive passei pode no na nos nas você está são há",
+    "de": "der die das und ist nicht mit ich hat haben den dem ein eine von zu auf nun hier da wie es war wird nur sonst beide beiden leider steht daher deshalb bitte im am zum zur für über unter vor nach auch noch den sich nichts danach ohne sehr wenn dass kurz",
+    "fr": "le la les des et est pas pour je ne que qui dans un une du sur ce cette comme avec au aux nous reste avant désolé l'appel il fallait en tu vous donc par plus de c'est j'ai n'avait d'erreur après sans aussi très quand où rien dehors ensuite",
+    "es": "el la los las y es no se que del un una por con para como he queda lo al aquí más ahora antes resto pide siento hacía así ambos gana de en su sigue no archivo está son hay qué has ha después nada fuera sin sobre también muy otro otra esta esto cuando donde primeras están brevemente",
+    "pt": "o os as e não se que do da dos um uma por com para como ao aqui mais agora antes resto pede desculpe foi preciso dois vence de em isso mantive passei pode no na nos nas você está são há depois também muito outro outra esta isto quando onde fora nada sem sobre primeiras estão",
     "ru": "и в не на что как так это здесь был было с по для к из за я он она они мы то от же уже теперь перед того путь более",
 }
 VOTES: dict[str, list[str]] = {}
