@@ -7,12 +7,12 @@ A response is joined with the request it answers and judged by itself, in this o
   is new, its letters and digits are compared with theirs: the code and the patch must be there unchanged, the prompt
   give or take a few characters, and nothing else but a label.
 * ``refusal``: there is no code, and the prose says no by the refusal dictionary of its language.
-* ``truncated``: the state at the end (open fence, tag, bracket or function) and the last characters and word of the
-  prose are looked up in a model of terminal contexts: in which of them do responses end?
+* ``truncated``: a fence, tag or function is open at the end, or the prose ends in a context in which responses do not
+  end, by a model of terminal contexts counted over all responses before (:func:`terminal_ratios`).
 * ``language``: the prose is told by scripts and function words, and must be in the language that the prompt asks for,
   else in the prompt's own.
 
-The only shuffle is the join by request. Every batch is judged row by row in Arrow batches with the dictionaries below.
+Texts are shuffled once, in the join by request. Every batch is judged row by row in Arrow batches with the dictionaries below.
 """
 
 from __future__ import annotations
@@ -111,7 +111,12 @@ SPACES = re.compile(r"\s+")
 IDENTIFIER = re.compile(r"https?:[!-~]+|`[^`]*`|[A-Za-z0-9_.\-]*[_/][A-Za-z0-9_./\-]*[A-Za-z0-9_](?:\(\))?|[A-Za-z0-9_]+\(\)")
 
 CODE_LINE = re.compile(r"^(?:[ \t]*(?:static|struct|if \(|if\(|for \(|switch \(|int |u\d\d |return\b|goto |[{}]|/\*|\*/|#include|#define|//|break;|else\b|case )|\t+\S|[+\-@ ]?\t)|[;{}]\s*(?:/\*.*\*/)?\s*$|^[ \t]*\w+\([^)]*\);?\s*$")
-SENTENCE_END = re.compile(r"[.!?…。！？।؟:：]['\"”’»“」』)\]）】*_~`]*$")
+CLOSING = "'\"”’»“」』)]）】*_~`​﻿ \t\r"
+# Marks that end a sentence: the prior of the model of terminal contexts.
+FINAL_MARKS = ".!?…。！？।؟:："
+#: Weight of the prior in observations, the ratio below which a context is no place to end, and characters of prose that
+#: a response must have to count as an end (shorter ones are often no answers).
+PRIOR_WEIGHT, LEAST_RATIO, LEAST_PROSE = 2000.0, 0.5, 40
 
 
 def language(text: str) -> str | None:
@@ -266,7 +271,37 @@ def _labels(rest: str, asked: str) -> list[int]:
     return [at] if 0 < at <= LABEL_MOST else []
 
 
-def is_truncated(parts: Parts, code: str) -> bool:
+def terminal_ratios(responses: DataFrame, response: str) -> dict[str, float]:
+    """The model of terminal contexts: for each last sign of prose, how much more often responses end with it than words
+    within them do. All letters are one sign (L), and all digits (N). Counted over all rows; one number for each sign
+    that ends a response comes to the driver.
+    """
+    outside = F.regexp_replace(response, r"(?s)```.*?(?:```|\z)|[<{]{1,2}\|?patched_code.*?(?:/patched_code\|?[>}]{1,2}|\z)|<\|\w+\|>", "\n")
+    prose = F.regexp_replace(outside, r"(?m)^.*[;{}]\s*$|^[\t+\-@ ].*$|\(\)", "")
+    tail = F.when(F.length(F.btrim(prose)) < LEAST_PROSE, "").otherwise(F.regexp_extract(prose, r"([^\s'\"”’»“」』)\]）】*_~`])['\"”’»“」』)\]）】*_~`]*\s*\z", 1))
+    inner = F.regexp_extract_all(prose, F.lit(r"[^\s](?=\s+\S)|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}](?=\S)"), F.lit(0))
+    both = responses.where(F.col(response).isNotNull()).select(F.explode(F.concat(F.array(F.struct(tail.alias("c"), F.lit(1).alias("end"))), F.transform(inner, lambda c: F.struct(c.alias("c"), F.lit(0).alias("end"))))).alias("x"))
+    kind = F.regexp_replace(F.regexp_replace(F.col("x.c"), r"\p{L}", "L"), r"\p{N}", "N")
+    counts = both.where("x.c <> ''").groupBy(kind.alias("c")).agg(F.sum("x.end").alias("ends"), F.sum(1 - F.col("x.end")).alias("inner"))
+    total = counts.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("ends"), F.coalesce(F.sum("inner"), F.lit(0)).alias("inner")).first()
+    return {r["c"]: _ratio(r["c"], r["ends"], r["inner"], total["ends"], total["inner"]) for r in counts.where("ends > 0").collect()}
+
+
+def _ratio(c: str, ends: int, inner: int, all_ends: int, all_inner: int) -> float:
+    """(share of ends with ``c``) / (share of inner words with ``c``), drawn towards what is usual for marks and letters."""
+    p, q = (0.05, 0.005) if c in FINAL_MARKS else (0.0005, 0.01)
+    return ((ends + PRIOR_WEIGHT * p) / (all_ends + PRIOR_WEIGHT)) / ((inner + PRIOR_WEIGHT * q) / (all_inner + PRIOR_WEIGHT))
+
+
+def may_end(line: str, ratios: dict[str, float]) -> bool:
+    """Prose that ends with ``line`` may be whole."""
+    line = line.replace("()", "")
+    last = line.rstrip(CLOSING)[-1:] or line[-1:]
+    last = "L" if last.isalpha() else "N" if last.isnumeric() else last
+    return ratios.get(last, _ratio(last, 0, 0, 0, 0)) >= LEAST_RATIO
+
+
+def is_truncated(parts: Parts, code: str, ratios: dict[str, float]) -> bool:
     """The terminal context is not one in which a response ends."""
     if parts.open:
         return True
@@ -275,7 +310,7 @@ def is_truncated(parts: Parts, code: str) -> bool:
         return True
     last = [x for x in tail.splitlines() if x.strip()][-1:]
     if last and not CODE_LINE.search(last[0]):
-        return not SENTENCE_END.search(last[0].rstrip().rstrip("​﻿*_"))
+        return not may_end(last[0], ratios)
     body = [x for b in parts.blocks for x in b.splitlines() if x.strip()] or parts.bare
     if not body or not parts.has_code(1):
         return False
@@ -283,7 +318,8 @@ def is_truncated(parts: Parts, code: str) -> bool:
     return bool(whole) and whole[-1].strip() == "}" and body[-1].strip() != "}" and body[-1].strip() not in {x.strip() for x in whole[-2:]}
 
 
-def defect(response: str | None, prompt: str | None, patch: str | None, code: str | None) -> str | None:
+def defect(response: str | None, prompt: str | None, patch: str | None, code: str | None, ratios: dict[str, float] | None = None) -> str | None:
+    """The kind of defect; without ``ratios`` the terminal contexts are those of the prior."""
     if is_empty(response):
         return "empty"
     prompt, patch, code = prompt or "", patch or "", code or ""
@@ -294,7 +330,7 @@ def defect(response: str | None, prompt: str | None, patch: str | None, code: st
         said = "\n".join([parts.prose, *parts.block_prose()])
         if REFUSAL.search(IDENTIFIER.sub("x", SPACES.sub(" ", said.replace("’", "'")))):
             return "refusal"
-    if is_truncated(parts, code):
+    if is_truncated(parts, code, ratios or {}):
         return "truncated"
     spoken, asked = language(own_prose(parts.prose, prompt)), wanted(prompt)
     if spoken and asked and spoken != asked:
@@ -302,11 +338,14 @@ def defect(response: str | None, prompt: str | None, patch: str | None, code: st
     return None
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
-        kinds = pa.array([defect(*row) for row in rows], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), kinds], ["i", "d"])
+def _judge(ratios: dict[str, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            kinds = pa.array([defect(*row, ratios) for row in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), kinds], ["i", "d"])
+
+    return run
 
 
 def defects(responses: DataFrame, requests: DataFrame, item: str, key: str, response: str, prompt: str, patch: str, code: str) -> DataFrame:
@@ -319,5 +358,5 @@ def defects(responses: DataFrame, requests: DataFrame, item: str, key: str, resp
     left = responses.select(F.col(item).alias("i"), F.col(key).alias("k"), F.col(response).alias("r"))
     right = requests.select(F.col(key).alias("k"), F.col(prompt).alias("p"), F.col(patch).alias("x"), F.col(code).alias("c"))
     kind = dict(left.dtypes)["i"]
-    judged = left.join(right, "k", "left").select("i", "r", "p", "x", "c").mapInArrow(_judge, f"i {kind}, d string")
+    judged = left.join(right, "k", "left").select("i", "r", "p", "x", "c").mapInArrow(_judge(terminal_ratios(left, "r")), f"i {kind}, d string")
     return judged.where(F.col("d").isNotNull()).select(F.col("i").alias(item), F.col("d").alias("defect"))
