@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import analytics, diffs, hunks, intervals, state, validate
+from millrace.operators import analytics, diffs, graph, hunks, intervals, state, validate
 from millrace.streaming import results as streaming
 
 SCHEMA = "k string, i long, s long, e long"
@@ -216,3 +216,17 @@ def test_rendered_hunks_parse_back(spark):
     text = cut.select("id", "part", "hunk", "base_start", hunks.rendered(*(F.col(c) for c in ("base_start", "base_len", "remote_start", "remote_len", "body"))).alias("p"))
     again = hunks.hunks(text.withColumn("key", F.concat_ws("/", "id", "hunk", "part")).drop("hunk"), "key", "p").collect()
     assert len(again) == cut.count() and all(r["valid"] for r in again)
+
+
+def test_components(spark):
+    rng = random.Random(12)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)] + [(5, 5), (None, 3)]
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    df = spark.createDataFrame(links, "x long, y long")
+    assert {r["node"]: r["root"] for r in graph.components(df, "x", "y").collect()} == {n: find(n) for n in list(root)}
+    assert graph.components(df.limit(0), "x", "y").count() == 0
