@@ -1,13 +1,13 @@
 """Ranges [start, end) within a key (lines of a file): running offsets, islands, overlaps, invariants.
 
-A key may hold a third of all rows. Sums over a key's ranges are taken in two levels, within blocks of positions and
-over the blocks (:func:`running_sum`); overlaps are counted by sorted bounds instead of pairs; the join that does list
-pairs meets only in shared blocks of positions.
+A key may hold a third of all rows. Sums and islands over a key's ranges are taken in two levels, within blocks of
+positions and over the blocks; overlaps are counted by sorted bounds instead of pairs; the join that does list pairs
+meets only in shared blocks of positions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,29 +22,49 @@ def ranges_overlap(s1: Column, e1: Column, s2: Column, e2: Column, adjacent: boo
     return over | (e1 == s2) | (e2 == s1) if adjacent else over
 
 
-def running_sum(df: DataFrame, key: str, position: str, item: str, value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows of ``key`` before each row by (position, item).
+def _with_block_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with one row per (key, block); null keys and blocks match."""
+    a, b = rows.alias("a"), totals.alias("b")
+    same = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & F.col("a._block").eqNullSafe(F.col("b._block"))
+    return a.join(b, same).select("a.*", *(f"b.{c}" for c in totals.columns if c not in (key, "_block")))
+
 
-    ``item`` is unique within a key. Rows are ordered within blocks of ``BLOCK`` positions, and block totals are summed
-    over blocks, so no task sorts all rows of a key. Null positions come first.
+def running_sums(df: DataFrame, key: str, position: str, order: Sequence[str], values: Mapping[str, Column], block: int = BLOCK) -> DataFrame:
+    """``df`` with, by name, the sum of each value over the rows of ``key`` before each row by (position, order).
+
+    Rows are ordered within blocks of ``block`` positions, and block totals are summed over blocks, so no task sorts all
+    rows of a key. Null positions come first, null values count as 0.
     """
-    rows = df.withColumn("_v", F.coalesce(value, F.lit(0))).withColumn("_block", F.floor(F.col(position) / BLOCK))
-    inner = Window.partitionBy(key, "_block").orderBy(F.asc_nulls_first(position), item)
-    totals = rows.groupBy(key, "_block").agg(F.sum("_v").alias("_t"))
-    over = Window.partitionBy(key).orderBy(F.asc_nulls_first("_block"))
-    starts = totals.withColumn("_before", F.sum("_t").over(over) - F.col("_t")).drop("_t")
-    local = rows.withColumn("_local", F.sum("_v").over(inner) - F.col("_v"))
-    a, b = local.alias("a"), starts.alias("b")
-    same = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & F.col("a._block").eqNullSafe(F.col("b._block"))
-    return a.join(b, same).select(*(f"a.{c}" for c in df.columns), (F.col("a._local") + F.col("b._before")).alias(name))
+    rows = df.select("*", *(F.coalesce(v, F.lit(0)).alias(f"_v{i}") for i, v in enumerate(values.values()))).withColumn("_block", F.floor(F.col(position) / block))
+    before = Window.partitionBy(key, "_block").orderBy(F.asc_nulls_first(position), *order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(key).orderBy(F.asc_nulls_first("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = range(len(values))
+    totals = rows.groupBy(key, "_block").agg(*(F.sum(f"_v{i}").alias(f"_t{i}") for i in sums))
+    totals = totals.select(key, "_block", *(F.coalesce(F.sum(f"_t{i}").over(blocks), F.lit(0)).alias(f"_b{i}") for i in sums))
+    local = rows.select("*", *(F.coalesce(F.sum(f"_v{i}").over(before), F.lit(0)).alias(f"_l{i}") for i in sums))
+    return _with_block_totals(local, totals, key).select(*df.columns, *((F.col(f"_l{i}") + F.col(f"_b{i}")).alias(n) for i, n in enumerate(values)))
 
 
-def islands(df: DataFrame, key: str, start: str, end: str, gap: int = 0) -> DataFrame:
-    """(key, island, start, end, members): ranges joined while the next starts at most ``gap`` behind all before it."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = df.withColumn("_new", (reach.isNull() | (F.col(start) > reach + gap)).cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return opened.groupBy(key, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
+def running_sum(df: DataFrame, key: str, position: str, item: str, value: Column, name: str) -> DataFrame:
+    """One sum of :func:`running_sums`; ``item`` is unique within a key."""
+    return running_sums(df, key, position, [item], {name: value})
+
+
+def islands(df: DataFrame, key: str, start: str, end: str, gap: int = 0, block: int = BLOCK) -> DataFrame:
+    """(key, island, start, end, members): ranges joined while the next starts at most ``gap`` behind all before it.
+
+    Taken in two levels like the sums: the reach and the number of islands before a block come from block totals.
+    Islands of a key are numbered from 1. Ranges have no null bounds.
+    """
+    rows = df.select(key, start, end).withColumn("_block", F.floor(F.col(start) / block))
+    inside = Window.partitionBy(key, "_block").orderBy(start, end)
+    blocks = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(key, "_block").agg(F.max(end).alias("_m")).select(key, "_block", F.max("_m").over(blocks).alias("_earlier"))
+    reach = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_earlier"))
+    opened = _with_block_totals(rows, ends, key).withColumn("_new", (reach.isNull() | (F.col(start) > reach + gap)).cast("int")).drop("_earlier")
+    counts = opened.groupBy(key, "_block").agg(F.sum("_new").alias("_n")).select(key, "_block", F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias("_sofar"))
+    numbered = _with_block_totals(opened.withColumn("_here", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))), counts, key)
+    return numbered.groupBy(key, (F.col("_here") + F.col("_sofar")).alias("island")).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
 
 
 def overlap_counts(df: DataFrame, others: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
@@ -62,9 +82,8 @@ def overlap_counts(df: DataFrame, others: DataFrame, key: str, item: str, start:
         .unionByName(ask.select("k", F.col("e").alias("x"), F.lit(0).alias("o"), none.alias("starts"), none.alias("ends"), F.col("i").cast("long").alias("i"), one.alias("at_end")))
         .unionByName(ask.select("k", F.col("s").alias("x"), F.lit(2).alias("o"), none.alias("starts"), none.alias("ends"), F.col("i").cast("long").alias("i"), none.alias("at_end")))
     )
-    w = Window.partitionBy("k").orderBy("x", "o").rowsBetween(Window.unboundedPreceding, 0)
     # at an end: ranges that start before it (o = 0 sorts before starts at the same place); at a start: those that ended
-    seen = bounds.withColumn("n_starts", F.sum("starts").over(w)).withColumn("n_ends", F.sum("ends").over(w))
+    seen = running_sums(bounds, "k", "x", ["o"], {"n_starts": F.col("starts"), "n_ends": F.col("ends")})
     per = seen.where("i is not null").groupBy("k", "i").agg(F.max(F.when(F.col("at_end") == 1, F.col("n_starts"))).alias("a"), F.max(F.when(F.col("at_end") == 0, F.col("n_ends"))).alias("b"))
     return per.select(F.col("i").alias(item), (F.col("a") - F.col("b")).alias("overlaps"))
 
@@ -108,8 +127,8 @@ def sum_before(marks: DataFrame, ranges: DataFrame, key: str, item: str, positio
     """(item, total): for each mark the sum of ``value`` over the ranges of its key that end at or before it."""
     add = ranges.select(F.col(key).alias("k"), F.col(end).alias("x"), F.lit(0).alias("o"), value.cast("long").alias("v"), F.lit(None).cast("long").alias("i"))
     ask = marks.select(F.col(key).alias("k"), F.col(position).alias("x"), F.lit(1).alias("o"), F.lit(0).cast("long").alias("v"), F.col(item).cast("long").alias("i"))
-    w = Window.partitionBy("k").orderBy("x", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return add.unionByName(ask).withColumn("total", F.sum("v").over(w)).where("o = 1").select(F.col("i").alias(item), "total")
+    total = running_sums(add.unionByName(ask), "k", "x", ["o"], {"total": F.col("v")})
+    return total.where("o = 1").select(F.col("i").alias(item), "total")
 
 
 def violations(df: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
