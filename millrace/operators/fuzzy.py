@@ -42,3 +42,15 @@ def best_pair(lines: Column, head: Column, tail: Column) -> Column:
         return F.struct(head_now.alias("head"), F.when(acc["best"].isNull() | (pair < acc["best"]), pair).otherwise(acc["best"]).alias("best"))
 
     return F.aggregate(scored, start, step)["best"]
+
+
+def located_range(lines: Column, head: Column, tail: Column, most: float) -> Column:
+    """(first, last) position of the range between the lines nearest to ``head`` and to ``tail``.
+
+    Both are searched independently; if they cross, the best pair in order is taken. Null if one of the distances is
+    above ``most``, and for no elements.
+    """
+    a, b, pair = best_window(lines, head), best_window(lines, tail), best_pair(lines, head, tail)
+    free = F.struct(a["position"].alias("first"), b["position"].alias("last"))
+    tied = F.struct(pair["head"].alias("first"), pair["tail"].alias("last"))
+    return F.when((a["distance"] <= most) & (b["distance"] <= most), F.when(a["position"] <= b["position"], free).otherwise(tied))

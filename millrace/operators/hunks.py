@@ -126,3 +126,16 @@ def rendered(start: Column, length: Column, remote_start: Column, remote_length:
     """A hunk as text; a count of 1 is left out."""
     span = lambda s, n: F.when(n == 1, s.cast("string")).otherwise(F.concat_ws(",", s.cast("string"), n.cast("string")))
     return F.concat(F.lit("@@ -"), span(start, length), F.lit(" +"), span(remote_start, remote_length), F.lit(" @@\n"), F.array_join(body, "\n"), F.lit("\n"))
+
+
+def changes(pieces: DataFrame, key: str) -> DataFrame:
+    """The ranges of each piece without its outer unchanged lines: (key, hunk, part, base_first, base_count, remote_first,
+    remote_count). Without a change all lines are context before it."""
+    body = F.col("body")
+    flags = F.transform(body, lambda x: ~x.startswith(" "))
+    first, last = F.array_position(flags, True), F.array_position(F.reverse(flags), True)
+    before = F.when(first > 0, first - 1).otherwise(F.size(body))
+    behind = F.when(last > 0, last - 1).otherwise(F.lit(0))
+    return pieces.select(
+        key, "hunk", "part", (F.col("base_start") + before).alias("base_first"), (F.col("base_len") - before - behind).alias("base_count"), (F.col("remote_start") + before).alias("remote_first"), (F.col("remote_len") - before - behind).alias("remote_count")
+    )

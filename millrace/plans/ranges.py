@@ -136,3 +136,13 @@ def top2_uncertain(spark: SparkSession, folder: str) -> DataFrame:
     scored = F.transform("embedding", lambda x, i: F.struct((-(F.abs(x - F.get("embedding", i + 1)) * -x)).alias("s"), i.cast("long").alias("i")))
     ranked = F.slice(F.concat(F.sort_array(F.filter(scored, lambda v: v["s"].isNotNull())), F.filter(scored, lambda v: v["s"].isNull())), 1, 2)
     return table(spark, folder, "embeddings").select("vec_id", F.posexplode(ranked).alias("p", "v")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("v.i").alias("position"))
+
+
+@query(rf"""WITH {_LOCATED}, d AS (SELECT request_id, i, {_DIST.format('line', 'head')} AS h, {_DIST.format('line', 'tail')} AS t FROM q),
+  m AS (SELECT request_id, min_by(i, (h, i)) AS a, min_by(i, (t, i)) AS b, min(h) AS mh, min(t) AS mt FROM d GROUP BY request_id),
+  p AS (SELECT x.request_id, min_by(x.i, (x.h + y.t, x.i, y.i)) AS a2, min_by(y.i, (x.h + y.t, x.i, y.i)) AS b2 FROM d x JOIN d y ON x.request_id = y.request_id AND x.i <= y.i GROUP BY x.request_id)
+  SELECT request_id, CASE WHEN mh <= 0.75 AND mt <= 0.75 THEN CASE WHEN a <= b THEN a ELSE a2 END END AS first, CASE WHEN mh <= 0.75 AND mt <= 0.75 THEN CASE WHEN a <= b THEN b ELSE b2 END END AS last FROM m JOIN p USING (request_id)""")
+def relocate_both(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the patch belongs in the code, by its first and last context line."""
+    found = _located(spark, folder).select("request_id", fuzzy.located_range(F.col("lines"), F.col("head"), F.col("tail"), 0.75).alias("r"))
+    return found.select("request_id", F.col("r.first").alias("first"), F.col("r.last").alias("last"))

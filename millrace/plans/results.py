@@ -131,3 +131,13 @@ def results_by_commit(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "test_entries").select("entry_index", F.lower("patch_commit_hash").alias("low"), "filename")
     met = r.withColumn("low", F.lower("patch_commit_hash")).join(e, ["entry_index", "low"])
     return met.groupBy(F.col("patch_commit_hash").alias("hash")).agg(F.countDistinct("entry_index").alias("entries"), F.sum("answers").alias("answers"), F.max("filename").alias("filename"))
+
+
+@query("""SELECT model, run_day, coalesce(model, '(none)') || ': ' || (c * 10000 // n) // 100 || '.' || lpad((((c * 10000 // n) % 100))::VARCHAR, 2, '0') || '% (' || c || '/' || n || ')' AS line
+  FROM (SELECT model, run_day, count_if(correct) AS c, count(*) AS n FROM results GROUP BY model, run_day)""")
+def report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares as text with two decimals, cut and not rounded, and their counts."""
+    rows = table(spark, folder, "results").groupBy("model", "run_day").agg(F.count_if("correct").alias("c"), F.count("*").alias("n"))
+    cents = F.expr("c * 10000 div n")
+    line = F.concat(F.coalesce("model", F.lit("(none)")), F.lit(": "), F.expr("(c * 10000 div n) div 100").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit("% ("), F.col("c").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(")"))
+    return rows.select("model", "run_day", line.alias("line"))

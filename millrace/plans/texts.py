@@ -250,3 +250,19 @@ def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
     """The waits of five attempts of each request: doubled each time, up to the endpoint's longest."""
     rows = table(spark, folder, "api_requests").select("request_id", "endpoint_index").join(table(spark, folder, "endpoints").select("endpoint_index", "delay", "max_delay"), "endpoint_index")
     return rows.select("request_id", "delay", "max_delay", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("attempt")).select("request_id", "attempt", F.least(F.col("delay") * F.pow(F.lit(2), F.col("attempt")), F.col("max_delay")).cast("long").alias("wait"))
+
+
+@query(rf"""WITH {_PARTS}, m AS (SELECT entry_index, hunk, min(pos) FILTER (WHERE changed) AS f, max(pos) FILTER (WHERE changed) AS l FROM x GROUP BY entry_index, hunk),
+  c AS (SELECT x.entry_index, x.hunk, count_if(f IS NULL OR pos < f) AS before, count_if(pos > l) AS behind, sum((line[1] <> '+')::INT) AS bl, sum((line[1] <> '-')::INT) AS rl FROM x JOIN m USING (entry_index, hunk) GROUP BY x.entry_index, x.hunk)
+  SELECT entry_index, hunk, 1 AS part, b0 + before AS base_first, (bl - before - behind)::BIGINT AS base_count, r0 + before AS remote_first, (rl - before - behind)::BIGINT AS remote_count FROM c JOIN s USING (entry_index, hunk)""")
+def hunk_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The changed ranges of every hunk on both sides."""
+    pieces = hunks.parts(table(spark, folder, "test_entries").where("patch is not null"), "entry_index", "patch", 1_000_000)
+    return hunks.changes(pieces, "entry_index")
+
+
+@query("SELECT entry_index, substr(sha256(sha256(coalesce(code, '') || '|' || coalesce(filename, ''))), 1, 32) AS stable FROM test_entries")
+def stable_id(spark: SparkSession, folder: str) -> DataFrame:
+    """A short identifier from a hash of a hash."""
+    text = F.concat(F.coalesce("code", F.lit("")), F.lit("|"), F.coalesce("filename", F.lit("")))
+    return table(spark, folder, "test_entries").select("entry_index", F.substring(F.sha2(F.sha2(text, 256), 256), 1, 32).alias("stable"))
