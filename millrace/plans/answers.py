@@ -18,8 +18,9 @@ _COLUMNS = "file_path, local_start, md5(resolved_version) AS version, members, i
 
 
 def _ranked(spark: SparkSession, folder: str) -> DataFrame:
-    rows = consensus.ranked(consensus.grouped(consensus.first_answers(table(spark, folder, "answers"))))
-    return rows.select("file_path", "local_start", F.md5("resolved_version").alias("version"), "members", "input_tokens", "output_tokens", F.round("logprob", 6).alias("logprob"), "duration", "endpoint_index", "adapted", "first_id", "rank")
+    answers = consensus.first_answers(table(spark, folder, "answers")).withColumn("version", F.md5("resolved_version"))  # digests travel, not texts
+    rows = consensus.ranked(consensus.grouped(answers, "version"))
+    return rows.select("file_path", "local_start", "version", "members", "input_tokens", "output_tokens", F.round("logprob", 6).alias("logprob"), "duration", "endpoint_index", "adapted", "first_id", "rank")
 
 
 @query(f"WITH {_GROUPS} SELECT {_COLUMNS} FROM r")
@@ -44,7 +45,7 @@ def label_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT min(answer_id) AS answer_id, count(*) AS copies FROM answers GROUP BY file_path, local_start, resolved_version")
 def first_occurrence(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "answers").groupBy("file_path", "local_start", "resolved_version").agg(F.min("answer_id").alias("answer_id"), F.count("*").alias("copies")).select("answer_id", "copies")
+    return table(spark, folder, "answers").groupBy("file_path", "local_start", F.md5("resolved_version")).agg(F.min("answer_id").alias("answer_id"), F.count("*").alias("copies")).select("answer_id", "copies")
 
 
 @query("""SELECT DISTINCT trim(unnest(string_split(model, ','))) AS name FROM answers""")
