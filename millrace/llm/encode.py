@@ -94,16 +94,24 @@ def _joiner(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path)
         for batch in batches:
-            out = []
-            for parts in batch.column(1).to_pylist():
-                ids, open_text = [], []
-                for part in parts:
-                    open_text.append(part["head"])
-                    if part["sure"]:
-                        ids += encode(coder, "".join(open_text)) + part["ids"]
-                        open_text = [part["tail"]]
-                out.append(ids + encode(coder, "".join(open_text)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["h", "ids"])
+            parts = batch.column(1)
+            bounds = np.append(0, np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)))
+            _, sure, head, ids, tail = parts.flatten().flatten()
+            sure, head, tail = sure.to_pylist(), head.to_pylist(), tail.to_pylist()
+            ends, values = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))), ids.flatten().to_numpy()
+            found, sizes = [], []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                pieces, open_text = [], ""
+                for p in range(a, b):
+                    open_text += head[p]
+                    if sure[p]:
+                        pieces += [encode(coder, open_text), values[ends[p] : ends[p + 1]]]
+                        open_text = tail[p]
+                pieces.append(encode(coder, open_text))
+                sizes.append(sum(map(len, pieces)))
+                found += (np.asarray(x, np.int32) for x in pieces)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["h", "ids"])
 
     return run
 
