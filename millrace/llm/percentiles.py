@@ -9,7 +9,8 @@ Counts are taken per part (day) first and then added up over the parts: the perc
 the single days yielded, for the same midpoints. What passes between tasks is one row per group, interval and piece.
 
 The rows are merged by identifier and written once as (group, part, column, value), and every pass is one scan of
-that table. The intervals are joined by broadcast while their table is below ``BROADCAST_BYTES`` (checked, not
+that table. Once the open intervals hold half of its rows or fewer, only those rows are written again for the passes
+that follow; after the first pass that is a small part. The intervals are joined by broadcast while their table is below ``BROADCAST_BYTES`` (checked, not
 assumed), else by a shuffle join.
 """
 
@@ -25,6 +26,8 @@ from millrace.storage import materialize
 HALVINGS = 6
 BROADCAST_BYTES = 16 << 20
 ROW_BYTES = 160
+#: Below so many values a pass over all of them costs less than writing fewer.
+SHRINK_ROWS = 2_000_000
 
 
 def _piece(v: Column, lo: Column, hi: Column, pieces: int) -> Column:
@@ -63,13 +66,18 @@ def percentiles(df: DataFrame, group: str, part: str, columns: Sequence[str], pe
     whole = yields.groupBy("g", "m").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("g", F.lit(None).cast(yields.schema["p"].dataType).alias("p"), "m", "n", "lo", "hi")
     targets = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.ceil(F.lit(q) * F.col("n") / 100).cast("long").alias("k")) for q in percents)))
     scoped = yields.select("g", "p", F.lit(False).alias("all"), "m", "n", "lo", "hi").unionByName(whole.select("g", "p", F.lit(True).alias("all"), "m", "n", "lo", "hi"))
-    state = scoped.withColumn("t", targets).select("g", "p", "all", "m", "n", F.col("t.q").alias("q"), F.greatest(F.col("t.k"), F.lit(1)).alias("k"), F.lit(0).cast("long").alias("below"), "lo", "hi")
+    state = scoped.withColumn("t", targets).select("g", "p", "all", "m", "n", F.col("t.q").alias("q"), F.greatest(F.col("t.k"), F.lit(1)).alias("k"), F.lit(0).cast("long").alias("below"), F.col("n").alias("c"), "lo", "hi")
     state = materialize(state, "intervals")
 
     done = [state.where("lo = hi")]
-    while (open_rows := (state := state.where("lo < hi")).count()) > 0:
-        state = materialize(_narrow(long, state, open_rows), "intervals")
+    state, targets_open, inside = _open(state)
+    held = inside
+    while targets_open:
+        state = materialize(_narrow(long, state, targets_open), "intervals")
         done.append(state.where("lo = hi"))
+        state, targets_open, inside = _open(state)
+        if targets_open and held >= SHRINK_ROWS and inside * 2 <= held:
+            long, held = materialize(_inside(long, state, targets_open), "values"), inside
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
@@ -79,6 +87,27 @@ def percentiles(df: DataFrame, group: str, part: str, columns: Sequence[str], pe
     )
 
 
+def _open(state: DataFrame) -> tuple[DataFrame, int, int]:
+    """The unresolved targets, their number, and how many rows their intervals hold (rows in several counted for each)."""
+    left = state.where("lo < hi")
+    got = left.groupBy("g", "p", "all", "m", "lo", "hi").agg(F.count("*").alias("t"), F.max("c").alias("c")).agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    return left, got["t"] or 0, got["c"] or 0
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows * ROW_BYTES <= BROADCAST_BYTES else df
+
+
+def _inside(long: DataFrame, state: DataFrame, targets: int) -> DataFrame:
+    """The rows of ``long`` that lie in some open interval, once each: later passes need no others."""
+    own = state.where(~F.col("all")).groupBy(F.col("g").alias("g1"), F.col("p").alias("p1"), F.col("m").alias("m1")).agg(F.collect_set(F.struct("lo", "hi")).alias("xs"))
+    over = state.where(F.col("all")).groupBy(F.col("g").alias("g2"), F.col("m").alias("m2")).agg(F.collect_set(F.struct("lo", "hi")).alias("ys"))
+    met = long.join(_small(own, targets), _same([(F.col("g"), F.col("g1")), (F.col("p"), F.col("p1")), (F.col("m"), F.col("m1"))]), "left")
+    met = met.join(_small(over, targets), _same([(F.col("g"), F.col("g2")), (F.col("m"), F.col("m2"))]), "left")
+    holds = lambda sets: F.coalesce(F.exists(sets, lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"])), F.lit(False))
+    return met.where(holds("xs") | holds("ys")).select("g", "p", "m", "v")
+
+
 def _narrow(long: DataFrame, state: DataFrame, open_rows: int) -> DataFrame:
     """One pass: ``state`` with each interval cut down to the piece that holds its target rank."""
     pieces = 1 << HALVINGS
@@ -89,7 +118,7 @@ def _narrow(long: DataFrame, state: DataFrame, open_rows: int) -> DataFrame:
 
     def counts(scope_all: bool) -> DataFrame:
         mine = ask.where(F.col("s_all") == scope_all)
-        mine = F.broadcast(mine) if open_rows * ROW_BYTES <= BROADCAST_BYTES else mine
+        mine = _small(mine, open_rows)
         pairs = [(F.col("g"), F.col("s_g")), (F.col("m"), F.col("s_m"))] + ([] if scope_all else [(F.col("p"), F.col("s_p"))])
         inside = long.join(mine, _same(pairs)).where((F.col("v") >= F.col("s_lo")) & (F.col("v") <= F.col("s_hi")))
         cell = inside.select("g", "p", F.lit(scope_all).alias("all"), "m", F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"), _piece(F.col("v"), F.col("s_lo"), F.col("s_hi"), pieces).alias("piece"), "v")
@@ -105,9 +134,9 @@ def _narrow(long: DataFrame, state: DataFrame, open_rows: int) -> DataFrame:
     met = a.join(b, same).select("a.*", "b.cells").withColumn("t", F.explode("targets"))
     # the first piece up to which the rows reach the target rank
     step = F.expr(
-        """aggregate(cells, struct(below as below, cast(null as double) as lo1, cast(null as double) as hi1),
+        """aggregate(cells, struct(below as below, cast(null as double) as lo1, cast(null as double) as hi1, cast(null as bigint) as c),
              (x, c) -> CASE WHEN x.lo1 is not null THEN x
-                            WHEN x.below + c.c >= t.k THEN struct(x.below as below, c.lo1 as lo1, c.hi1 as hi1)
-                            ELSE struct(x.below + c.c as below, cast(null as double) as lo1, cast(null as double) as hi1) END)"""
+                            WHEN x.below + c.c >= t.k THEN struct(x.below as below, c.lo1 as lo1, c.hi1 as hi1, c.c as c)
+                            ELSE struct(x.below + c.c as below, cast(null as double) as lo1, cast(null as double) as hi1, cast(null as bigint) as c) END)"""
     )
-    return met.withColumn("x", step).select("g", "p", "all", "m", F.col("t.n").alias("n"), F.col("t.q").alias("q"), F.col("t.k").alias("k"), F.col("x.below").alias("below"), F.col("x.lo1").alias("lo"), F.col("x.hi1").alias("hi"))
+    return met.withColumn("x", step).select("g", "p", "all", "m", F.col("t.n").alias("n"), F.col("t.q").alias("q"), F.col("t.k").alias("k"), F.col("x.below").alias("below"), F.col("x.c").alias("c"), F.col("x.lo1").alias("lo"), F.col("x.hi1").alias("hi"))

@@ -69,6 +69,12 @@ def test_percentiles_of_odd_groups(spark):
     assert pc.percentiles(df, "g", "p", ["v0"], [50], item="item").count() == 0
 
 
+def test_percentiles_with_fewer_values_from_pass_to_pass(spark, monkeypatch):
+    monkeypatch.setattr(pc, "SHRINK_ROWS", 0)
+    monkeypatch.setattr(pc, "HALVINGS", 2)
+    check(spark, [(i, ["a", "b", None][i % 3], i % 2, float(i * i % 101), i % 7) for i in range(300)])
+
+
 def test_percentiles_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(pc, "BROADCAST_BYTES", 0)
     check(spark, [(i, "ab"[i % 2], i % 3, float(i * i % 101), i) for i in range(300)])
