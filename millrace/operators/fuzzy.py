@@ -5,7 +5,7 @@ All candidates of one record are elements of its arrays, so the search is a map
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,13 +44,13 @@ def best_pair(lines: Column, head: Column, tail: Column) -> Column:
     return F.aggregate(scored, start, step)["best"]
 
 
-def located_range(lines: Column, head: Column, tail: Column, most: float) -> Column:
-    """(first, last) position of the range between the lines nearest to ``head`` and to ``tail``.
+def located_range(rows: DataFrame, item: str, lines: str, head: str, tail: str, most: float) -> DataFrame:
+    """(item, ``first``, ``last``): the range between the lines nearest to ``head`` and to ``tail``.
 
     Both are searched independently; if they cross, the best pair in order is taken. Null if one of the distances is
-    above ``most``, and for no elements.
+    above ``most``, and for no elements. The searches are a projection of their own, so each runs once a row.
     """
-    a, b, pair = best_window(lines, head), best_window(lines, tail), best_pair(lines, head, tail)
-    free = F.struct(a["position"].alias("first"), b["position"].alias("last"))
-    tied = F.struct(pair["head"].alias("first"), pair["tail"].alias("last"))
-    return F.when((a["distance"] <= most) & (b["distance"] <= most), F.when(a["position"] <= b["position"], free).otherwise(tied))
+    found = rows.select(item, best_window(F.col(lines), F.col(head)).alias("a"), best_window(F.col(lines), F.col(tail)).alias("b"), best_pair(F.col(lines), F.col(head), F.col(tail)).alias("pair"))
+    near = (F.col("a.distance") <= most) & (F.col("b.distance") <= most)
+    free = F.col("a.position") <= F.col("b.position")
+    return found.select(item, F.when(near, F.when(free, F.col("a.position")).otherwise(F.col("pair.head"))).alias("first"), F.when(near, F.when(free, F.col("b.position")).otherwise(F.col("pair.tail"))).alias("last"))

@@ -144,5 +144,4 @@ def top2_uncertain(spark: SparkSession, folder: str) -> DataFrame:
   SELECT request_id, CASE WHEN mh <= 0.75 AND mt <= 0.75 THEN CASE WHEN a <= b THEN a ELSE a2 END END AS first, CASE WHEN mh <= 0.75 AND mt <= 0.75 THEN CASE WHEN a <= b THEN b ELSE b2 END END AS last FROM m JOIN p USING (request_id)""")
 def relocate_both(spark: SparkSession, folder: str) -> DataFrame:
     """Where the patch belongs in the code, by its first and last context line."""
-    found = _located(spark, folder).select("request_id", fuzzy.located_range(F.col("lines"), F.col("head"), F.col("tail"), 0.75).alias("r"))
-    return found.select("request_id", F.col("r.first").alias("first"), F.col("r.last").alias("last"))
+    return fuzzy.located_range(_located(spark, folder), "request_id", "lines", "head", "tail", 0.75)
