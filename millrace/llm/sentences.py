@@ -8,8 +8,9 @@ Scripts without spaces have gaps instead: a closed quotation in Japanese or Chin
 both sides of a gap are segmented by a lattice over a small dictionary, and the gap is classified by the final
 particle before it and the opening word behind it.
 
-Documents are independent: the work is one map over the table in Arrow batches, without a shuffle. The word lists hold
-function words and customary abbreviations of each language.
+Abbreviations that the lists lack are learned from the whole corpus first, from how often a sentence goes on behind
+them. Then documents are independent: the work is one map over the table in Arrow batches, without a shuffle of texts.
+The word lists hold function words and customary abbreviations of each language.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ OPENERS_ZH = "这个 这里 这次 这样 这是 一个 一些 一次 并且 并
 OPEN_ENDS_TH = "และ หรือ ว่า ของ คือ เช่น เพราะ แต่ กับ ใน ที่ ซึ่ง".split()
 WORDS_TH = OPEN_ENDS_TH + "ไว้ แล้ว เดิม ออก ครั้ง อีก ครับ ค่ะ คะ นะ เลย ด้วย มาก ที่นี่ ในที่ ทันที ต่างๆ".split()
 
+LEARNED_LEAST, LEARNED_SHARE = 50, 0.8
+
 FINAL = "!?‽…！？。｡．؟।॥."
 WIDE_FINAL = set("！？。｡．؟।॥")
 MARKS = re.compile(r"[!?‽…！？。｡．؟।॥.;;]+")
@@ -126,7 +129,7 @@ def closing(p: str, k: int) -> tuple[int, bool]:
     return k, quote
 
 
-def ends(p: str, start: int, i: int, j: int) -> int:
+def ends(p: str, start: int, i: int, j: int, learned: frozenset[str] = frozenset()) -> int:
     """The end of the sentence closed by the marks p[i:j], or 0 if the sentence, begun at ``start``, goes on."""
     marks = p[i:j]
     if set(marks) <= {";", ";"}:
@@ -150,7 +153,7 @@ def ends(p: str, start: int, i: int, j: int) -> int:
         return k if parts_unspaced(p, i, k, behind, marks) else 0
     if lower and nxt.isalpha():
         return 0
-    if marks == "." and not closed and not stops(p, i, behind, lower):
+    if marks == "." and not closed and not stops(p, i, behind, lower, learned):
         return 0
     return k
 
@@ -178,7 +181,7 @@ def parts_unspaced(p: str, i: int, k: int, behind: str, marks: str) -> bool:
     return True
 
 
-def stops(p: str, i: int, behind: str, lower: bool) -> bool:
+def stops(p: str, i: int, behind: str, lower: bool, learned: frozenset[str]) -> bool:
     """The reading of a full stop with a space behind it: true if it ends the sentence."""
     m = WORD_BEFORE.search(p, max(0, i - 60), i)
     word = m[0] if m else ""
@@ -187,7 +190,7 @@ def stops(p: str, i: int, behind: str, lower: bool) -> bool:
     if len(word) == 1 and word.isalpha() and (word.isupper() or word.islower()):
         # an initial or an abbreviation, but a letter behind a number is a unit
         return word.islower() and p[: m.start()].rstrip()[-1:].isdigit() and not lower
-    if word in TITLES or low in GOES_ON:
+    if word in TITLES or low in GOES_ON or low in learned and low not in EITHER and low not in WITH_NUMBER:
         return False
     if low in WITH_NUMBER and (nxt.isdigit() or nxt in "№#"):
         return False
@@ -211,7 +214,7 @@ def gaps(p: str, start: int, end: int) -> Iterator[int]:
             yield start + m.start(2)
 
 
-def units(text: str) -> list[tuple[int, int]]:
+def units(text: str, learned: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of a document, in code points, without surrounding white space."""
     found: list[tuple[int, int]] = []
 
@@ -228,7 +231,7 @@ def units(text: str) -> list[tuple[int, int]]:
         thai = THAI.search(p)
         bounds = []
         for m in MARKS.finditer(p):
-            if m.start() >= start and (end := ends(p, start, m.start(), m.end())):
+            if m.start() >= start and (end := ends(p, start, m.start(), m.end(), learned)):
                 bounds.append(end)
                 start = end
         for end in [*bounds, len(p)] if not bounds or bounds[-1] < len(p) else bounds:
@@ -240,15 +243,34 @@ def units(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, starts, stop = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            for a, b in units(text):
-                row.append(i)
-                starts.append(a)
-                stop.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(starts, pa.int64()), pa.array(stop, pa.int64())], ["i", "s", "e"])
+def abbreviations(df: DataFrame, text: str) -> frozenset[str]:
+    """Words of the corpus that a full stop follows and a sentence that goes on, counted over all rows.
+
+    A word of a script with letter case is taken if a plain word in small letters follows its full stop in at least
+    ``LEARNED_SHARE`` of at least ``LEARNED_LEAST`` places. Only such words come to the driver, so at most one for
+    every ``LEARNED_LEAST`` places and in practice the abbreviations of the languages.
+    """
+    places = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}./_\-])\p{L}[\p{L}.]{0,8}\.[ \n]+\S+"), F.lit(0))
+    found = df.select(F.explode(places).alias("x"))
+    word = F.lower(F.regexp_extract("x", r"^([\p{L}.]+)\.\s", 1))
+    goes_on = F.regexp_extract("x", r"\s(\S+)$", 1).rlike(r"^\p{Ll}\p{L}*[,;:.!?]?$")
+    counts = found.groupBy(word.alias("w")).agg(F.count("*").alias("n"), F.count_if(goes_on).alias("on"))
+    cased = F.col("w").rlike(r"^[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}.]+$")
+    return frozenset(r["w"] for r in counts.where(cased & (F.col("n") >= LEARNED_LEAST) & (F.col("on") >= LEARNED_SHARE * F.col("n"))).select("w").collect())
+
+
+def _units(learned: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, starts, stop = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for a, b in units(text, learned):
+                    row.append(i)
+                    starts.append(a)
+                    stop.append(b)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(starts, pa.int64()), pa.array(stop, pa.int64())], ["i", "s", "e"])
+
+    return run
 
 
 def sentences(df: DataFrame, item: str, text: str) -> DataFrame:
@@ -259,5 +281,5 @@ def sentences(df: DataFrame, item: str, text: str) -> DataFrame:
     """
     slim = df.select(F.col(item).alias("i"), F.col(text).alias("t")).where(F.col("t") != "")
     kind = dict(slim.dtypes)["i"]
-    out = slim.mapInArrow(_units, f"i {kind}, s long, e long")
+    out = slim.mapInArrow(_units(abbreviations(slim, "t")), f"i {kind}, s long, e long")
     return out.select(F.col("i").alias(item), F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import encode, pack, tokenizer
-from millrace.llm.sentences import sentences, units
+from millrace.llm.sentences import abbreviations, sentences, units
 
 
 @pytest.fixture(scope="module")
@@ -117,6 +117,14 @@ def test_units_hold_all_visible_text():
         assert all(text[a:b] == text[a:b].strip() for a, b in found)
 
 
+def test_abbreviations_are_learned_from_all_rows(spark):
+    rows = [(f"The xyzq. part of {i} is old. It stays as it was. Then more.",) for i in range(60)]
+    df = spark.createDataFrame(rows, "t string")
+    assert abbreviations(df, "t") == {"xyzq"}
+    assert [rows[0][0][a:b] for a, b in units(rows[0][0], frozenset({"xyzq"}))] == ["The xyzq. part of 0 is old.", "It stays as it was.", "Then more."]
+    assert abbreviations(df.limit(10), "t") == frozenset()
+
+
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, "Ab. Cd."), (1, "Ab. Cd."), (None, "é🙂. X"), (2, None), (3, ""), (4, "w " * 100_000)], "d long, t string")
     got = sorted((r["d"] or 0, r["start_pos"], r["end_pos"]) for r in sentences(df, "d", "t").collect())
