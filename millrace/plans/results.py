@@ -66,10 +66,11 @@ def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT entry_index, model, count(*) AS n FROM checkpoint_a GROUP BY ALL HAVING bool_and(coalesce(NOT correct, false))),
   b AS (SELECT entry_index, model, count(*) AS n, max(recorded_at) AS recorded_at, max_by(duration, (recorded_at, duration)) AS duration FROM checkpoint_b GROUP BY ALL HAVING bool_and(coalesce(correct, false)))
-  SELECT entry_index, model, b.recorded_at, b.duration FROM a JOIN b USING (entry_index, model, n)""")
+  SELECT entry_index, model, epoch_us(b.recorded_at) AS recorded_us, b.duration FROM a JOIN b USING (entry_index, model, n)""")
 def ckpt_diff(spark: SparkSession, folder: str) -> DataFrame:
     a, b = table(spark, folder, "checkpoint_a"), table(spark, folder, "checkpoint_b")
-    return analytics.turned_true(a, b, ["entry_index", "model"], ["correct"], ["recorded_at", "duration"], ["recorded_at", "duration"])
+    turned = analytics.turned_true(a, b, ["entry_index", "model"], ["correct"], ["recorded_at", "duration"], ["recorded_at", "duration"])
+    return turned.select("entry_index", "model", F.unix_micros("recorded_at").alias("recorded_us"), "duration")
 
 
 _NAMES = "names AS (SELECT DISTINCT regexp_replace(endpoint_name, '\\s+$', '') AS model FROM endpoints)"

@@ -17,13 +17,13 @@ from millrace.streaming import results as streaming
 _KEYED = "SELECT entry_index, lower(trim(model)) AS model_key, correct, correct_aligned, correct_stripped, recorded_at"
 
 
-@query(f"""SELECT entry_index, model_key, correct, correct_aligned, correct_stripped, recorded_at, source FROM (SELECT *, row_number() OVER (PARTITION BY entry_index, model_key ORDER BY source DESC, recorded_at DESC NULLS LAST,
+@query(f"""SELECT entry_index, model_key, correct, correct_aligned, correct_stripped, epoch_us(recorded_at) AS recorded_us, source FROM (SELECT *, row_number() OVER (PARTITION BY entry_index, model_key ORDER BY source DESC, recorded_at DESC NULLS LAST,
     correct DESC NULLS LAST, correct_aligned DESC NULLS LAST, correct_stripped DESC NULLS LAST) AS rn FROM ({_KEYED}, 0 AS source FROM checkpoint_a UNION ALL {_KEYED}, 1 FROM checkpoint_b)) WHERE rn = 1""")
 def upsert_import(spark: SparkSession, folder: str) -> DataFrame:
     """The second system's rows win; within a system the latest."""
     columns = [F.col("entry_index"), F.lower(F.trim("model")).alias("model_key"), *map(F.col, ("correct", "correct_aligned", "correct_stripped", "recorded_at"))]
     a, b = (table(spark, folder, f"checkpoint_{x}").select(*columns) for x in "ab")
-    return state.upsert([a, b], ["entry_index", "model_key"], order=["recorded_at"])
+    return state.upsert([a, b], ["entry_index", "model_key"], order=["recorded_at"]).withColumn("recorded_us", F.unix_micros("recorded_at")).drop("recorded_at")
 
 
 @query("""WITH c AS (SELECT md5(coalesce(patch, '') || coalesce(code, '')) AS key, min(entry_index) AS value FROM test_entries GROUP BY 1)
