@@ -100,6 +100,42 @@ def overlap_pairs(left: DataFrame, right: DataFrame, key: str, item: str, start:
     return met.where(F.col("b") == block(F.greatest("s1", "s2"))).select(F.col("i1").alias("left_item"), F.col("i2").alias("right_item"))
 
 
+def match_counts(df: DataFrame, others: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
+    """(item, matches): with how many ranges of ``others`` with its key each range overlaps by :func:`ranges_overlap`.
+
+    Empty ranges count on both sides, and every range comes out, with 0 if it has a null or matches nothing; no range
+    ends before its start. Of the ranges that start up to its end, those that end before its start do not match; where
+    a bound is met exactly, the order of the bounds at that place tells which of the two rules holds. No pair is built.
+    """
+    whole = F.col(key).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()
+    named = lambda d: d.where(whole).select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"), (F.col(start) == F.col(end)).alias("empty"))
+    have = named(others)
+    ask = df.where(whole).select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"), (F.col(start) == F.col(end)).alias("empty"), F.col(item).alias("i"))
+    one, none, no_item = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(None).cast(dict(df.dtypes)[item])
+    order = lambda of_empty, of_others: F.when(F.col("empty"), of_empty).otherwise(of_others)
+    bound = lambda d, at, o, starts, ends, i, sign: d.select("k", F.col(at).alias("x"), o.alias("o"), starts.alias("starts"), ends.alias("ends"), i.alias("i"), F.lit(sign).alias("sign"))
+    # at one place: the start of an empty asker (no end there is before it), ends of others and empty starts, bounds of
+    # other askers, starts of others and empty ends, the end of an empty asker (all starts there match it)
+    bounds = bound(have, "s", order(1, 3), one, none, no_item, 0).unionByName(bound(have, "e", order(3, 1), none, one, no_item, 0))
+    bounds = bounds.unionByName(bound(ask, "e", order(4, 2), none, none, F.col("i"), 1)).unionByName(bound(ask, "s", order(0, 2), none, none, F.col("i"), -1))
+    seen = running_sums(bounds, "k", "x", ["o"], {"n_starts": F.col("starts"), "n_ends": F.col("ends")}).where("sign <> 0")
+    found = seen.select("i", F.when(F.col("sign") == 1, F.col("n_starts")).otherwise(-F.col("n_ends")).alias("n"))
+    partial = df.where(~whole).select(F.col(item).alias("i"), none.alias("n"))
+    return found.unionByName(partial).groupBy("i").agg(F.sum("n").alias("matches")).withColumnRenamed("i", item)
+
+
+def match_pairs(left: DataFrame, right: DataFrame, key: str, item: str, start: str, end: str, width: int = BLOCK) -> DataFrame:
+    """(left item, right item) of all ranges with the same key that overlap by :func:`ranges_overlap`, empty ones too.
+
+    Blocks as in :func:`overlap_pairs`, but a range is laid on the block of its end as well: the later of two starts
+    lies, ends included, in both ranges of every pair. No range ends before its start.
+    """
+    block = lambda c: F.floor(c / width)
+    laid = lambda df, a: df.select(F.col(key).alias("k"), F.col(item).alias(f"i{a}"), F.col(start).alias(f"s{a}"), F.col(end).alias(f"e{a}"), F.explode(F.sequence(block(F.col(start)), block(F.col(end)))).alias("b"))
+    met = laid(left, 1).join(laid(right, 2), ["k", "b"]).where(ranges_overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")))
+    return met.where(F.col("b") == block(F.greatest("s1", "s2"))).select(F.col("i1").alias("left_item"), F.col("i2").alias("right_item"))
+
+
 def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, reach, first = None, None, True
     for batch in batches:

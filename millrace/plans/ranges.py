@@ -36,6 +36,31 @@ def overlap_counts(spark: SparkSession, folder: str) -> DataFrame:
     return intervals.overlap_counts(rows.where("commit_type = 'Clean'"), rows.where("commit_type = 'Conflict'"), "file_path", "answer_id", "local_start", "local_end")
 
 
+_MATCH = "((a.local_start < b.local_end AND b.local_start < a.local_end) OR a.local_start = b.local_start OR a.local_end = b.local_end)"
+
+
+@query(f"""SELECT a.answer_id, count(b.answer_id) AS matches FROM answers a LEFT JOIN answers b ON a.file_path = b.file_path AND b.commit_type = 'Conflict' AND {_MATCH} WHERE a.commit_type = 'Clean' GROUP BY a.answer_id""")
+def match_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many conflicts of its file each clean range overlaps, or starts or ends with; pure insertions match too."""
+    rows = _answers(spark, folder)
+    return intervals.match_counts(rows.where("commit_type = 'Clean'"), rows.where("commit_type = 'Conflict'"), "file_path", "answer_id", "local_start", "local_end")
+
+
+@query(f"""SELECT a.answer_id AS left_item, b.answer_id AS right_item FROM answers a JOIN answers b ON a.file_path = b.file_path AND {_MATCH} WHERE a.commit_type = 'Clean' AND b.commit_type = 'Conflict'""")
+def match_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs that ``match_counts`` counts."""
+    rows = _answers(spark, folder)
+    return intervals.match_pairs(rows.where("commit_type = 'Clean'"), rows.where("commit_type = 'Conflict'"), "file_path", "answer_id", "local_start", "local_end")
+
+
+@query(f"""SELECT a.answer_id, count(b.answer_id) AS matches FROM answers a LEFT JOIN answers b ON a.file_path = b.file_path AND a.answer_id <> b.answer_id AND {_MATCH} GROUP BY a.answer_id""")
+def self_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of all other ranges of its file each range overlaps, or starts or ends with."""
+    rows = _answers(spark, folder)
+    found = intervals.match_counts(rows, rows, "file_path", "answer_id", "local_start", "local_end")
+    return found.select("answer_id", F.greatest(F.col("matches") - 1, F.lit(0)).alias("matches"))  # a range with all bounds matches itself
+
+
 _VIEWS = "v AS (SELECT event_id, user_id, event_type, (epoch_us(ts) // 60000000)::BIGINT AS s, (epoch_us(ts) // 60000000)::BIGINT + floor(value)::BIGINT AS e FROM events)"
 
 

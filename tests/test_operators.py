@@ -54,6 +54,19 @@ def test_overlaps(spark, ranges):
     assert got == {a[1]: sum(x is a for x, _ in real) for a in ranges[:150] if a[0] and a[2] < a[3]}
 
 
+def test_matches_count_empty_ranges_and_equal_bounds(spark, ranges):
+    rows = [*ranges, *(("f", 300 + n, s, e) for n, (s, e) in enumerate([(5, 5), (5, 5), (5, 9), (1, 5), (5, 6), (9, 9), (256, 256), (200, 256), (256, 300), (-3, -3)])), ("f", 400, None, 5)]
+    hit = lambda a, b: a[0] == b[0] is not None and None not in (a[2], b[2]) and ((a[2] < b[3] and b[2] < a[3]) or a[2] == b[2] or a[3] == b[3])
+    df = spark.createDataFrame(rows, SCHEMA)
+    left, right = [r for r in rows if r[1] % 2], [r for r in rows if not r[1] % 2]
+    want = sorted((a[1], b[1]) for a in left for b in right if hit(a, b))
+    assert sorted((r[0], r[1]) for r in intervals.match_pairs(df.where("i % 2 = 1"), df.where("i % 2 = 0"), "k", "i", "s", "e", width=50).collect()) == want
+    got = {r["i"]: r["matches"] for r in intervals.match_counts(df.where("i % 2 = 1"), df.where("i % 2 = 0"), "k", "i", "s", "e").collect()}
+    assert got == {a[1]: sum(hit(a, b) for b in right) for a in left}
+    own = {r["i"]: r["matches"] for r in intervals.match_counts(df, df, "k", "i", "s", "e").collect()}
+    assert own == {a[1]: sum(hit(a, b) for b in rows) for a in rows}
+
+
 def test_accept_disjoint(spark, ranges):
     want = set()
     for k in ("f", "g", None):
