@@ -38,6 +38,7 @@ SLOTS = 40
 PARTITION = 4
 MOST_DIFFERENT = 17
 BUCKETS = 1024
+RANK_PARTS = 64
 HOT = 256
 WORK_BYTES = 4 << 20
 U = np.uint64
@@ -278,12 +279,74 @@ def _close(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
+def _flat_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, sizes, shingles one set behind the other) of batches (id, set), in pieces of about ``WORK_BYTES``."""
+    for batch in batches:
+        ids, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+        piece = np.cumsum(n.astype(np.int64) * 8) // WORK_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(piece)) + 1), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b > a:
+                yield ids[a:b], n[a:b], batch.column(1).slice(int(a), int(b - a)).flatten().to_numpy(zero_copy_only=False).view(U)
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (_mix(h) % U(BUCKETS * RANK_PARTS)).astype(np.int64)
+
+
+def _shingle_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS * RANK_PARTS, np.int64)
+    for _, _, h in _flat_sets(batches):
+        total += np.bincount(_place(h), minlength=len(total))
+    if total.any():
+        parts = [v.astype("<i8").tobytes() for v in total.reshape(RANK_PARTS, BUCKETS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(RANK_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["kind", "counts"])
+
+
+def _ranked(table: pa.Table) -> pa.Table:
+    v = reduce(np.add, (np.frombuffer(b.as_py(), "<i8") for b in table.column("counts")))
+    return pa.table({"kind": pa.array([table.column("kind")[0].as_py()], pa.int32()), "ranks": pa.array([(6 * np.log2(1 + v.astype(float))).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def _prefixer(ranks: bytes, percent: int):
+    """(id, set) -> (x, id, n, p): the rarest shingles of each set, of which two similar sets share one, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.frombuffer(ranks, np.uint8)
+        for ids, n, h in _flat_sets(batches):
+            row = np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, rank[_place(h)], row))]
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            keep = place < (n - (n.astype(np.int64) * percent + 99) // 100 + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[row[keep]]), pa.array(n[row[keep]].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["x", "id", "n", "p"])
+
+    return run
+
+
+def exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(``a``, ``b``), a < b, maybe repeated: a superset of all pairs of ``sets`` (id, set) with the similarity.
+
+    Prefix filter: with the shingles of all sets in one order, rare ones first, two sets of n shingles and at least the
+    similarity share one of their first n - ceil(n * similarity) + 1. The order is by hashed counts, which decide on
+    the speed only. Shingles with many sets are salted, so about ``HOT`` of them at a time meet the rest.
+    """
+    counts = sets.mapInArrow(_shingle_counter, "kind int, counts binary").groupBy("kind").applyInArrow(_ranked, "kind int, ranks binary")
+    ranks = b"".join(bytes(r["ranks"]) for r in sorted(counts.collect(), key=lambda r: r["kind"]))
+    first = sets.mapInArrow(_prefixer(ranks, percent), "x long, id long, n int, p int")
+    first = materialize(first.withColumn("c", F.count("*").over(Window.partitionBy("x"))).where("c > 1").withColumn("salts", F.ceil(F.col("c") / HOT).cast("int")), "prefixes")
+    left = first.select("x", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    right = first.select("x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    # at the first shingle that both have, the sets cannot have more in common than the shorter rest
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")).cast("long") * (100 + percent) >= (F.col("na") + F.col("nb")).cast("long") * percent
+    return left.join(right, ["x", "salt"]).where((F.col("a") < F.col("b")) & _close(F.col("na"), F.col("nb"), percent) & rest).select("a", "b")
+
+
 def candidate_pairs(codes: DataFrame, rows: int, percent: int) -> DataFrame:
-    """(``a``, ``b``), a < b, once each: classes that meet in a signature.
+    """(``a``, ``b``), a < b, once each: classes that meet in a signature, as far as their sets can be similar.
 
-    A signature with more than ``HOT`` classes is boilerplate or a large group; its classes must meet in one more
-    signature, so the classes of a hot signature are paired within (hot signature, other signature) only. All of a
-    large group's members share many signatures, so none of its pairs is lost.
+    ``codes`` has ``id``, ``n``, ``code`` and ``set``. A signature with more than ``HOT`` classes is boilerplate or a
+    large group; instead of pairing all of them, all similar pairs of classes in hot signatures are found on their
+    exact sets (:func:`exact_pairs`), so one shared signature is enough for a pair whatever its size.
     """
     groups, thresholds = plan(codes, rows)
     probes = codes.select("id", "n", "code").mapInArrow(_prober(groups, thresholds), "sig long, id long, n int")
@@ -291,9 +354,9 @@ def candidate_pairs(codes: DataFrame, rows: int, percent: int) -> DataFrame:
     cool = counted.where(F.col("c") <= HOT)
     met = _pairs_within(cool, ["sig"], percent)
     if counted.where(F.col("c") > HOT).limit(1).count():
-        hot = counted.where(F.col("c") > HOT).select("sig", "id", "n")
-        other = counted.select(F.col("sig").alias("sig2"), "id")
-        met = met.unionByName(_pairs_within(hot.join(other, "id").where("sig <> sig2"), ["sig", "sig2"], percent))
+        hot = counted.where(F.col("c") > HOT).select("id").distinct()
+        sets = materialize(codes.select("id", "set").join(hot, "id", "left_semi"), "hot-sets")
+        met = met.unionByName(exact_pairs(sets, percent))
     return met.distinct()
 
 
@@ -323,7 +386,7 @@ class NearDuplicates:
     def links(self) -> DataFrame:
         """(``a``, ``b``, ``common``, ``either``): similar classes, a < b."""
         rows = self.members.where("class = id").count()
-        pairs = materialize(candidate_pairs(self.classes.select("id", "n", "code"), rows, self.percent), "pairs")
+        pairs = materialize(candidate_pairs(self.classes.select("id", "n", "code", "set"), rows, self.percent), "pairs")
         used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = self.classes.select("id", "set").join(used, "id", "left_semi")
         with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")

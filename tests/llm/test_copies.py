@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 
 from millrace.llm import format_dups, near_dups
@@ -96,6 +97,20 @@ def test_hot_signatures_lose_no_pair(spark, monkeypatch):
     assert got == brute(rows, 3, 70)
 
 
+def test_one_hot_signature_is_enough(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(near_dups, "HOT", 4)
+    monkeypatch.setattr(near_dups, "plan", lambda codes, rows: ([list(range(i, i + 4)) for i in range(0, 40, 4)], [2] * 10))
+    base, rows = [rng.sample(range(10**6), 30) for _ in range(4)], []
+    for i in range(60):  # all agree in the first two slots and nowhere else: one shared signature, of 60 classes
+        s = sorted({rng.randrange(10**6) if rng.random() < 0.08 else x for x in base[i % 4]})
+        rows.append((i, len(s), np.array([1, 2, *(100 * i + j for j in range(38))], np.uint32).tobytes(), s))
+    df = spark.createDataFrame(rows, "id long, n int, code binary, set array<long>")
+    got = [tuple(r) for r in near_dups.candidate_pairs(df, len(rows), 70).collect()]
+    want = {(a[0], b[0]) for a, b in combinations(rows, 2) if len({*a[3]} & {*b[3]}) * 100 >= len({*a[3]} | {*b[3]}) * 70}
+    assert len(want) > 100 and want <= set(got) and len(got) == len(set(got))
+
+
 def test_no_records(spark):
     df = spark.createDataFrame([(1, None)], "id long, a string")
     near = near_dups.NearDuplicates(df, "id", ["a"])
