@@ -22,6 +22,19 @@ def ranges_overlap(s1: Column, e1: Column, s2: Column, e2: Column, adjacent: boo
     return over | (e1 == s2) | (e2 == s1) if adjacent else over
 
 
+def latest_before(df: DataFrame, keys: Sequence[str], position: str, item: str, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``earlier``, the (position, item) of the row right before each by (position, item) within ``keys``.
+
+    Taken in two levels like the sums: within blocks of positions, and from the greatest of the blocks before. No nulls.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(position) / block)).withColumn("_at", F.struct(F.col(position).alias("position"), F.col(item).alias("item")))
+    inside = Window.partitionBy(*keys, "_block").orderBy(position, item).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    most = rows.groupBy(*keys, "_block").agg(F.max("_at").alias("_most")).select(*keys, "_block", F.max("_most").over(blocks).alias("_past"))
+    here = rows.withColumn("_here", F.max("_at").over(inside))
+    return here.join(most, [*keys, "_block"]).select(*df.columns, F.coalesce("_here", "_past").alias("earlier"))
+
+
 def _with_block_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
     """``rows`` joined with one row per (key, block); null keys and blocks match."""
     a, b = rows.alias("a"), totals.alias("b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import graph
+from millrace.operators import graph, namesets
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -52,6 +52,15 @@ def shared_names(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("answer_id", F.arrays_overlap("names", "before").alias("shares"), (F.size(F.array_except("names", "before")) == 0).alias("contained"))
 
 
+@query("""WITH n AS (SELECT answer_id, file_path, local_start, list_transform(string_split(model, ','), lambda x: trim(x)) AS names FROM answers)
+  SELECT a.answer_id, coalesce(bool_or(list_has_any(a.names, b.names)), false) AS shares, max_by(b.answer_id, (b.local_start, b.answer_id)) FILTER (WHERE list_has_all(b.names, a.names)) AS container
+  FROM n a LEFT JOIN n b ON a.file_path = b.file_path AND (b.local_start < a.local_start OR (b.local_start = a.local_start AND b.answer_id < a.answer_id)) GROUP BY a.answer_id""")
+def names_before(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether an answer shares a name with any earlier one of its file, and the last earlier one that has all its names."""
+    rows = table(spark, folder, "answers").select("answer_id", "file_path", "local_start", F.array_sort(F.array_distinct(F.transform(F.split("model", ","), lambda x: F.trim(x)))).alias("names"))
+    return namesets.earlier_sets(rows, "file_path", "local_start", "answer_id", "names").select("answer_id", "shares", F.col("container"))
+
+
 @query(r"""SELECT event_id, regexp_replace(props, '"([^"]*k[^"]*)"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}\]]+)', '"\1": null', 'g') AS redacted FROM events""")
 def json_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Values of keys whose name holds a given text are blanked in flat JSON."""

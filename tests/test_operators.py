@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import analytics, diffs, graph, hunks, intervals, state, validate
+from millrace.operators import analytics, diffs, graph, hunks, intervals, namesets, state, validate
 from millrace.streaming import results as streaming
 
 SCHEMA = "k string, i long, s long, e long"
@@ -67,6 +67,17 @@ def test_matches_count_empty_ranges_and_equal_bounds(spark, ranges):
     assert own == {a[1]: sum(hit(a, b) for b in rows) for a in rows}
 
 
+def test_names_of_all_earlier_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["f", "f", "g", None]), i, rng.randrange(900), sorted(rng.sample("abcdefg", rng.randrange(1, 4)))) for i in range(150)] + [("f", 150, 5, None), ("h", 151, 9, ["x"]), ("h", 152, 9, ["y"]), ("h", 153, 600, ["x"])]
+    want = {}
+    for k, i, p, names in rows:
+        before = sorted((q, j, other) for k2, j, q, other in rows if k is not None and k2 == k and names and other and (q, j) < (p, i))
+        want[i] = (any(set(names) & set(o) for _, _, o in before), next((j for _, j, o in reversed(before) if set(names) <= set(o)), None))
+    got = namesets.earlier_sets(spark.createDataFrame(rows, "k string, i long, p long, names array<string>"), "k", "p", "i", "names").collect()
+    assert {r["i"]: (r["shares"], r["container"]) for r in got} == want and want[153] == (True, 151)
+
+
 def test_accept_disjoint(spark, ranges):
     want = set()
     for k in ("f", "g", None):
