@@ -54,3 +54,51 @@ def located_range(rows: DataFrame, item: str, lines: str, head: str, tail: str,
     near = (F.col("a.distance") <= most) & (F.col("b.distance") <= most)
     free = F.col("a.position") <= F.col("b.position")
     return found.select(item, F.when(near, F.when(free, F.col("a.position")).otherwise(F.col("pair.head"))).alias("first"), F.when(near, F.when(free, F.col("b.position")).otherwise(F.col("pair.tail"))).alias("last"))
+
+
+def window_scores(lines: Column, context: Column, most: float = 1.0, anchored: bool = False, tail: bool = False) -> Column:
+    """The distance of ``context`` to each window of as many elements, by start; anchored windows reach to the last element.
+
+    Windows whose length alone puts them above ``most`` count as infinitely far.
+
+    For a tail both are taken in reverse order, so windows are numbered from the end and anchored ones reach to the first
+    element. No element for an empty context, or one longer than the lines.
+    """
+    ls, c = (F.reverse(lines), F.reverse(context)) if tail else (lines, context)
+    n = F.size(c)
+    starts = F.when((n > 0) & (F.size(ls) >= n), F.sequence(F.lit(0), F.size(ls) - n)).otherwise(F.array().cast("array<int>"))
+    windows = F.transform(starts, lambda i: F.array_join(F.slice(ls, i + 1, F.size(ls) - i if anchored else n), ""))
+    wanted = F.array_join(c, "")
+    far = lambda x: F.abs(F.length(x) - F.length(wanted)) / F.greatest(F.length(x), F.length(wanted), F.lit(1)) > most
+    return F.transform(windows, lambda x: F.when(far(x), F.lit(float("inf"))).otherwise(distance(x, wanted)))
+
+
+def best_start(scores: Column, most: float) -> Column:
+    """The first position of the least score that is at most ``most``; null if there is none."""
+    return F.when(F.array_min(scores) <= most, F.array_position(scores, F.array_min(scores)) - 1)
+
+
+def bounded_pair(heads: Column, tails: Column, n: Column, least: Column, longest: Column, most: float) -> Column:
+    """(sum, head, tail) of least sum of a head and a tail score, both at most ``most``, with least <= gap <= longest.
+
+    A head is the end of its window of ``n`` elements, a tail the start of its window; the first head, then the first
+    tail of equals. Only scores within ``most`` are paired.
+    """
+    placed = lambda scores, off: F.filter(F.transform(scores, lambda x, i: F.struct(x.alias("d"), (i + off).cast("long").alias("at"))), lambda v: v["d"] <= most)
+    ends, starts = placed(heads, n), placed(tails, F.lit(0))
+    fits = lambda a: F.filter(starts, lambda b: (b["at"] >= a["at"] + least) & (b["at"] <= a["at"] + longest))
+    return F.array_min(F.flatten(F.transform(ends, lambda a: F.transform(fits(a), lambda b: F.struct((a["d"] + b["d"]).alias("sum"), a["at"].alias("head"), b["at"].alias("tail"))))))
+
+
+def context_range(rows: DataFrame, item: str, most: float, factor: int = 100) -> DataFrame:
+    """(item, ``first``, ``last``): the range of ``lines`` between the windows nearest to the lines of ``head`` and ``tail``.
+
+    Both are searched independently, the head's first and the tail's last of equals. If they cross, the pair of least sum
+    is taken whose gap is at least the lesser number of lines in ``base`` and ``remote`` divided by ``factor`` and at most
+    the greater times ``factor``. Null if a context is empty or not found, or if no pair fits.
+    """
+    sizes = F.size("base").cast("long"), F.size("remote").cast("long")
+    scored = rows.where(F.greatest(*sizes) > 0).select(item, F.size("lines").alias("size"), F.size("head").alias("n"), F.size("tail").alias("m"), F.floor(F.least(*sizes) / factor).alias("least"), (F.greatest(*sizes) * factor).alias("longest"), window_scores(F.col("lines"), F.col("head"), most).alias("h"), window_scores(F.col("lines"), F.col("tail"), most, tail=True).alias("t"))
+    found = scored.select("*", (best_start(F.col("h"), most) + F.col("n")).alias("a"), (F.col("size") - best_start(F.col("t"), most) - F.col("m")).alias("b"))
+    paired = found.select("*", F.when(F.col("a") > F.col("b"), bounded_pair(F.col("h"), F.reverse("t"), F.col("n"), F.col("least"), F.col("longest"), most)).alias("pair"))
+    return paired.select(item, F.when(F.col("a") <= F.col("b"), F.col("a")).otherwise(F.col("pair.head")).alias("first"), F.when(F.col("a") <= F.col("b"), F.col("b")).otherwise(F.col("pair.tail")).alias("last"))

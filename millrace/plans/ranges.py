@@ -170,3 +170,59 @@ def top2_uncertain(spark: SparkSession, folder: str) -> DataFrame:
 def relocate_both(spark: SparkSession, folder: str) -> DataFrame:
     """Where the patch belongs in the code, by its first and last context line."""
     return fuzzy.located_range(_located(spark, folder), "request_id", "lines", "head", "tail", 0.75)
+
+
+def _framed(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests with the lines of their code, and of their patch the leading and trailing context and both sides between."""
+    rows = table(spark, folder, "api_requests").where("patch is not null and code is not null")
+    rows = rows.select("request_id", tx.bare_lines(F.col("code")).alias("c"), tx.bare_lines(F.col("patch")).alias("p"))
+    rows = rows.select("request_id", "c", F.slice("p", F.array_position(F.transform("p", lambda x: x.startswith("@@")), True).cast("int") + 1, F.size("p")).alias("p"))
+    changed = lambda x: x.startswith("+") | x.startswith("-")
+    first = F.array_position(F.transform("p", changed), True).cast("int")
+    last = F.size("p") + 1 - F.array_position(F.reverse(F.transform("p", changed)), True).cast("int")
+    rows = rows.where(F.exists("p", changed)).select("*", first.alias("f"), last.alias("l"))
+    ended = lambda x: F.concat(x, F.lit("\n"))
+    side = lambda start, length, keep: F.transform(F.filter(F.slice("p", start, length), keep), lambda x: ended(F.substr(x, F.lit(2))))
+    kept, inner = lambda x: x.startswith(" "), (F.col("f"), F.col("l") - F.col("f") + 1)
+    parts = {"head": side(F.lit(1), F.col("f") - 1, kept), "tail": side(F.col("l") + 1, F.size("p"), kept), "base": side(*inner, lambda x: kept(x) | x.startswith("-")), "remote": side(*inner, lambda x: kept(x) | x.startswith("+"))}
+    return rows.select("request_id", F.transform("c", ended).alias("lines"), *(v.alias(k) for k, v in parts.items()))
+
+
+_ENDED = "list_transform({0}, lambda x: {1} || chr(10))"
+_FRAMED = rf"""x AS (SELECT request_id, {_SPLIT.format('code')} AS c, {_SPLIT.format('patch')} AS p FROM api_requests WHERE patch IS NOT NULL AND code IS NOT NULL),
+  y AS (SELECT request_id, c, p[coalesce(list_position(list_transform(p, lambda x: starts_with(x, '@@')), true), 0) + 1:] AS p FROM x),
+  z AS (SELECT *, list_position(list_transform(p, lambda x: x[1] IN ('+', '-')), true) AS f, len(p) + 1 - list_position(list_reverse(list_transform(p, lambda x: x[1] IN ('+', '-'))), true) AS l FROM y WHERE len(list_filter(p, lambda x: x[1] IN ('+', '-'))) > 0),
+  w AS (SELECT request_id, {_ENDED.format('c', 'x')} AS lines, {_ENDED.format("list_filter(p[1:f - 1], lambda x: x[1] = ' ')", 'x[2:]')} AS head, {_ENDED.format("list_filter(p[l + 1:], lambda x: x[1] = ' ')", 'x[2:]')} AS tail,
+    {_ENDED.format("list_filter(p[f:l], lambda x: x[1] IN (' ', '-'))", 'x[2:]')} AS base, {_ENDED.format("list_filter(p[f:l], lambda x: x[1] IN (' ', '+'))", 'x[2:]')} AS remote FROM z)"""
+
+
+def _windows(context: str, anchored: bool = False, tail: bool = False) -> str:
+    ls, c = ("list_reverse(lines)", f"list_reverse({context})") if tail else ("lines", context)
+    window = f"array_to_string(({ls})[i + 1:{'' if anchored else f' i + len({c})'}], '')"
+    return f"CASE WHEN len({c}) > 0 AND len({ls}) >= len({c}) THEN list_transform(range(0, len({ls}) - len({c}) + 1), lambda i: {_DIST.format(window, f"array_to_string({c}, {chr(39) * 2})")}) ELSE [] END"
+
+
+_START = "CASE WHEN list_min({0}) <= {1} THEN list_position({0}, list_min({0})) - 1 END"
+
+
+@query(f"""WITH {_FRAMED}, s AS (SELECT request_id, len(lines) AS size, len(head) AS n, len(tail) AS m, len(base) AS nb, len(remote) AS nr, {_windows('head')} AS h, {_windows('tail', tail=True)} AS t, {_windows('head', True)} AS ha, {_windows('tail', True, True)} AS ta, {_windows('base')} AS b, {_windows('remote')} AS r FROM w)
+  SELECT request_id, {_START.format('h', 0.75)} + n AS head, size - ({_START.format('t', 0.75)}) - m AS tail, {_START.format('ha', 0.75)} + n AS head_anchored, size - ({_START.format('ta', 0.75)}) - m AS tail_anchored, coalesce({_START.format('b', 0.1)} + nb, {_START.format('r', 0.05)} + nr) AS side_end FROM s""")
+def context_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Ends of the windows nearest to the leading context and starts of those nearest to the trailing one, free and anchored,
+    and the end of the base lines or, if they are not there, of the remote lines."""
+    win = lambda c, most=0.75, **kw: fuzzy.window_scores(F.col("lines"), F.col(c), most, **kw)
+    kinds = {"h": win("head"), "t": win("tail", tail=True), "ha": win("head", anchored=True), "ta": win("tail", anchored=True, tail=True), "b": win("base", 0.1), "r": win("remote", 0.05)}
+    s = _framed(spark, folder).select("request_id", *(F.size(c).alias(f"n_{c}") for c in ("lines", "head", "tail", "base", "remote")), *(v.alias(k) for k, v in kinds.items()))
+    end = lambda c, n, most: fuzzy.best_start(F.col(c), most) + F.col(n)
+    start = lambda c: F.col("n_lines") - fuzzy.best_start(F.col(c), 0.75) - F.col("n_tail")
+    side = F.coalesce(end("b", "n_base", 0.1), end("r", "n_remote", 0.05))
+    return s.select("request_id", end("h", "n_head", 0.75).alias("head"), start("t").alias("tail"), end("ha", "n_head", 0.75).alias("head_anchored"), start("ta").alias("tail_anchored"), side.alias("side_end"))
+
+
+@query(f"""WITH {_FRAMED}, s AS (SELECT request_id, len(lines) AS size, len(head) AS n, len(tail) AS m, least(len(base), len(remote)) // 100 AS least_gap, greatest(len(base), len(remote)) * 100 AS most_gap, {_windows('head')} AS h, {_windows('tail', tail=True)} AS t FROM w WHERE greatest(len(base), len(remote)) > 0),
+  o AS (SELECT *, {_START.format('h', 0.75)} + n AS a, size - ({_START.format('t', 0.75)}) - m AS b FROM s), hs AS (SELECT request_id, least_gap, most_gap, unnest(h) AS d, generate_subscripts(h, 1) - 1 + n AS at FROM o WHERE a > b), ts AS (SELECT request_id, unnest(list_reverse(t)) AS d, generate_subscripts(t, 1) - 1 AS at FROM o WHERE a > b),
+  g AS (SELECT request_id, min_by(hs.at, (hs.d + ts.d, hs.at, ts.at)) AS a2, min_by(ts.at, (hs.d + ts.d, hs.at, ts.at)) AS b2 FROM hs JOIN ts USING (request_id) WHERE hs.d <= 0.75 AND ts.d <= 0.75 AND ts.at - hs.at BETWEEN least_gap AND most_gap GROUP BY request_id)
+  SELECT request_id, CASE WHEN a <= b THEN a ELSE a2 END AS first, CASE WHEN a <= b THEN b ELSE b2 END AS last FROM o LEFT JOIN g USING (request_id)""")
+def context_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the patch belongs in the code, by all lines of its leading and trailing context."""
+    return fuzzy.context_range(_framed(spark, folder), "request_id", 0.75)

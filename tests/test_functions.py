@@ -100,6 +100,20 @@ def test_best_pair(spark):
     assert tuple(got[0]) == (0.0, 1, 3) and got[1] is None and got[2]["head"] == got[2]["tail"] == 0
 
 
+def test_windows_of_the_whole_context(spark):
+    schema = "i int, lines array<string>, head array<string>, tail array<string>, base array<string>, remote array<string>"
+    code = ["}\n", "aaaa\n", "}\n", "bbbb\n", "xxxx\n", "cccc\n", "}\n", "dddd\n", "}\n"]
+    rows = [(1, code, ["}\n", "bbbb\n"], ["cccc\n", "}\n"], ["xxxx\n"], ["y\n"]), (2, code, [], ["}\n"], ["x\n"], []), (3, code, ["dddd\n"], ["aaaa\n"], ["x\n"], [])]
+    got = {r["i"]: (r["first"], r["last"]) for r in fuzzy.context_range(spark.createDataFrame(rows, schema), "i", 0.5).collect()}
+    assert got == {1: (4, 5), 2: (None, None), 3: (None, None)}  # the first and last brace alone would give the wrong place
+    start = lambda **kw: fuzzy.best_start(fuzzy.window_scores(F.col("l"), F.col("c"), **kw), 0.5)
+    both = lambda ls, c, **kw: values(spark, [(ls, c)], "l array<string>, c array<string>", start(**kw))
+    assert both(["b\n", "a\n", "b\n"], ["b\n"]) == both(["b\n", "a\n", "b\n"], ["b\n"], tail=True) == [0]
+    assert both(["b\n", "a\n", "c\n"], ["a\n", "c\n"], anchored=True) == [1] and both(["zz\n"], ["abcdef\n"]) == [None]
+    pair = lambda least, longest: values(spark, [([0.1, 0.5], [0.0, 0.1, 0.3, 0.2])], "h array<double>, t array<double>", fuzzy.bounded_pair(F.col("h"), F.col("t"), F.lit(1), F.lit(least), F.lit(longest), 0.4))[0]
+    assert tuple(pair(0, 9))[1:] == (1, 1) and tuple(pair(1, 1))[1:] == (1, 2) and tuple(pair(1, 9))[1:] == (1, 3) and pair(3, 9) is None
+
+
 def test_sources(spark, tmp_path):
     rows = [(1, "a,\"b\"\nc", True, False, None, 1.5, 3, None, -0.5, "x\ny", False, "p", "c^")]
     df = spark.createDataFrame(rows, csv.RESULT_SCHEMA)
