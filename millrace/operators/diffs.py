@@ -7,6 +7,7 @@ the matcher of Python's standard library; applying it always gives the second te
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import unified_diff
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_WORD = re.compile(r"[A-Za-z0-9_]+")
+
 
 def _diff(a: str | None, b: str | None, n: int) -> str | None:
     if a is None or b is None or a == b:
@@ -37,3 +40,35 @@ def line_diffs(df: DataFrame, item: str, before: str, after: str, n: int = 1) ->
 
     slim = df.select(F.col(item).alias("i"), F.col(before).alias("a"), F.col(after).alias("b"))
     return slim.mapInArrow(run, f"i {dict(slim.dtypes)['i']}, diff string").withColumnRenamed("i", item)
+
+
+def common_words(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence, bit-parallel over the first list."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    v = every
+    for x in b:
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & every
+    return len(a) - v.bit_count()
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            wa, wb = _WORD.findall(a), _WORD.findall(b)
+            kept = common_words(wa, wb)
+            found.append((len(wa) - kept, len(wb) - kept, kept))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[j] for f in found], pa.int64()) for j in range(3))], ["item", "gone", "new", "kept"])
+
+
+def word_counts(df: DataFrame, item: str, a: str, b: str) -> DataFrame:
+    """(item, ``gone``, ``new``, ``kept``): words in order, so moves and repeated words count; rows with a null are left out.
+
+    ``kept`` is the longest common subsequence of the two sides' words (ASCII letters, digits and underscores).
+    """
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(item).cast("long").alias("item"), a, b)
+    return rows.mapInArrow(_word_counts, "item long, gone long, new long, kept long").withColumnRenamed("item", item)

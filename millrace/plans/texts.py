@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import hunks
+from millrace.operators import diffs, hunks
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -238,6 +238,12 @@ def word_changes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("entry_index", F.size(F.array_except("a", "b")).alias("gone"), F.size(F.array_except("b", "a")).alias("new"), F.size(F.array_intersect("a", "b")).alias("kept"))
 
 
+@query()
+def word_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that are gone, new and kept between two sides, in order."""
+    return diffs.word_counts(table(spark, folder, "test_entries"), "entry_index", "code", "patched_code")
+
+
 @query(r"""SELECT request_id, replace(replace(rtrim(base64(unhex(sha256(coalesce(patch, '')))), '='), '+', '-'), '/', '_') AS short FROM api_requests""")
 def url_key(spark: SparkSession, folder: str) -> DataFrame:
     """A content key in URL-safe base64 without padding."""

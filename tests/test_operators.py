@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,23 @@ def test_diffs_turn_one_text_into_the_other(spark):
         assert (apply(got[i], a) if got[i] else a) == b
 
 
+def test_words_in_order(spark):
+    rng = random.Random(12)
+    rows = [(0, "a b b c", "a b c"), (1, "a b", "b a"), (2, "x, y", "x y"), (3, "", "p q"), (4, None, "a")]
+    rows += [(10 + i, " ".join(rng.choices("abcd", k=rng.randrange(90))), " ".join(rng.choices("abcd", k=rng.randrange(90)))) for i in range(40)]
+    want = {}
+    for i, a, b in rows:
+        if a is not None:
+            wa, wb = re.findall(r"\w+", a), re.findall(r"\w+", b)
+            best = [[0] * (len(wb) + 1) for _ in range(len(wa) + 1)]
+            for m, x in enumerate(wa):
+                for n, y in enumerate(wb):
+                    best[m + 1][n + 1] = best[m][n] + 1 if x == y else max(best[m][n + 1], best[m + 1][n])
+            want[i] = (len(wa) - best[-1][-1], len(wb) - best[-1][-1], best[-1][-1])
+    got = {r["i"]: (r["gone"], r["new"], r["kept"]) for r in diffs.word_counts(spark.createDataFrame(rows, "i long, a string, b string"), "i", "a", "b").collect()}
+    assert got == want and got[0] == (1, 0, 3) and got[1] == (1, 1, 1)
+
+
 def test_turned_true(spark):
     schema = "k int, f boolean, at int"
     a = spark.createDataFrame([(0, False, 1), (1, True, 1), (2, False, 1), (2, True, 2), (3, False, 1), (5, False, 1), (5, False, 2), (6, None, 1)], schema)
