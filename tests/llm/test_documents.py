@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
 
 from millrace.llm import encode, pack, tokenizer
-from millrace.llm.sentences import abbreviations, sentences, units
+from millrace.llm.sentences import abbreviations, learn, segment, sentences, units
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +131,45 @@ def test_sentence_rows(spark):
     got = sorted((r["d"] or 0, r["start_pos"], r["end_pos"]) for r in sentences(df, "d", "t").collect())
     assert got == sorted([(1, 0, 3), (1, 4, 7)] * 2 + [(0, 0, 3), (0, 4, 5), (4, 0, 199_999)])
     assert sentences(df.limit(0), "d", "t").count() == 0
+
+
+def test_long_white_space_and_long_words_hide_no_sentence():
+    for n in (2, 250, 5000):
+        text = "First one here." + " " * n + "Second one here. Third one here."
+        assert [text[a:b] for a, b in units(text)] == ["First one here.", "Second one here.", "Third one here."]
+    word = "x" * 3000
+    text = f"{word}. Then {word} ran. Dr. {word} left."
+    assert [text[a:b] for a, b in units(text)] == [f"{word}.", f"Then {word} ran.", f"Dr. {word} left."]
+
+
+def test_time_grows_with_the_length_of_a_paragraph():
+    for piece in ('He said "no." Then x1. Dr. A came. "Why?" ', "a.b.c.", "x. ", "。」", "ก ข "):
+        took = []
+        for n in (50_000, 400_000):
+            text = piece * (n // len(piece))
+            began = time.process_time()
+            units(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 0.5, piece
+
+
+def test_lattice_takes_the_path_of_fewest_words():
+    assert segment("とにかくのちに", ["と", "に", "かく", "とにかく", "の", "のち", "のちに"]) == ["とにかく", "のちに"]
+    assert segment("abxcd", ["ab", "cd"]) == ["ab", "x", "cd"]
+    assert segment("", ["a"]) == []
+
+
+def test_greek_question_marks_need_a_greek_sentence():
+    case = ["Ναι.", "Χρειάζεται ακόμη;", "Call f(a; b) now.", "X = 1; y = 2; end."]
+    text = " ".join(case)
+    assert [text[a:b] for a, b in units(text)] == case
+
+
+def test_opening_words_are_learned_from_all_rows(spark):
+    rows = [("旧版です。がんばれと言った。「中身」と書いた。「終わり」が残る。",) for _ in range(60)]
+    df = spark.createDataFrame(rows, "t string")
+    learned = learn(df, "t")
+    assert "がんばれ" in learned.openers and "と" not in learned.openers
+    text = "彼は「消して。」がんばれ。"
+    assert [text[a:b] for a, b in units(text)] == [text]
+    assert [text[a:b] for a, b in units(text, learned)] == ["彼は「消して。」", "がんばれ。"]
