@@ -166,7 +166,7 @@ def test_greek_question_marks_need_a_greek_sentence():
 
 
 def test_opening_words_are_learned_from_all_rows(spark):
-    rows = [("旧版です。がんばれと言った。「中身」と書いた。「終わり」が残る。",) for _ in range(60)]
+    rows = [("旧版です。がんばれと言った。「中身」という題だ。「終わり」が残る。",) for _ in range(60)]
     df = spark.createDataFrame(rows, "t string")
     learned = learn(df, "t")
     assert "がんばれ" in learned.openers and "と" not in learned.openers
