@@ -20,7 +20,7 @@ _WIDE = "一-龥ぁ-ゖァ-ヺ"
 _WIDE_MARK = "、。，！？：；"
 #: Positions at which a pre-token starts whatever stands further left or right: white space after a visible character
 #: (no pre-token has a visible character before white space), and changes between wide letters and wide marks.
-SURE = re.compile(rf"(?<=[A-Za-z0-9)\]}}>.,;:!?\"{_WIDE}{_WIDE_MARK}가-힣а-яก-ฮ])(?=[ \n\t])|(?<=[{_WIDE}])(?=[{_WIDE_MARK}])|(?<=[{_WIDE_MARK}])(?=[{_WIDE}])")
+SURE = re.compile(rf"(?<=\S)(?=[ \n\t])|(?<=[{_WIDE}])(?=[{_WIDE_MARK}])|(?<=[{_WIDE_MARK}])(?=[{_WIDE}])")
 
 
 @lru_cache(maxsize=4)
