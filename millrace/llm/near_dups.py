@@ -7,28 +7,28 @@ partitions, partition i gets a threshold T_i, and if the sum of (T_i + 1) exceed
 T_i slots of some partition. A partition of r slots with threshold T is probed by the hashes of its (r - T)-subsets;
 a threshold of -1 leaves the partition out.
 
-* Correlated bits stay together: the bits of one slot flip together and are never parted, and slots with alike numbers
-  of chance collisions (shared boilerplate makes some slots agree in many records) are put into one partition, so
-  that partitions differ as much as possible.
-* Candidate counts are estimated for every partition and threshold from hashed counts over *all* codes
-  (:func:`_candidates`), and the T_i are the cheapest choice by dynamic programming (:func:`allocate`).
+* Correlated bits stay together: the bits of one slot flip together and are never parted, and slots that agree in the same
+  pairs of records (as under shared boilerplate) are put into one partition. How often two slots agree together is
+  estimated from hashed counts of their joint values over *all* codes (:func:`correlated`).
+* Candidate counts are estimated in the same way for every partition and threshold (:func:`_candidates`), and the T_i are
+  the cheapest choice by dynamic programming (:func:`allocate`).
+* D is not fixed: it is the least number for which the chance that a pair at the threshold of similarity meets in no
+  partition is at most ``LOSS`` (:func:`missed`), whatever ``percent`` is.
 * Candidates are verified on the exact shingle sets.
 
-Records with the same set are one code, their *class*, so groups of exact copies are never paired. What is lost: a
-pair at the threshold that differs in more than D slots and meets in no partition; the chance at J = 0.7 is about 1 in
-10,000 with the defaults, and falls quickly with J.
+Records with the same set are one code, their *class*, so groups of exact copies are never paired.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.graph import components
@@ -36,8 +36,12 @@ from millrace.storage import materialize
 
 SLOTS = 40
 PARTITION = 4
-MOST_DIFFERENT = 17
+#: Greatest chance that a pair right at the threshold is not found; it falls quickly above the threshold.
+LOSS = 1e-5
 BUCKETS = 1024
+JOINT_BUCKETS = 256
+#: How many count vectors are added up in one group at a time.
+FAN_IN = 512
 RANK_PARTS = 64
 HOT = 256
 WORK_BYTES = 4 << 20
@@ -206,36 +210,86 @@ def _signatures(codes: np.ndarray, slots: Sequence[int], threshold: int, salt: i
     return out
 
 
-def _counter(groups: Sequence[Sequence[int]]):
-    """codes -> (kind, count vector): hashed counts, of each slot's values, or of each partition's signatures."""
+def _joint(codes: np.ndarray, i: int, j: int) -> np.ndarray:
+    return _mix(codes[:, i].astype(U) << U(32) | codes[:, j].astype(U))
+
+
+def _counter(groups: Sequence[Sequence[int]], buckets: int):
+    """codes -> (kind, part, counts): hashed counts, of the joint values of each two slots (a slot and itself included), or of
+    each partition's signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             codes = _codes(batch.column(0))
             if groups:
-                columns = [(i * 64 + t * 16 + j, x) for i, slots in enumerate(groups) for t in range(PARTITION - 1) for j, x in enumerate(_signatures(codes, slots, t, i))]
+                columns = ((i * 64 + t * 16 + j, x) for i, slots in enumerate(groups) for t in range(PARTITION) for j, x in enumerate(_signatures(codes, slots, t, i)))
             else:
-                columns = [(j, _mix(codes[:, j].astype(U))) for j in range(SLOTS)]
+                columns = ((i * SLOTS + j, _joint(codes, i, j)) for i in range(SLOTS) for j in range(i, SLOTS))
             for kind, x in columns:
-                total[kind] = total.get(kind, 0) + np.bincount((x % U(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], ["kind", "counts"])
+                total[kind] = total.get(kind, 0) + np.bincount((x % U(buckets)).astype(np.int64), minlength=buckets)
+        yield _vectors(list(total), total.values())
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """The pairs that fall together beyond those expected of an even spread over the buckets."""
+def _vectors(kinds: Sequence[int], counts: Iterable[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([v.astype("<i8").tobytes() for v in counts], pa.binary())], ["kind", "counts"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One vector for the vectors of a kind."""
     v = reduce(np.add, (np.frombuffer(b.as_py(), "<i8") for b in table.column("counts")))
-    excess = float((v.astype(float) ** 2).sum() - v.sum() ** 2 / BUCKETS - v.sum())
-    return pa.table({"kind": pa.array([table.column("kind")[0].as_py()], pa.int32()), "excess": [max(excess, 0.0) / 2]})
+    return pa.Table.from_batches([_vectors(table.column("kind").to_pylist()[:1], [v])])
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """One row (``kind``, ``counts``) for each kind: the sum of its vectors, one of each task before.
+
+    The vectors are added up in two levels: those of ``FAN_IN`` tasks at a time first, so no group holds those of all tasks.
+    """
+    near = counts.withColumn("part", F.floor(F.spark_partition_id() / FAN_IN)).groupBy("kind", "part").applyInArrow(_added, "kind int, counts binary")
+    return near.groupBy("kind").applyInArrow(_added, "kind int, counts binary")
+
+
+def _excess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that fall together beyond those expected of an even spread over the buckets."""
+    for batch in batches:
+        v = [np.frombuffer(b.as_py(), "<i8").astype(float) for b in batch.column(1)]
+        excess = [max(float((x**2).sum() - x.sum() ** 2 / len(x) - x.sum()), 0.0) / 2 for x in v]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(excess, pa.float64())], ["kind", "excess"])
 
 
 def _candidates(codes: DataFrame, groups: Sequence[Sequence[int]]) -> dict[int, float]:
     """Estimated chance pairs by kind, over all codes; one number for each kind comes to the driver."""
-    counts = codes.select("code").mapInArrow(_counter(groups), "kind int, counts binary")
-    return {r["kind"]: r["excess"] for r in counts.groupBy("kind").applyInArrow(_summed, "kind int, excess double").collect()}
+    counts = codes.select("code").mapInArrow(_counter(groups, BUCKETS if groups else JOINT_BUCKETS), "kind int, counts binary")
+    return {r["kind"]: r["excess"] for r in summed(counts).mapInArrow(_excess, "kind int, excess double").collect()}
+
+
+def correlated(both: dict[int, float]) -> list[list[int]]:
+    """Partitions of slots that agree in the same pairs; ``both[i * SLOTS + j]`` is how often slots i <= j agree together.
+
+    From the slot that agrees most often on, each partition takes the slots whose agreement is most like that of the
+    slots it has, by the cosine of the two.
+    """
+    often = lambda i, j: both.get(min(i, j) * SLOTS + max(i, j), 0.0)
+    alike = lambda i, j: often(i, j) / (often(i, i) * often(j, j)) ** 0.5 if often(i, i) and often(j, j) else 0.0
+    left, groups = set(range(SLOTS)), []
+    while left:
+        group = [max(left, key=lambda i: (often(i, i), -i))]
+        left -= set(group)
+        while len(group) < PARTITION:
+            group.append(max(left, key=lambda j: (sum(alike(i, j) for i in group), -j)))
+            left.discard(group[-1])
+        groups.append(group)
+    return groups
+
+
+def missed(thresholds: Sequence[int], percent: int) -> float:
+    """The chance that two records of similarity ``percent`` meet in no partition: more than T_i slots differ in each."""
+    same = percent / 100
+    differ = lambda t: sum(comb(PARTITION, d) * (1 - same) ** d * same ** (PARTITION - d) for d in range(t + 1, PARTITION + 1))
+    return reduce(lambda x, t: x * differ(t), thresholds, 1.0)
 
 
 def allocate(cost: Sequence[Sequence[float]], need: int) -> list[int]:
@@ -252,15 +306,17 @@ def allocate(cost: Sequence[Sequence[float]], need: int) -> list[int]:
     return best[need][1]
 
 
-def plan(codes: DataFrame, rows: int) -> tuple[list[list[int]], list[int]]:
+def plan(codes: DataFrame, rows: int, percent: int) -> tuple[list[list[int]], list[int]]:
     """The partitions of the slots and their thresholds."""
-    by_slot = _candidates(codes, ())
-    order = sorted(range(SLOTS), key=lambda j: (by_slot.get(j, 0.0), j))
-    groups = [order[i : i + PARTITION] for i in range(0, SLOTS, PARTITION)]
+    groups = correlated(_candidates(codes, ()))
     estimate = _candidates(codes, groups)
-    probes = [comb(PARTITION, t) for t in range(PARTITION - 1)]
-    cost = [[rows * probes[t] + sum(estimate.get(i * 64 + t * 16 + j, 0.0) for j in range(probes[t])) for t in range(PARTITION - 1)] for i in range(len(groups))]
-    return groups, allocate(cost, MOST_DIFFERENT + 1)
+    probes = [comb(PARTITION, t) for t in range(PARTITION)]
+    cost = [[rows * probes[t] + sum(estimate.get(i * 64 + t * 16 + j, 0.0) for j in range(probes[t])) for t in range(PARTITION)] for i in range(len(groups))]
+    for most_different in range(SLOTS):
+        thresholds = allocate(cost, most_different + 1)
+        if missed(thresholds, percent) <= LOSS:
+            break
+    return groups, thresholds
 
 
 def _prober(groups: Sequence[Sequence[int]], thresholds: Sequence[int]):
@@ -298,14 +354,13 @@ def _shingle_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     total = np.zeros(BUCKETS * RANK_PARTS, np.int64)
     for _, _, h in _flat_sets(batches):
         total += np.bincount(_place(h), minlength=len(total))
-    if total.any():
-        parts = [v.astype("<i8").tobytes() for v in total.reshape(RANK_PARTS, BUCKETS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(RANK_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["kind", "counts"])
+    yield _vectors(range(RANK_PARTS), total.reshape(RANK_PARTS, BUCKETS))
 
 
-def _ranked(table: pa.Table) -> pa.Table:
-    v = reduce(np.add, (np.frombuffer(b.as_py(), "<i8") for b in table.column("counts")))
-    return pa.table({"kind": pa.array([table.column("kind")[0].as_py()], pa.int32()), "ranks": pa.array([(6 * np.log2(1 + v.astype(float))).astype(np.uint8).tobytes()], pa.binary())})
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ranks = [(6 * np.log2(1 + np.frombuffer(b.as_py(), "<i8").astype(float))).astype(np.uint8).tobytes() for b in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ranks, pa.binary())], ["kind", "ranks"])
 
 
 def _prefixer(ranks: bytes, percent: int):
@@ -323,6 +378,14 @@ def _prefixer(ranks: bytes, percent: int):
     return run
 
 
+def with_counts(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` has more than one row, with the number ``c`` of its rows.
+
+    Counts combine on the map side and are joined back, and the join splits a hot key, so its rows never meet in one task.
+    """
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias("c")).where("c > 1"), key)
+
+
 def exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(``a``, ``b``), a < b, maybe repeated: a superset of all pairs of ``sets`` (id, set) with the similarity.
 
@@ -330,10 +393,10 @@ def exact_pairs(sets: DataFrame, percent: int) -> DataFrame:
     similarity share one of their first n - ceil(n * similarity) + 1. The order is by hashed counts, which decide on
     the speed only. Shingles with many sets are salted, so about ``HOT`` of them at a time meet the rest.
     """
-    counts = sets.mapInArrow(_shingle_counter, "kind int, counts binary").groupBy("kind").applyInArrow(_ranked, "kind int, ranks binary")
+    counts = summed(sets.mapInArrow(_shingle_counter, "kind int, counts binary")).mapInArrow(_ranked, "kind int, ranks binary")
     ranks = b"".join(bytes(r["ranks"]) for r in sorted(counts.collect(), key=lambda r: r["kind"]))
     first = sets.mapInArrow(_prefixer(ranks, percent), "x long, id long, n int, p int")
-    first = materialize(first.withColumn("c", F.count("*").over(Window.partitionBy("x"))).where("c > 1").withColumn("salts", F.ceil(F.col("c") / HOT).cast("int")), "prefixes")
+    first = materialize(with_counts(first, "x").withColumn("salts", F.ceil(F.col("c") / HOT).cast("int")), "prefixes")
     left = first.select("x", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
     right = first.select("x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
     # at the first shingle that both have, the sets cannot have more in common than the shorter rest
@@ -348,9 +411,9 @@ def candidate_pairs(codes: DataFrame, rows: int, percent: int) -> DataFrame:
     large group; instead of pairing all of them, all similar pairs of classes in hot signatures are found on their
     exact sets (:func:`exact_pairs`), so one shared signature is enough for a pair whatever its size.
     """
-    groups, thresholds = plan(codes, rows)
+    groups, thresholds = plan(codes, rows, percent)
     probes = codes.select("id", "n", "code").mapInArrow(_prober(groups, thresholds), "sig long, id long, n int")
-    counted = materialize(probes.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"), "signatures")
+    counted = materialize(with_counts(probes, "sig"), "signatures")
     cool = counted.where(F.col("c") <= HOT)
     met = _pairs_within(cool, ["sig"], percent)
     if counted.where(F.col("c") > HOT).limit(1).count():

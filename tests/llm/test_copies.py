@@ -100,7 +100,7 @@ def test_hot_signatures_lose_no_pair(spark, monkeypatch):
 def test_one_hot_signature_is_enough(spark, monkeypatch):
     rng = random.Random(4)
     monkeypatch.setattr(near_dups, "HOT", 4)
-    monkeypatch.setattr(near_dups, "plan", lambda codes, rows: ([list(range(i, i + 4)) for i in range(0, 40, 4)], [2] * 10))
+    monkeypatch.setattr(near_dups, "plan", lambda codes, rows, percent: ([list(range(i, i + 4)) for i in range(0, 40, 4)], [2] * 10))
     base, rows = [rng.sample(range(10**6), 30) for _ in range(4)], []
     for i in range(60):  # all agree in the first two slots and nowhere else: one shared signature, of 60 classes
         s = sorted({rng.randrange(10**6) if rng.random() < 0.08 else x for x in base[i % 4]})
@@ -111,6 +111,46 @@ def test_one_hot_signature_is_enough(spark, monkeypatch):
     assert len(want) > 100 and want <= set(got) and len(got) == len(set(got))
 
 
+def test_loss_is_bounded_at_every_similarity(spark):
+    cost = [[1 + i, 5 + i, 11 + i, 90 + i] for i in range(10)]
+    for percent in (40, 55, 70, 80, 90):
+        least = next(d for d in range(40) if near_dups.missed(near_dups.allocate(cost, d + 1), percent) <= near_dups.LOSS)
+        thresholds = near_dups.allocate(cost, least + 1)
+        rng = np.random.default_rng(percent)
+        agree = rng.random((200_000, 10, 4)) < percent / 100
+        met = ((~agree).sum(2) <= np.array(thresholds)).any(1)
+        assert met.mean() > 0.9999
+    rows = [(i, "", "", " ".join(w)) for i, w in enumerate([["a"] * 3 + [f"x{j}" for j in range(k, k + 60)] for k in range(0, 400, 20)])]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    got = {(r["a"], r["b"]) for r in near_dups.NearDuplicates(df, "id", ["a", "b", "c"], k=3, percent=40).pairs().collect()}
+    assert got == brute(rows, 3, 40) != set()
+
+
+def test_correlated_slots_share_a_partition():
+    both = {i * near_dups.SLOTS + i: 100.0 for i in range(near_dups.SLOTS)}
+    for i, j in combinations(range(near_dups.SLOTS), 2):
+        both[i * near_dups.SLOTS + j] = 90.0 if i % 10 == j % 10 else 10.0
+    assert sorted(sorted(g) for g in near_dups.correlated(both)) == [[i, i + 10, i + 20, i + 30] for i in range(10)]
+
+
+def test_boilerplate_gives_few_candidates(spark, monkeypatch):
+    """A header that all records share makes half of every set, and no true pair: candidates must not grow with the square."""
+    monkeypatch.setattr(near_dups, "HOT", 32)  # signatures of the header are hot at this size too
+    found = []
+    for n in (300, 900):
+        rng = random.Random(n)
+        header = " ".join(f"licence{i}" for i in range(102))
+        rows = [(i, header, " ".join(edited(rng, b, i % 2)), None) for i, b in ((i, [f"w{i // 2}x{j}" for j in range(102)]) for i in range(n))]
+        df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+        near = near_dups.NearDuplicates(df, "id", ["a", "b", "c"], k=3, percent=70)
+        codes = near.classes.select("id", "n", "code", "set")
+        found.append(near_dups.candidate_pairs(codes, n, 70).count())
+        if n == 300:
+            want = brute(rows, 3, 70)
+            assert {(r["a"], r["b"]) for r in near.pairs().collect()} == want and len(want) == 150
+    assert found[1] < 4 * found[0] + 100
+
+
 def test_no_records(spark):
     df = spark.createDataFrame([(1, None)], "id long, a string")
     near = near_dups.NearDuplicates(df, "id", ["a"])
