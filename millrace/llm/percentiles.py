@@ -1,17 +1,18 @@
 """Percentiles of very large numeric columns by exact bisection, mergeable over a part column such as the day.
 
 For every group and percentile an interval of values is kept that holds the value of the target rank. A pass halves
-every open interval ``HALVINGS`` times at once: it counts the rows below each midpoint, takes the piece that holds the
-target rank, and shrinks it to the least and greatest value that occur there. The interval is resolved when both are
-equal, so the result is the exact value of the rank and not an estimate.
+every open interval several times at once: it counts the rows below each midpoint, takes the piece that holds the target
+rank, and shrinks it to the least and greatest value that occur there. The interval is resolved when both are equal, so the
+result is the exact value of the rank and not an estimate. An interval is halved ``FEWEST_HALVINGS`` to ``HALVINGS`` times,
+so often that a large one has some rows for each piece; midpoints lie on a logarithmic scale, as tails are long.
 
 Counts are taken per part (day) first and then added up over the parts: the percentiles over all days come from what
 the single days yielded, for the same midpoints. What passes between tasks is one row per group, interval and piece.
 
-The rows are merged by identifier and written once as (group, part, column, value), and every pass is one scan of
-that table. Once the open intervals hold half of its rows or fewer, only those rows are written again for the passes
-that follow; after the first pass that is a small part. The intervals are joined by broadcast while their table is below ``BROADCAST_BYTES`` (checked, not
-assumed), else by a shuffle join.
+The rows are merged by identifier and written once as (group, part, column, value), and every pass is one scan, which
+counts the intervals of a value's own part and those over all parts. Whenever the open intervals hold half of the rows
+or fewer, only those rows are written again for the passes that follow; after the first pass that is a small part. The
+intervals are joined by broadcast while their table is below ``BROADCAST_BYTES`` (checked, not assumed), else by a shuffle join.
 """
 
 from __future__ import annotations
@@ -23,20 +24,29 @@ from pyspark.sql import functions as F
 
 from millrace.storage import materialize
 
-HALVINGS = 6
+HALVINGS, FEWEST_HALVINGS = 10, 6
 BROADCAST_BYTES = 16 << 20
 ROW_BYTES = 160
-#: Below so many values a pass over all of them costs less than writing fewer.
-SHRINK_ROWS = 2_000_000
 
 
-def _piece(v: Column, lo: Column, hi: Column, pieces: int) -> Column:
-    """Which of ``pieces`` equal parts of [lo, hi] holds ``v``; infinities have the outermost parts to themselves."""
+def _scale(v: Column) -> Column:
+    """A growing function of ``v`` on which long tails are short."""
+    return F.signum(v) * F.log1p(F.abs(v))
+
+
+def _pieces(rows: Column) -> Column:
+    """Into how many pieces an interval of so many rows is cut: a power of two."""
+    return F.pow(F.lit(2.0), F.least(F.greatest(F.floor(F.log2(rows.cast("double"))) - 2, F.lit(FEWEST_HALVINGS)), F.lit(HALVINGS)))
+
+
+def _piece(v: Column, lo: Column, hi: Column, pieces: Column) -> Column:
+    """Which of ``pieces`` parts of [lo, hi] holds ``v``; infinities have the outermost parts to themselves."""
     infinite = (F.abs(lo) == float("inf")) | (F.abs(hi) == float("inf"))
-    share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
-    within = F.when(hi == lo, 0).otherwise(F.least(F.floor(share * pieces), F.lit(pieces - 1))).cast("int")
-    by_sign = F.when(v == float("-inf"), 0).when(v == float("inf"), pieces - 1).otherwise(pieces // 2)
-    return F.when(infinite, by_sign).otherwise(within)
+    apart = _scale(hi) > _scale(lo)
+    share = F.when(apart, (_scale(v) - _scale(lo)) / (_scale(hi) - _scale(lo))).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
+    within = F.when(hi == lo, 0).otherwise(F.greatest(F.least(F.floor(share * pieces), pieces - 1), F.lit(0))).cast("int")
+    by_sign = F.when(v == float("-inf"), 0).when(v == float("inf"), pieces - 1).otherwise(pieces / 2).cast("int")
+    return F.when(infinite & (pieces > 2), by_sign).when(infinite, F.when(v == lo, 0).otherwise(1)).otherwise(within)
 
 
 def _same(pairs: Sequence[tuple[Column, Column]]) -> Column:
@@ -76,7 +86,7 @@ def percentiles(df: DataFrame, group: str, part: str, columns: Sequence[str], pe
         state = materialize(_narrow(long, state, targets_open), "intervals")
         done.append(state.where("lo = hi"))
         state, targets_open, inside = _open(state)
-        if targets_open and held >= SHRINK_ROWS and inside * 2 <= held:
+        if targets_open and inside * 2 <= held:
             long, held = materialize(_inside(long, state, targets_open), "values"), inside
     result = done[0]
     for more in done[1:]:
@@ -98,37 +108,34 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows * ROW_BYTES <= BROADCAST_BYTES else df
 
 
+def _asked(long: DataFrame, state: DataFrame, targets: int) -> DataFrame:
+    """``long`` with ``xs`` and ``ys``: the open intervals (lo, hi, c) of each value's own part, and those over all parts."""
+    interval = F.collect_set(F.struct("lo", "hi", "c"))
+    own = state.where(~F.col("all")).groupBy(F.col("g").alias("g1"), F.col("p").alias("p1"), F.col("m").alias("m1")).agg(interval.alias("xs"))
+    over = state.where(F.col("all")).groupBy(F.col("g").alias("g2"), F.col("m").alias("m2")).agg(interval.alias("ys"))
+    met = long.join(_small(own, targets), _same([(F.col("g"), F.col("g1")), (F.col("p"), F.col("p1")), (F.col("m"), F.col("m1"))]), "left")
+    return met.join(_small(over, targets), _same([(F.col("g"), F.col("g2")), (F.col("m"), F.col("m2"))]), "left").select("g", "p", "m", "v", "xs", "ys")
+
+
 def _inside(long: DataFrame, state: DataFrame, targets: int) -> DataFrame:
     """The rows of ``long`` that lie in some open interval, once each: later passes need no others."""
-    own = state.where(~F.col("all")).groupBy(F.col("g").alias("g1"), F.col("p").alias("p1"), F.col("m").alias("m1")).agg(F.collect_set(F.struct("lo", "hi")).alias("xs"))
-    over = state.where(F.col("all")).groupBy(F.col("g").alias("g2"), F.col("m").alias("m2")).agg(F.collect_set(F.struct("lo", "hi")).alias("ys"))
-    met = long.join(_small(own, targets), _same([(F.col("g"), F.col("g1")), (F.col("p"), F.col("p1")), (F.col("m"), F.col("m1"))]), "left")
-    met = met.join(_small(over, targets), _same([(F.col("g"), F.col("g2")), (F.col("m"), F.col("m2"))]), "left")
     holds = lambda sets: F.coalesce(F.exists(sets, lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"])), F.lit(False))
-    return met.where(holds("xs") | holds("ys")).select("g", "p", "m", "v")
+    return _asked(long, state, targets).where(holds("xs") | holds("ys")).select("g", "p", "m", "v")
 
 
 def _narrow(long: DataFrame, state: DataFrame, open_rows: int) -> DataFrame:
     """One pass: ``state`` with each interval cut down to the piece that holds its target rank."""
-    pieces = 1 << HALVINGS
     # percentiles of a group that still share an interval are counted once
     keys = ["g", "p", "all", "m", "below", "lo", "hi"]
     intervals = state.groupBy(*keys).agg(F.collect_list(F.struct("q", "k", "n")).alias("targets"))
-    ask = intervals.select(*(F.col(c).alias(f"s_{c}") for c in ("g", "p", "all", "m", "lo", "hi")))
-
-    def counts(scope_all: bool) -> DataFrame:
-        mine = ask.where(F.col("s_all") == scope_all)
-        mine = _small(mine, open_rows)
-        pairs = [(F.col("g"), F.col("s_g")), (F.col("m"), F.col("s_m"))] + ([] if scope_all else [(F.col("p"), F.col("s_p"))])
-        inside = long.join(mine, _same(pairs)).where((F.col("v") >= F.col("s_lo")) & (F.col("v") <= F.col("s_hi")))
-        cell = inside.select("g", "p", F.lit(scope_all).alias("all"), "m", F.col("s_lo").alias("lo"), F.col("s_hi").alias("hi"), _piece(F.col("v"), F.col("s_lo"), F.col("s_hi"), pieces).alias("piece"), "v")
-        by_part = cell.groupBy("g", "p", "all", "m", "lo", "hi", "piece").agg(F.count("*").alias("c"), F.min("v").alias("lo1"), F.max("v").alias("hi1"))
-        if not scope_all:
-            return by_part
-        over_parts = by_part.groupBy("g", "all", "m", "lo", "hi", "piece").agg(F.sum("c").alias("c"), F.min("lo1").alias("lo1"), F.max("hi1").alias("hi1"))
-        return over_parts.withColumn("p", F.lit(None).cast(long.schema["p"].dataType))
-
-    found = counts(False).unionByName(counts(True)).groupBy("g", "p", "all", "m", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("piece", "c", "lo1", "hi1"))).alias("cells"))
+    tag = lambda sets, scope_all: F.transform(F.coalesce(sets, F.array()), lambda x: F.struct(F.lit(scope_all).alias("all"), x["lo"].alias("lo"), x["hi"].alias("hi"), x["c"].alias("c")))
+    every = _asked(long, state, open_rows).select("g", "p", "m", "v", F.explode(F.concat(tag(F.col("xs"), False), tag(F.col("ys"), True))).alias("x")).select("g", "p", "m", "v", "x.*")
+    inside = every.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    cell = inside.select("g", "p", "all", "m", "lo", "hi", _piece(F.col("v"), F.col("lo"), F.col("hi"), _pieces(F.col("c"))).alias("piece"), "v")
+    by_part = cell.groupBy("g", "p", "all", "m", "lo", "hi", "piece").agg(F.count("*").alias("c"), F.min("v").alias("lo1"), F.max("v").alias("hi1"))
+    scope = F.when(~F.col("all"), F.col("p")).alias("p")
+    cells = by_part.groupBy("g", scope, "all", "m", "lo", "hi", "piece").agg(F.sum("c").alias("c"), F.min("lo1").alias("lo1"), F.max("hi1").alias("hi1"))
+    found = cells.groupBy("g", "p", "all", "m", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("piece", "c", "lo1", "hi1"))).alias("cells"))
     a, b = intervals.alias("a"), found.alias("b")
     same = _same([(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in ("g", "p", "all", "m", "lo", "hi")])
     met = a.join(b, same).select("a.*", "b.cells").withColumn("t", F.explode("targets"))

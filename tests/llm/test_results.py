@@ -70,8 +70,8 @@ def test_percentiles_of_odd_groups(spark):
 
 
 def test_percentiles_with_fewer_values_from_pass_to_pass(spark, monkeypatch):
-    monkeypatch.setattr(pc, "SHRINK_ROWS", 0)
     monkeypatch.setattr(pc, "HALVINGS", 2)
+    monkeypatch.setattr(pc, "FEWEST_HALVINGS", 1)
     check(spark, [(i, ["a", "b", None][i % 3], i % 2, float(i * i % 101), i % 7) for i in range(300)])
 
 
