@@ -1,20 +1,20 @@
 """Duplicates hidden by formatting differences: recursive radix partitioning on canonical bytes, counted in tries.
 
 A record's canonical form keeps what must agree (letters and digits without case; the parts of a list in sorted order).
-Buckets are prefixes of canonical forms. All rows start in one bucket; a bucket with more rows than fit is split by the
-next ``STEP`` characters, level by level, until each fits. A bucket too large to fit whose rows all have the same form
-is settled at once: it is a hot set of copies, its least identifier and its size are known from the level's counts, and its
-rows are never moved. Every other bucket goes to one task, which walks a trie of its forms; a terminal node holds the
-least identifier and the number of copies.
-
-Level counts are combined on the map side. At most ``rows / fits`` prefixes can be oversized at a level, and ``fits``
-is at least ``rows / MOST_SPLITS``, so the list of oversized prefixes that is broadcast has at most ``MOST_SPLITS``
-rows of fixed width at any size of the table.
+Buckets are prefixes of canonical forms. All rows start in one bucket; a bucket of more than ``FIT`` rows is split by
+further characters, twice as many each level, until each fits. A bucket too large to fit whose rows all have the same
+form is settled at once: it is a hot set of copies, its least identifier and its size are known from the level's counts,
+and its rows are never moved. Every other bucket goes to one task, which walks a trie of its forms; each terminal node
+has a counter of the least identifier and the number of copies, from which :func:`collapsed` takes its rows.
+
+``FIT`` is the same at every size of the table. Level counts are combined on the map side. The list of oversized prefixes
+is broadcast while it is below ``BROADCAST_BYTES`` (checked, not assumed), else met by a shuffle join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from millrace.storage import materialize
 
 STEP = 12
-MOST_SPLITS = 4096
-LEAST_FIT = 2000
+FIT = 4000
+BROADCAST_BYTES = 16 << 20
+SPLIT_BYTES = 64
 NOT_KEPT = r"[^\p{L}\p{N}]+"
 
 
@@ -54,6 +55,7 @@ class Trie:
 
     def __init__(self) -> None:
         self.root: dict = {}
+        self.counters: list[list[int]] = []
 
     def add(self, form: str, ident: int) -> tuple[int, int]:
         node, size = self.root, self.CHUNK
@@ -66,12 +68,13 @@ class Trie:
         counter = node.get(None)
         if counter is None:
             counter = node[None] = [ident, 0]
+            self.counters.append(counter)
         counter[1] += 1
         return counter[0], counter[1]
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, id); each bucket has a trie of its own, dropped when the bucket ends."""
+    """(bucket, id, form) -> (kept, id). Rows come sorted by (bucket, id); each bucket has a trie of its own."""
     bucket, trie = None, Trie()
     for batch in batches:
         kept = []
@@ -82,39 +85,73 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), batch.column(1)], ["kept", "id"])
 
 
+def _terminals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, id, form) -> (kept, copies): the counters of each bucket's terminal nodes when the bucket ends."""
+    bucket, trie = None, Trie()
+    for batch in batches:
+        done: list[list[int]] = []
+        for b, ident, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket:
+                done += trie.counters
+                bucket, trie = b, Trie()
+            trie.add(form, ident)
+        yield _counters(done)
+    yield _counters(trie.counters)
+
+
+def _counters(found: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["kept", "copies"])
+
+
+def _splits(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows * SPLIT_BYTES <= BROADCAST_BYTES else df
+
+
+class Buckets:
+    """The rows (``id``, ``form``) of a table in buckets that fit, and the hot sets that were settled on the way.
+
+    ``rest`` has (``bucket``, ``id``, ``form``), sorted within partitions; ``hot`` has (``kept``, ``id``) and ``settled``
+    (``kept``, ``copies``) of the hot sets.
+    """
+
+    def __init__(self, keys: DataFrame) -> None:
+        total = keys.count()
+        splits: list[tuple[int, DataFrame, int]] = []
+        depth, open_rows = STEP, keys
+        while total > FIT:
+            level = open_rows.groupBy(_prefix(depth).alias("prefix")).agg(
+                F.count("*").alias("n"), F.min("id").alias("least"), *(f(F.xxhash64("form", F.lit(seed))).alias(f"{f.__name__}{seed}") for seed in (1, 2) for f in (F.min, F.max))
+            )
+            same = (F.col("min1") == F.col("max1")) & (F.col("min2") == F.col("max2"))
+            large = materialize(level.where(F.col("n") > FIT).select("prefix", "n", "least", same.alias("same")), "level")
+            found = large.agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("open")).first()
+            splits.append((depth, large, found["n"]))
+            if not found["open"]:
+                break
+            open_rows = open_rows.join(_splits(large.where("not same").select("prefix"), found["open"]), _prefix(depth) == F.col("prefix"), "left_semi")
+            depth *= 2
+        # each row's bucket is its shortest prefix that is not split; a settled prefix gives the kept identifier as well
+        rows = keys.select("id", "form", F.lit(None).cast("binary").alias("bucket"), F.lit(total > FIT).alias("open"), F.lit(None).cast("long").alias("kept"))
+        for depth, large, n in splits:
+            met = rows.join(_splits(large.drop("n"), n), F.col("open") & (_prefix(depth) == F.col("prefix")), "left")
+            rows = met.select(
+                "id", "form", F.when(F.col("open"), _prefix(depth)).otherwise(F.col("bucket")).alias("bucket"), (F.col("open") & F.coalesce(~F.col("same"), F.lit(False))).alias("open"), F.coalesce("kept", F.when(F.col("same"), F.col("least"))).alias("kept")
+            )
+        self.hot = rows.where(F.col("kept").isNotNull()).select("kept", "id")
+        settled = [large.where("same").select(F.col("least").alias("kept"), F.col("n").alias("copies")) for _, large, _ in splits]
+        self.settled = reduce(DataFrame.unionByName, settled) if settled else None
+        rest = rows.where(F.col("kept").isNull()).select(F.coalesce("bucket", F.lit(b"")).alias("bucket"), "id", "form")
+        self.rest = rest.repartition("bucket").sortWithinPartitions("bucket", "id")
+
+
 def members(df: DataFrame, item: str, text: str, lists: Sequence[str] = ()) -> DataFrame:
     """(``kept``, ``id``): for each row with a letter or digit in ``text`` the least identifier of its set of equal rows.
 
     ``item`` is an integer column without nulls; rows whose text is null or has no letter or digit are left out. Rows
     with the same identifier and form are copies of each other like any. An empty table gives no rows.
     """
-    keys = materialize(keyed(df, item, text, lists), "forms")
-    total = keys.count()
-    fits = max(LEAST_FIT, -(-total // MOST_SPLITS))
-    splits: list[tuple[int, DataFrame]] = []
-    depth, open_rows = STEP, keys
-    while total > fits:
-        level = open_rows.groupBy(_prefix(depth).alias("prefix")).agg(
-            F.count("*").alias("n"), F.min("id").alias("least"), *(f(F.xxhash64("form", F.lit(seed))).alias(f"{f.__name__}{seed}") for seed in (1, 2) for f in (F.min, F.max))
-        )
-        same = (F.col("min1") == F.col("max1")) & (F.col("min2") == F.col("max2"))
-        large = materialize(level.where(F.col("n") > fits).select("prefix", "least", same.alias("same")), "level")
-        splits.append((depth, large))
-        if not large.where("not same").limit(1).count():
-            break
-        open_rows = open_rows.join(F.broadcast(large.where("not same").select("prefix")), _prefix(depth) == F.col("prefix"), "left_semi")
-        depth *= 2
-    # each row's bucket is its shortest prefix that is not split; a settled prefix gives the kept identifier as well
-    rows = keys.select("id", "form", F.lit(None).cast("binary").alias("bucket"), F.lit(total > fits).alias("open"), F.lit(None).cast("long").alias("kept"))
-    for depth, large in splits:
-        met = rows.join(F.broadcast(large), F.col("open") & (_prefix(depth) == F.col("prefix")), "left")
-        rows = met.select(
-            "id", "form", F.when(F.col("open"), _prefix(depth)).otherwise(F.col("bucket")).alias("bucket"), (F.col("open") & F.coalesce(~F.col("same"), F.lit(False))).alias("open"), F.coalesce("kept", F.when(F.col("same"), F.col("least"))).alias("kept")
-        )
-    hot = rows.where(F.col("kept").isNotNull()).select("kept", "id")
-    rest = rows.where(F.col("kept").isNull()).select(F.coalesce("bucket", F.lit(b"")).alias("bucket"), "id", "form")
-    walked = rest.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_walk, "kept long, id long")
-    return walked.unionByName(hot)
+    buckets = Buckets(materialize(keyed(df, item, text, lists), "forms"))
+    return buckets.rest.mapInArrow(_walk, "kept long, id long").unionByName(buckets.hot)
 
 
 def _prefix(depth: int) -> Column:
@@ -128,5 +165,7 @@ def duplicates(df: DataFrame, item: str, text: str, lists: Sequence[str] = ()) -
 
 
 def collapsed(df: DataFrame, item: str, text: str, lists: Sequence[str] = ()) -> DataFrame:
-    """(``kept``, ``copies``): one row per set of equal rows with its size, single rows included."""
-    return members(df, item, text, lists).groupBy("kept").agg(F.count("*").alias("copies"))
+    """(``kept``, ``copies``): one row per set of equal rows with its size, single rows included, from the terminal counters."""
+    buckets = Buckets(materialize(keyed(df, item, text, lists), "forms"))
+    counted = buckets.rest.mapInArrow(_terminals, "kept long, copies long")
+    return counted.unionByName(buckets.settled) if buckets.settled else counted
