@@ -1,9 +1,10 @@
 """Rows that fail to parse: delimited records are loaded, or set apart with the reason.
 
-Records are checked in two steps. The structural check (quoting, number of fields) looks at each record alone. The
-value check casts every *distinct* value of a column once, keeps the bad ones with their reasons in a dictionary, and
-joins that dictionary back by a 128-bit digest, so a value that a third of all records share is checked once per map task and
-then merged. Only digests and reasons travel in the joins; texts are shuffled once, as distinct values.
+Records are parsed once into a table of reasons, fields and digests. The structural check (quoting, number of fields)
+looks at each record alone. For the value check the distinct values of all checked columns are written as a table, each
+value of that table is cast once, and the bad ones with their reasons make a dictionary that is joined back by a 128-bit
+digest. Equal values are merged on the map side first, so a value that a third of all records share travels once from
+each map task; else only digests and reasons travel.
 
 Everything runs in the JVM. The patterns use possessive groups only, which Java matches in a loop, so a field of many
 megabytes with doubled quotes neither backtracks nor overflows the stack.
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import materialize
+
 # Fixed values of the record format.
 FIELD = r'(?:"(?:[^"]++|"")*+"|(?!")[^",]*+)'
 RECORD = rf"(?s)\A{FIELD}(?:,{FIELD})*+\z"
@@ -73,16 +76,26 @@ def parse_records(df: DataFrame, text: str, n_fields: int) -> DataFrame:
     )
 
 
+def parsed_once(df: DataFrame, key: str, text: str, n_fields: int, checks: Sequence[ValueCheck]) -> DataFrame:
+    """A written table (``_key``, ``_reason``, ``_fields``, ``_d0``...): records parsed once, with digests of the checked values."""
+    parsed = parse_records(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", n_fields)
+    return materialize(parsed.select("_key", "_reason", "_fields", *(digest(F.get("_fields", F.lit(c.position))).alias(f"_d{i}") for i, c in enumerate(checks))), "parsed")
+
+
 def invalid_values(parsed: DataFrame, checks: Sequence[ValueCheck]) -> DataFrame:
-    """The dictionary (``_column``, ``_digest``, ``_bad``) of the distinct values that fail, each checked once."""
+    """The dictionary (``_column``, ``_digest``, ``_bad``) of the distinct values that fail.
+
+    The distinct values are written first and cast from that table, as a cast behind a mere merge of equal values is moved
+    before it by the optimiser and then runs for every row.
+    """
     cells = parsed.where(F.col("_fields").isNotNull()).select(
         F.inline(F.array(*(F.struct(F.lit(i).alias("_column"), F.get("_fields", F.lit(c.position)).alias("_value")) for i, c in enumerate(checks))))
     )
-    distinct = cells.distinct()
+    distinct = materialize(cells.distinct(), "values")
     bad = F.lit(None).cast("string")
     for i, c in enumerate(checks):
         bad = F.when((F.col("_column") == i) & ~F.coalesce(c.ok(F.col("_value")), F.lit(False)), c.reason).otherwise(bad)
-    return distinct.select("_column", digest(F.col("_value")).alias("_digest"), bad.alias("_bad")).where(F.col("_bad").isNotNull())
+    return materialize(distinct.select("_column", digest(F.col("_value")).alias("_digest"), bad.alias("_bad")).where(F.col("_bad").isNotNull()), "invalid")
 
 
 def digest(value: Column) -> Column:
@@ -95,9 +108,9 @@ def rejected(df: DataFrame, key: str, text: str, fields: Sequence[str] = TEST_EN
 
     Other columns of ``df`` are not read, whatever their names. Rows with equal or null keys are judged one by one.
     """
-    parsed = parse_records(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", len(fields))
-    bad = invalid_values(parsed.select("_fields"), checks)
-    slim = parsed.select("_key", "_reason", *(digest(F.get("_fields", F.lit(c.position))).alias(f"_d{i}") for i, c in enumerate(checks)))
+    parsed = parsed_once(df, key, text, len(fields), checks)
+    bad = invalid_values(parsed, checks)
+    slim = parsed.drop("_fields")
     for i in range(len(checks)):
         mine = bad.where(F.col("_column") == i).select(F.col("_digest").alias(f"_d{i}"), F.col("_bad").alias(f"_bad{i}"))
         slim = slim.join(mine, f"_d{i}", "left")
@@ -107,9 +120,10 @@ def rejected(df: DataFrame, key: str, text: str, fields: Sequence[str] = TEST_EN
 
 def loaded(df: DataFrame, key: str, text: str, fields: Sequence[str] = TEST_ENTRY_FIELDS, checks: Sequence[ValueCheck] = TEST_ENTRY_CHECKS) -> DataFrame:
     """(``key``, then the fields by name): one row per record that :func:`rejected` does not name."""
-    parsed = parse_records(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", len(fields)).where(F.col("_fields").isNotNull())
-    bad = invalid_values(parsed.select("_fields"), checks)
-    for i, c in enumerate(checks):
+    parsed = parsed_once(df, key, text, len(fields), checks)
+    bad = invalid_values(parsed, checks)
+    parsed = parsed.where(F.col("_fields").isNotNull())
+    for i in range(len(checks)):
         mine = bad.where(F.col("_column") == i).select(F.col("_digest").alias(f"_d{i}"))
-        parsed = parsed.withColumn(f"_d{i}", digest(F.get("_fields", F.lit(c.position)))).join(mine, f"_d{i}", "left_anti")
+        parsed = parsed.join(mine, f"_d{i}", "left_anti")
     return parsed.select(F.col("_key").alias(key), *(F.get("_fields", F.lit(i)).alias(name) for i, name in enumerate(fields)))

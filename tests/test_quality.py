@@ -96,3 +96,15 @@ def test_only_one_shuffle(spark):
     df = spark.createDataFrame([(1, True)], "k long, x boolean")
     plan = compare.differences(df, df, {"k": F.col("k")}, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_values_are_cast_once_each(spark, monkeypatch):
+    """The check reads the table of distinct values: with ten copies of each record it sees each value once."""
+    seen = []
+    write = rejects.materialize
+    monkeypatch.setattr(rejects, "materialize", lambda df, label="table": seen.append((label, write(df, label))) or seen[-1][1])
+    df = spark.createDataFrame([(i, record(patch=" a\n" * (i % 3 + 1), patched="\x07" if i % 3 else "int a;")) for i in range(30)], "id long, raw string")
+    assert {r["reason"] for r in rejects.rejected(df, "id", "raw").collect()} == {"invalid_value"}
+    tables = dict(seen)
+    assert tables["values"].count() == 3 + 2 and tables["invalid"].count() == 1
+    assert "raw" not in tables["invalid"]._jdf.queryExecution().optimizedPlan().toString()
