@@ -3,12 +3,14 @@
 A response is joined with the request it answers and judged by itself, in this order:
 
 * ``empty``: nothing is left without markers, fences, marks and invisible characters, or only a word for no value.
-* ``copy``: the response is compressed with its prompt, patch and code as the zstandard dictionary. If next to nothing
-  is new, its letters and digits are compared with theirs: the code and the patch must be there unchanged, the prompt
-  give or take a few characters, and nothing else but a label.
+* ``copy``: the response is compressed with its prompt, patch and code as the zstandard dictionary, with window and match
+  table as large as dictionary and response. If next to nothing is new, its letters and digits are compared with theirs:
+  the code and the patch must be there unchanged, the prompt give or take a few characters (by an edit distance that
+  stops at its bound), and nothing else but a label.
 * ``refusal``: there is no code, and the prose says no by the refusal dictionary of its language.
 * ``truncated``: a fence, tag or function is open at the end, or the prose ends in a context in which responses do not
-  end, by a model of terminal contexts counted over all responses before (:func:`terminal_ratios`).
+  end, by a model of terminal contexts (last word and last sign) counted over all responses before
+  (:func:`terminal_contexts`).
 * ``language``: the prose is told by scripts and function words, and must be in the language that the prompt asks for,
   else in the prompt's own.
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import materialize
+
 # Words for no value.
 NO_VALUE = set(
     "none null nil na nan undefined empty blank void nothing tbd todo noanswer nooutput noresponse noresult nocontent notapplicable notavailable placeholder missing unknown "
@@ -37,10 +41,11 @@ NO_VALUE = set(
 MARKER = re.compile(r"[<{\[]{1,2}\|?\s*(/?)\s*([A-Za-z]+(?:_[A-Za-z]+)*)\s*/?\|?[>}\]]{1,2}")
 BLOCK_NAMES = {"patched_code", "code", "answer", "result", "output", "response", "solution", "resolved", "patch"}
 FENCE = re.compile(r"^[ \t]*(```+|~~~+)[ \t]*([\w+#.\-]*)[ \t]*\r?$", re.M)
-INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Z}\s️ㅤᅠ]+")
+FILLERS = str.maketrans("", "", "\u3164\u1160\uffa0")
 WORDS = re.compile(r"[^\W_]+")
 LABEL_MOST = 16
-FEW = 12
+#: How many characters of a copied prompt may differ: one in ``FEW_SHARE``, but at least and at most so many.
+FEW, FEW_SHARE, FEW_MOST = 12, 25, 64
 
 # Ways to decline, by language. Each asserts that the task itself is not done.
 REFUSAL = re.compile(
@@ -114,9 +119,15 @@ CODE_LINE = re.compile(r"^(?:[ \t]*(?:static|struct|if \(|if\(|for \(|switch \(|
 CLOSING = "'\"”’»“」』)]）】*_~`​﻿ \t\r"
 # Marks that end a sentence: the prior of the model of terminal contexts.
 FINAL_MARKS = ".!?…。！？।؟:："
-#: Weight of the prior in observations, the ratio below which a context is no place to end, and characters of prose that
-#: a response must have to count as an end (shorter ones are often no answers).
-PRIOR_WEIGHT, LEAST_RATIO, LEAST_PROSE = 2000.0, 0.5, 40
+#: Weights of the priors of signs and words in observations, the ratio below which a context is no place to end, characters
+#: of prose that a response must have to count as an end (shorter ones are often no answers), and of a word with a context.
+PRIOR_WEIGHT, WORD_WEIGHT, LEAST_RATIO, LEAST_PROSE, LONGEST_WORD = 2000.0, 50.0, 0.5, 40, 24
+#: The least share of all ends that a last word has to be told from its sign.
+LEAST_ENDS = 1e-4
+LAST_WORD = regex.compile(r"(?:[\p{Han}\p{Hiragana}\p{Katakana}]|[^\s\p{Han}\p{Hiragana}\p{Katakana}]+)$")
+LONGEST_NO_VALUE = max(map(len, NO_VALUE))
+#: Code or patch of fewer visible characters is a copy only if it is the whole response.
+SHORT = 20
 
 
 def language(text: str) -> str | None:
@@ -215,44 +226,74 @@ def own_prose(prose: str, prompt: str) -> str:
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
-    if len(text) > 400 and len(WORDS.findall(text)) > 50:
-        return False
-    bare = FENCE.sub(" ", MARKER.sub(" ", text))
-    bare = letters(INVISIBLE.sub("", bare))
+    bare = ""
+    for m in WORDS.finditer(FENCE.sub(" ", MARKER.sub(" ", text))):
+        bare += m[0].lower().translate(FILLERS)
+        if len(bare) > LONGEST_NO_VALUE:
+            return False
     return not bare or bare in NO_VALUE
 
 
-def _near(a: str, b: str) -> bool:
-    """Equal up to a few characters."""
-    if a == b:
-        return True
-    few = max(FEW, len(b) // 25)
-    if not b or abs(len(a) - len(b)) > few:
+def _same_run(a: str, b: str, x: int, y: int) -> int:
+    """How many characters of ``a`` from ``x`` on equal those of ``b`` from ``y`` on."""
+    start, n = x, 16
+    while n and x < len(a) and y < len(b):
+        m = min(n, len(a) - x, len(b) - y)
+        if a[x : x + m] == b[y : y + m]:
+            x, y, n = x + m, y + m, n * 2
+        elif m == 1:
+            break
+        else:
+            n = m // 2
+    return x - start
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """``b`` comes from ``a`` by at most ``most`` insertions and deletions of a character; the work grows with most * most."""
+    if abs(len(a) - len(b)) > most:
         return False
-    same = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-    return max(len(a), len(b)) - same <= few
+    reach = {1: 0}
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            x = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
+            y = x - k
+            if x <= len(a) and 0 <= y <= len(b):
+                x += _same_run(a, b, x, y)
+            reach[k] = x
+            if x >= len(a) and x - k >= len(b):
+                return True
+    return False
 
 
-_FAST = {"level": 1, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+def _near(a: str, b: str) -> bool:
+    """Equal up to a few characters: so many at most of the longer one have no match in the other."""
+    few = max(FEW, min(len(b) // FEW_SHARE, FEW_MOST))
+    return a == b or bool(b) and within(a, b, 2 * few - abs(len(a) - len(b)))
+
+
+def _new_bytes(text: bytes, source: bytes) -> int:
+    """The size of ``text`` compressed with ``source`` as the dictionary; window and match table hold both, at any size."""
+    log = (len(source) + len(text)).bit_length()
+    params = zstandard.ZstdCompressionParameters.from_level(1, window_log=min(max(log + 1, 12), 27), hash_log=min(max(log, 12), 26), write_content_size=False, write_checksum=False, write_dict_id=False)
+    return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(source, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(text))
 
 
 def is_copy(content: str, prompt: str, patch: str, code: str) -> bool:
     """Only what the request holds: prompt, patch or code, or several of them."""
-    text = content.strip().encode()
-    if not text or len(text) > 2 * (len(prompt) + len(patch) + len(code)) * 4 + 400:
+    text = content.strip()
+    if not text:
         return False
-    source = "\n".join((prompt.lower(), patch, code, prompt)).encode()
+    source = "\n".join((prompt, patch, code)).encode()
     if len(source) < 16:
         return letters(content) == letters(prompt) != ""
-    packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(source, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **_FAST)
-    new = len(packer.compress(text))
-    if content.isupper():
-        new = min(new, len(packer.compress(content.strip().lower().encode())))
-    if new > 48 + len(text) // 8:
+    new = _new_bytes(text.encode(), source)
+    if text.isupper():
+        new = min(new, _new_bytes(text.lower().encode(), prompt.lower().encode() + b"\n" * 16))
+    if new > 48 + len(text.encode()) // 8:
         return False
     rest, found = squashed(content), False
     for piece in (squashed(code), squashed(patch)):
-        if len(piece) >= 20 and piece in rest:
+        if len(piece) >= SHORT and piece in rest or piece and piece == rest:
             rest, found = rest.replace(piece, " ", 1), True
     rest = letters(rest)
     asked = letters(prompt)
@@ -262,29 +303,43 @@ def is_copy(content: str, prompt: str, patch: str, code: str) -> bool:
         return False
     if asked in rest and len(rest) - len(asked) <= LABEL_MOST:
         return True
-    return _near(rest, asked) or any(_near(rest[n:], asked) for n in _labels(rest, asked))
+    return any(_near(rest[n:], asked) for n in range(LABEL_MOST + 1))
+
+
+@dataclass(frozen=True)
+class Contexts:
+    """How much more often responses end in a context than words within them do: by last sign, and for last words the factor
+    by which they differ from their sign."""
 
+    signs: dict[str, float] = field(default_factory=dict)
+    words: dict[tuple[str, str], float] = field(default_factory=dict)
 
-def _labels(rest: str, asked: str) -> list[int]:
-    """Lengths of a label before the copied prompt: where the prompt's first characters stand."""
-    at = rest.find(asked[:8])
-    return [at] if 0 < at <= LABEL_MOST else []
 
+def terminal_contexts(responses: DataFrame, response: str) -> Contexts:
+    """The model of terminal contexts, counted over all rows in one scan.
 
-def terminal_ratios(responses: DataFrame, response: str) -> dict[str, float]:
-    """The model of terminal contexts: for each last sign of prose, how much more often responses end with it than words
-    within them do. All letters are one sign (L), and all digits (N). Counted over all rows; one number for each sign
-    that ends a response comes to the driver.
+    The context of a place is its last sign (all letters are one sign L, all digits N) and its last word. Words are told
+    from their sign only if they end a response in at least ``LEAST_ENDS`` of all ends, so at most 1 / ``LEAST_ENDS``
+    words and one number for each sign that ends a response come to the driver.
     """
     outside = F.regexp_replace(response, r"(?s)```.*?(?:```|\z)|[<{]{1,2}\|?patched_code.*?(?:/patched_code\|?[>}]{1,2}|\z)|<\|\w+\|>", "\n")
     prose = F.regexp_replace(outside, r"(?m)^.*[;{}]\s*$|^[\t+\-@ ].*$|\(\)", "")
-    tail = F.when(F.length(F.btrim(prose)) < LEAST_PROSE, "").otherwise(F.regexp_extract(prose, r"([^\s'\"”’»“」』)\]）】*_~`])['\"”’»“」』)\]）】*_~`]*\s*\z", 1))
-    inner = F.regexp_extract_all(prose, F.lit(r"[^\s](?=\s+\S)|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}](?=\S)"), F.lit(0))
-    both = responses.where(F.col(response).isNotNull()).select(F.explode(F.concat(F.array(F.struct(tail.alias("c"), F.lit(1).alias("end"))), F.transform(inner, lambda c: F.struct(c.alias("c"), F.lit(0).alias("end"))))).alias("x"))
-    kind = F.regexp_replace(F.regexp_replace(F.col("x.c"), r"\p{L}", "L"), r"\p{N}", "N")
-    counts = both.where("x.c <> ''").groupBy(kind.alias("c")).agg(F.sum("x.end").alias("ends"), F.sum(1 - F.col("x.end")).alias("inner"))
-    total = counts.agg(F.coalesce(F.sum("ends"), F.lit(0)).alias("ends"), F.coalesce(F.sum("inner"), F.lit(0)).alias("inner")).first()
-    return {r["c"]: _ratio(r["c"], r["ends"], r["inner"], total["ends"], total["inner"]) for r in counts.where("ends > 0").collect()}
+    wide = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+    closers = r"['\"”’»“」』)\]）】*_~`]"
+    last = F.regexp_extract(F.regexp_replace(F.rtrim(F.regexp_replace(prose, r"\s+\z", "")), rf"{closers}++\z", ""), rf"([{wide}]|(?<![^\s{wide}])[^\s{wide}]++)\z", 1)
+    tail = F.when(F.length(F.btrim(prose)) < LEAST_PROSE, "").otherwise(last)
+    inner = F.regexp_extract_all(prose, F.lit(rf"(?<![^\s{wide}])[^\s{wide}]++(?=\s++\S)|[{wide}](?=\S)"), F.lit(0))
+    place = lambda w, end: F.struct(F.lower(w).alias("w"), F.lit(end).alias("end"))
+    both = responses.where(F.col(response).isNotNull()).select(F.explode(F.concat(F.array(place(tail, 1)), F.transform(inner, lambda w: place(w, 0)))).alias("x"))
+    sign = F.regexp_replace(F.regexp_replace(F.right("x.w", F.lit(1)), r"\p{L}", "L"), r"\p{N}", "N")
+    word = F.when(F.length("x.w") <= LONGEST_WORD, F.col("x.w")).otherwise("")
+    counts = materialize(both.where("x.w <> ''").groupBy(sign.alias("c"), word.alias("w")).agg(F.sum("x.end").alias("ends"), F.sum(1 - F.col("x.end")).alias("inner")), "contexts")
+    signs = {r["c"]: (r["ends"], r["inner"]) for r in counts.groupBy("c").agg(F.sum("ends").alias("ends"), F.sum("inner").alias("inner")).where("ends > 0 or inner > 0").collect()}
+    ends, inner = (sum(x[i] for x in signs.values()) for i in (0, 1))
+    often = counts.where((F.col("ends") > 0) & (F.col("ends") >= LEAST_ENDS * ends)).collect()
+    expected = lambda r: r["inner"] * signs[r["c"]][0] / max(1, signs[r["c"]][1])
+    words = {(r["c"], r["w"]): (r["ends"] + WORD_WEIGHT) / (expected(r) + WORD_WEIGHT) for r in often}
+    return Contexts({c: _ratio(c, e, i, ends, inner) for c, (e, i) in signs.items() if e}, words)
 
 
 def _ratio(c: str, ends: int, inner: int, all_ends: int, all_inner: int) -> float:
@@ -293,15 +348,16 @@ def _ratio(c: str, ends: int, inner: int, all_ends: int, all_inner: int) -> floa
     return ((ends + PRIOR_WEIGHT * p) / (all_ends + PRIOR_WEIGHT)) / ((inner + PRIOR_WEIGHT * q) / (all_inner + PRIOR_WEIGHT))
 
 
-def may_end(line: str, ratios: dict[str, float]) -> bool:
+def may_end(line: str, contexts: Contexts) -> bool:
     """Prose that ends with ``line`` may be whole."""
-    line = line.replace("()", "")
-    last = line.rstrip(CLOSING)[-1:] or line[-1:]
-    last = "L" if last.isalpha() else "N" if last.isnumeric() else last
-    return ratios.get(last, _ratio(last, 0, 0, 0, 0)) >= LEAST_RATIO
+    line = line.replace("()", "").rstrip()
+    last = LAST_WORD.search(line.rstrip(CLOSING) or line[-1:])
+    word = last[0].lower() if last else ""
+    sign = "L" if word[-1:].isalpha() else "N" if word[-1:].isnumeric() else word[-1:]
+    return contexts.signs.get(sign, _ratio(sign, 0, 0, 0, 0)) * contexts.words.get((sign, word), 1.0) >= LEAST_RATIO
 
 
-def is_truncated(parts: Parts, code: str, ratios: dict[str, float]) -> bool:
+def is_truncated(parts: Parts, code: str, contexts: Contexts) -> bool:
     """The terminal context is not one in which a response ends."""
     if parts.open:
         return True
@@ -310,7 +366,7 @@ def is_truncated(parts: Parts, code: str, ratios: dict[str, float]) -> bool:
         return True
     last = [x for x in tail.splitlines() if x.strip()][-1:]
     if last and not CODE_LINE.search(last[0]):
-        return not may_end(last[0], ratios)
+        return not may_end(last[0], contexts)
     body = [x for b in parts.blocks for x in b.splitlines() if x.strip()] or parts.bare
     if not body or not parts.has_code(1):
         return False
@@ -318,8 +374,8 @@ def is_truncated(parts: Parts, code: str, ratios: dict[str, float]) -> bool:
     return bool(whole) and whole[-1].strip() == "}" and body[-1].strip() != "}" and body[-1].strip() not in {x.strip() for x in whole[-2:]}
 
 
-def defect(response: str | None, prompt: str | None, patch: str | None, code: str | None, ratios: dict[str, float] | None = None) -> str | None:
-    """The kind of defect; without ``ratios`` the terminal contexts are those of the prior."""
+def defect(response: str | None, prompt: str | None, patch: str | None, code: str | None, contexts: Contexts | None = None) -> str | None:
+    """The kind of defect; without ``contexts`` the terminal contexts are those of the prior."""
     if is_empty(response):
         return "empty"
     prompt, patch, code = prompt or "", patch or "", code or ""
@@ -330,7 +386,7 @@ def defect(response: str | None, prompt: str | None, patch: str | None, code: st
         said = "\n".join([parts.prose, *parts.block_prose()])
         if REFUSAL.search(IDENTIFIER.sub("x", SPACES.sub(" ", said.replace("’", "'")))):
             return "refusal"
-    if is_truncated(parts, code, ratios or {}):
+    if is_truncated(parts, code, contexts or Contexts()):
         return "truncated"
     spoken, asked = language(own_prose(parts.prose, prompt)), wanted(prompt)
     if spoken and asked and spoken != asked:
@@ -338,11 +394,11 @@ def defect(response: str | None, prompt: str | None, patch: str | None, code: st
     return None
 
 
-def _judge(ratios: dict[str, float]):
+def _judge(contexts: Contexts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
-            kinds = pa.array([defect(*row, ratios) for row in rows], pa.string())
+            kinds = pa.array([defect(*row, contexts) for row in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), kinds], ["i", "d"])
 
     return run
@@ -358,5 +414,5 @@ def defects(responses: DataFrame, requests: DataFrame, item: str, key: str, resp
     left = responses.select(F.col(item).alias("i"), F.col(key).alias("k"), F.col(response).alias("r"))
     right = requests.select(F.col(key).alias("k"), F.col(prompt).alias("p"), F.col(patch).alias("x"), F.col(code).alias("c"))
     kind = dict(left.dtypes)["i"]
-    judged = left.join(right, "k", "left").select("i", "r", "p", "x", "c").mapInArrow(_judge(terminal_ratios(left, "r")), f"i {kind}, d string")
+    judged = left.join(right, "k", "left").select("i", "r", "p", "x", "c").mapInArrow(_judge(terminal_contexts(left, "r")), f"i {kind}, d string")
     return judged.where(F.col("d").isNotNull()).select(F.col("i").alias(item), F.col("d").alias("defect"))
