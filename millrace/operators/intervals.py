@@ -63,21 +63,50 @@ def running_sum(df: DataFrame, key: str, position: str, item: str, value: Column
     return running_sums(df, key, position, [item], {name: value})
 
 
-def islands(df: DataFrame, key: str, start: str, end: str, gap: int = 0, block: int = BLOCK) -> DataFrame:
-    """(key, island, start, end, members): ranges joined while the next starts at most ``gap`` behind all before it.
+def with_neighbours(df: DataFrame, key: str, order: Sequence[str], before: Mapping[str, str], behind: Mapping[str, str] | None = None, block: int = BLOCK) -> DataFrame:
+    """``df`` with columns of the row right before (and right behind) each row of ``key`` by ``order``: new name -> column.
+
+    Taken in two levels like the sums: within blocks of the first column of ``order``, and from the last row of the block
+    before (the first of the block behind). No nulls in ``order``.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(order[0]) / block))
+    inside, blocks = Window.partitionBy(key, "_block").orderBy(*order), Window.partitionBy(key).orderBy("_block")
+    edges, out = [], []
+    for side, wanted, step, of_block in (("_p", before, F.lag, F.max), ("_n", behind or {}, F.lead, F.min)):
+        if not wanted:
+            continue
+        row = F.struct(*order, *(F.col(c).alias(f"_v{i}") for i, c in enumerate(wanted.values())))
+        rows = rows.withColumn(side, step(row).over(inside))
+        edges.append(step(of_block(row)).over(blocks).alias(f"{side}_block"))
+        out += [F.coalesce(side, f"{side}_block")[f"_v{i}"].alias(name) for i, name in enumerate(wanted)]
+    totals = rows.groupBy(key, "_block").agg(*edges)
+    return _with_block_totals(rows, totals, key).select(*df.columns, *out)
+
+
+def island_rows(df: DataFrame, key: str, start: str, end: str, gap: int = 0, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``island``, the number within ``key`` (from 1) of the island of each range: ranges are joined while the
+    next starts at most ``gap`` behind all before it.
 
     Taken in two levels like the sums: the reach and the number of islands before a block come from block totals.
-    Islands of a key are numbered from 1. Ranges have no null bounds.
+    Ranges have no null bounds.
     """
-    rows = df.select(key, start, end).withColumn("_block", F.floor(F.col(start) / block))
+    rows = df.withColumn("_block", F.floor(F.col(start) / block))
     inside = Window.partitionBy(key, "_block").orderBy(start, end)
     blocks = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(key, "_block").agg(F.max(end).alias("_m")).select(key, "_block", F.max("_m").over(blocks).alias("_earlier"))
     reach = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_earlier"))
     opened = _with_block_totals(rows, ends, key).withColumn("_new", (reach.isNull() | (F.col(start) > reach + gap)).cast("int")).drop("_earlier")
     counts = opened.groupBy(key, "_block").agg(F.sum("_new").alias("_n")).select(key, "_block", F.coalesce(F.sum("_n").over(blocks), F.lit(0)).alias("_sofar"))
-    numbered = _with_block_totals(opened.withColumn("_here", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))), counts, key)
-    return numbered.groupBy(key, (F.col("_here") + F.col("_sofar")).alias("island")).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
+    # of equal ranges the one that opens an island comes first
+    here = Window.partitionBy(key, "_block").orderBy(start, end, F.desc("_new")).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = _with_block_totals(opened.withColumn("_here", F.sum("_new").over(here)), counts, key)
+    return numbered.select(*df.columns, (F.col("_here") + F.col("_sofar")).alias("island"))
+
+
+def islands(df: DataFrame, key: str, start: str, end: str, gap: int = 0, block: int = BLOCK) -> DataFrame:
+    """(key, island, start, end, members): the islands of :func:`island_rows`."""
+    rows = island_rows(df.select(key, start, end), key, start, end, gap, block)
+    return rows.groupBy(key, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
 
 
 def overlap_counts(df: DataFrame, others: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
@@ -153,23 +182,25 @@ def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, reach, first = None, None, True
     for batch in batches:
         keep = []
-        for n, (k, s, e) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
-            if first or k != key:
-                key, reach, first = k, None, False
+        for n, (k, s, e, island) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True)):
+            if first or (k, island) != key:
+                key, reach, first = (k, island), None, False
             if reach is None or s >= reach:
                 keep.append(n)
                 reach = e
-        yield batch.take(pa.array(keep, pa.int64()))
+        yield batch.select([0, 1, 2, 3]).take(pa.array(keep, pa.int64()))
 
 
 def accept_disjoint(df: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
     """(key, start, end, item): ranges in order of (start, end, item), each kept unless it overlaps one kept before.
 
-    One sorted pass holds a single bound, so the state does not grow with the number of ranges.
+    The first range of an island of overlapping ranges overlaps none before it, so islands are settled apart, each by one
+    sorted pass that holds a single bound; a hot key is spread over its islands.
     """
     kinds = dict(df.dtypes)
-    rows = df.select(key, start, end, item).repartition(key).sortWithinPartitions(key, start, end, item)
-    return rows.mapInArrow(_accept, ", ".join(f"{c} {kinds[c]}" for c in (key, start, end, item)))
+    rows = island_rows(df.select(key, start, end, item), key, start, end, gap=-1)
+    sorted_rows = rows.repartition(key, "island").sortWithinPartitions(key, "island", start, end, item).select(key, start, end, item, "island")
+    return sorted_rows.mapInArrow(_accept, ", ".join(f"{c} {kinds[c]}" for c in (key, start, end, item)))
 
 
 def sum_before(marks: DataFrame, ranges: DataFrame, key: str, item: str, position: str, end: str, value: Column) -> DataFrame:
@@ -182,13 +213,13 @@ def sum_before(marks: DataFrame, ranges: DataFrame, key: str, item: str, positio
 
 def violations(df: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
     """(item, rule) of ranges that break an order: end before start, or start before the end of the range before."""
-    w = Window.partitionBy(key).orderBy(start, end, item)
-    before = F.lag(end).over(w)
+    rows = with_neighbours(df.select(key, start, end, item), key, [start, end, item], {"_before": end})
+    before = F.col("_before")
     rules = F.array_compact(F.array(F.when(F.col(end) < F.col(start), "reversed"), F.when(F.col(start) < before, "crosses_previous"), F.when((F.col(start) == F.col(end)) & (before == F.col(start)), "empty_not_apart")))
-    return df.withColumn("rules", rules).select(item, F.explode("rules").alias("rule"))
+    return rows.withColumn("rules", rules).select(item, F.explode("rules").alias("rule"))
 
 
 def gaps_around(df: DataFrame, key: str, item: str, start: str, end: str, size: int) -> DataFrame:
     """Each range with the end of the one before (default 0) and the start of the one behind (default ``size``)."""
-    w = Window.partitionBy(key).orderBy(start, end, item)
-    return df.select(item, F.lag(end, 1, 0).over(w).alias("previous_end"), F.lead(start, 1, size).over(w).alias("next_start"))
+    rows = with_neighbours(df.select(key, start, end, item), key, [start, end, item], {"_before": end}, {"_behind": start})
+    return rows.select(item, F.coalesce("_before", F.lit(0)).alias("previous_end"), F.coalesce("_behind", F.lit(size)).alias("next_start"))

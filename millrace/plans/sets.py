@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, namesets
+from millrace.operators import graph, intervals, namesets
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -22,12 +22,15 @@ def all_keys(spark: SparkSession, folder: str) -> DataFrame:
     return side("a", True).union(side("b", False)).groupBy("entry_index").agg(F.bool_or("a").alias("in_a"), F.bool_or(~F.col("a")).alias("in_b"))
 
 
-@query("SELECT source, entry_index, model, duration, output_tokens FROM (SELECT 'a' AS source, entry_index, model, duration, NULL::BIGINT AS output_tokens FROM checkpoint_a UNION ALL SELECT 'r', entry_index, model, duration, output_tokens FROM results)")
+@query("""SELECT source, entry_index, model, CASE WHEN duration - duration = 0 THEN duration END AS duration, coalesce(NOT duration - duration = 0, false) AS is_nan, output_tokens
+  FROM (SELECT 'a' AS source, entry_index, model, duration, NULL::BIGINT AS output_tokens FROM checkpoint_a UNION ALL SELECT 'r', entry_index, model, duration, output_tokens FROM results)""")
 def bag_union(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of two tables with different columns under one another, missing columns null."""
+    """Rows of two tables with different columns under one another, missing columns null; NaN is null with a flag."""
     a = table(spark, folder, "checkpoint_a").select(F.lit("a").alias("source"), "entry_index", "model", "duration")
     r = table(spark, folder, "results").select(F.lit("r").alias("source"), "entry_index", "model", "duration", "output_tokens")
-    return r.unionByName(a, allowMissingColumns=True).select("source", "entry_index", "model", "duration", "output_tokens")
+    nan = F.coalesce(F.isnan("duration"), F.lit(False))
+    both = r.unionByName(a, allowMissingColumns=True).withColumn("is_nan", nan)
+    return both.select("source", "entry_index", "model", F.when(~nan, F.col("duration")).alias("duration"), "is_nan", "output_tokens")
 
 
 @query("SELECT DISTINCT commit_type, file_path FROM answers WHERE resolved_version IS NOT NULL")
@@ -46,9 +49,8 @@ def beams_default(spark: SparkSession, folder: str) -> DataFrame:
   SELECT answer_id, list_has_any(names, before) AS shares, list_has_all(before, names) AS contained FROM l WHERE before IS NOT NULL""")
 def shared_names(spark: SparkSession, folder: str) -> DataFrame:
     """Whether an answer shares a name with the one before it in its file, and whether all its names are among them."""
-    names = F.transform(F.split("model", ","), lambda x: F.trim(x))
-    w = Window.partitionBy("file_path").orderBy("local_start", "answer_id")
-    rows = table(spark, folder, "answers").select("answer_id", names.alias("names"), F.lag(names).over(w).alias("before")).where("before is not null")
+    rows = table(spark, folder, "answers").select("answer_id", "file_path", "local_start", F.transform(F.split("model", ","), lambda x: F.trim(x)).alias("names"))
+    rows = intervals.with_neighbours(rows, "file_path", ["local_start", "answer_id"], {"before": "names"}).where("before is not null")
     return rows.select("answer_id", F.arrays_overlap("names", "before").alias("shares"), (F.size(F.array_except("names", "before")) == 0).alias("contained"))
 
 
@@ -81,11 +83,9 @@ def region_merge(spark: SparkSession, folder: str) -> DataFrame:
     Each range is linked to the first of its island, and each text to its first answer: at most two links a row.
     """
     rows = table(spark, folder, "answers").select("answer_id", "file_path", "local_start", "local_end", F.md5("resolved_version").alias("h"))
-    w = Window.partitionBy("file_path").orderBy("local_start", "local_end", "answer_id")
-    reach = F.max("local_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("new", (reach.isNull() | (F.col("local_start") > reach + 10)).cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = opened.where("new = 1").select("file_path", "island", F.col("answer_id").alias("a"))
-    touch = opened.where("new = 0").join(heads, ["file_path", "island"]).select("a", F.col("answer_id").alias("b"))
+    opened = intervals.island_rows(rows, "file_path", "local_start", "local_end", gap=10)
+    heads = opened.groupBy("file_path", "island").agg(F.min("answer_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    touch = opened.join(heads, ["file_path", "island"]).where("a <> answer_id").select("a", F.col("answer_id").alias("b"))
     texts = rows.where("h is not null")
     first = texts.groupBy("file_path", "h").agg(F.min("answer_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = texts.join(first, ["file_path", "h"]).where("a <> answer_id").select("a", F.col("answer_id").alias("b"))

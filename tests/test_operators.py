@@ -272,3 +272,23 @@ def test_components(spark):
     df = spark.createDataFrame(links, "x long, y long")
     assert {r["node"]: r["root"] for r in graph.components(df, "x", "y").collect()} == {n: find(n) for n in list(root)}
     assert graph.components(df.limit(0), "x", "y").count() == 0
+
+
+def test_one_file_holds_all_ranges(spark):
+    """Order-bound operators on one hot key: rows are sorted by blocks and islands, never by the key alone."""
+    rng = random.Random(11)
+    rows = [("f", i, s, s + rng.choice([0, 0, 1, 3, 9, 700]), "x") for i, s in enumerate(rng.randrange(3000) for _ in range(800))]
+    df = spark.createDataFrame(rows, "k string, i long, s long, e long, w string")
+    order = sorted(rows, key=lambda r: (r[2], r[3], r[1]))
+    got = {r["i"]: (r["previous_end"], r["next_start"]) for r in intervals.gaps_around(df, "k", "i", "s", "e", 9999).collect()}
+    ends, starts = [0, *(r[3] for r in order)], [*(r[2] for r in order), 9999]
+    assert got == {r[1]: (ends[n], starts[n + 1]) for n, r in enumerate(order)}
+    kept, reach = set(), None
+    for r in order:
+        if reach is None or r[2] >= reach:
+            kept.add(r[1])
+            reach = r[3]
+    accepted = intervals.accept_disjoint(df, "k", "i", "s", "e")
+    assert {r["i"] for r in accepted.collect()} == kept
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert "island" in plan and all("_block" in w for w in plan.split("Window [")[1:] if "windowspecdefinition(k" in w.split("\n")[0] and ", s#" in w.split("\n")[0])
