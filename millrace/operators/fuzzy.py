@@ -56,7 +56,7 @@ def located_range(rows: DataFrame, item: str, lines: str, head: str, tail: str,
     return found.select(item, F.when(near, F.when(free, F.col("a.position")).otherwise(F.col("pair.head"))).alias("first"), F.when(near, F.when(free, F.col("b.position")).otherwise(F.col("pair.tail"))).alias("last"))
 
 
-def window_scores(lines: Column, context: Column, most: float = 1.0, anchored: bool = False, tail: bool = False) -> Column:
+def window_scores(lines: Column, context: Column, most: float | Column = 1.0, anchored: bool = False, tail: bool = False) -> Column:
     """The distance of ``context`` to each window of as many elements, by start; anchored windows reach to the last element.
 
     Windows whose length alone puts them above ``most`` count as infinitely far.
@@ -73,12 +73,12 @@ def window_scores(lines: Column, context: Column, most: float = 1.0, anchored: b
     return F.transform(windows, lambda x: F.when(far(x), F.lit(float("inf"))).otherwise(distance(x, wanted)))
 
 
-def best_start(scores: Column, most: float) -> Column:
+def best_start(scores: Column, most: float | Column) -> Column:
     """The first position of the least score that is at most ``most``; null if there is none."""
     return F.when(F.array_min(scores) <= most, F.array_position(scores, F.array_min(scores)) - 1)
 
 
-def bounded_pair(heads: Column, tails: Column, n: Column, least: Column, longest: Column, most: float) -> Column:
+def bounded_pair(heads: Column, tails: Column, n: Column, least: Column, longest: Column, most: float | Column) -> Column:
     """(sum, head, tail) of least sum of a head and a tail score, both at most ``most``, with least <= gap <= longest.
 
     A head is the end of its window of ``n`` elements, a tail the start of its window; the first head, then the first
@@ -90,7 +90,7 @@ def bounded_pair(heads: Column, tails: Column, n: Column, least: Column, longest
     return F.array_min(F.flatten(F.transform(ends, lambda a: F.transform(fits(a), lambda b: F.struct((a["d"] + b["d"]).alias("sum"), a["at"].alias("head"), b["at"].alias("tail"))))))
 
 
-def context_range(rows: DataFrame, item: str, most: float, factor: int = 100) -> DataFrame:
+def context_range(rows: DataFrame, item: str, most: float | Column, factor: int = 100) -> DataFrame:
     """(item, ``first``, ``last``): the range of ``lines`` between the windows nearest to the lines of ``head`` and ``tail``.
 
     Both are searched independently, the head's first and the tail's last of equals. If they cross, the pair of least sum
@@ -98,7 +98,33 @@ def context_range(rows: DataFrame, item: str, most: float, factor: int = 100) ->
     the greater times ``factor``. Null if a context is empty or not found, or if no pair fits.
     """
     sizes = F.size("base").cast("long"), F.size("remote").cast("long")
-    scored = rows.where(F.greatest(*sizes) > 0).select(item, F.size("lines").alias("size"), F.size("head").alias("n"), F.size("tail").alias("m"), F.floor(F.least(*sizes) / factor).alias("least"), (F.greatest(*sizes) * factor).alias("longest"), window_scores(F.col("lines"), F.col("head"), most).alias("h"), window_scores(F.col("lines"), F.col("tail"), most, tail=True).alias("t"))
-    found = scored.select("*", (best_start(F.col("h"), most) + F.col("n")).alias("a"), (F.col("size") - best_start(F.col("t"), most) - F.col("m")).alias("b"))
-    paired = found.select("*", F.when(F.col("a") > F.col("b"), bounded_pair(F.col("h"), F.reverse("t"), F.col("n"), F.col("least"), F.col("longest"), most)).alias("pair"))
+    scored = rows.where(F.greatest(*sizes) > 0).select(item, F.size("lines").alias("size"), F.size("head").alias("n"), F.size("tail").alias("m"), F.floor(F.least(*sizes) / factor).alias("least"), (F.greatest(*sizes) * factor).alias("longest"), F.lit(most).alias("most"), window_scores(F.col("lines"), F.col("head"), most).alias("h"), window_scores(F.col("lines"), F.col("tail"), most, tail=True).alias("t"))
+    found = scored.select("*", (best_start(F.col("h"), F.col("most")) + F.col("n")).alias("a"), (F.col("size") - best_start(F.col("t"), F.col("most")) - F.col("m")).alias("b"))
+    paired = found.select("*", F.when(F.col("a") > F.col("b"), bounded_pair(F.col("h"), F.reverse("t"), F.col("n"), F.col("least"), F.col("longest"), F.col("most"))).alias("pair"))
     return paired.select(item, F.when(F.col("a") <= F.col("b"), F.col("a")).otherwise(F.col("pair.head")).alias("first"), F.when(F.col("a") <= F.col("b"), F.col("b")).otherwise(F.col("pair.tail")).alias("last"))
+
+
+def relocated(rows: DataFrame, item: str, group: str, caps: tuple[float, float] = (0.75, 0.9), side_caps: tuple[float, float] = (0.1, 0.05), reach: int = 100) -> DataFrame:
+    """(group, ``first``, ``last``, ``found``, ``pieces``): where the pieces of a group belong in their ``lines``, as one hull.
+
+    Each piece (``lines``, ``head``, ``tail``, ``base``, ``remote`` and the column ``group``) is located by its context
+    (:func:`context_range`), within the second of ``caps`` if it replaces no lines and the first otherwise. The range is then
+    extended, never narrowed: to the ends of the anchored windows of both contexts, and to the end of the base lines, or
+    else the remote lines, if that lies at most ``reach`` lines behind it. ``found`` counts the located pieces; without
+    any the hull is null.
+    """
+    most = F.when(F.size("base") == 0, caps[1]).otherwise(caps[0])
+    ranged = context_range(rows, item, most)
+    ha, ta = window_scores(F.col("lines"), F.col("head"), most, anchored=True), window_scores(F.col("lines"), F.col("tail"), most, anchored=True, tail=True)
+    b, r = window_scores(F.col("lines"), F.col("base"), side_caps[0]), window_scores(F.col("lines"), F.col("remote"), side_caps[1])
+    sizes = [F.size(c).alias(f"n_{c}") for c in ("lines", "head", "tail", "base", "remote")]
+    scored = rows.select(item, group, most.alias("most"), *sizes, ha.alias("ha"), ta.alias("ta"), b.alias("b"), r.alias("r"))
+    ends = scored.select(
+        item, group, (best_start(F.col("ha"), F.col("most")) + F.col("n_head")).alias("out_first"), (F.col("n_lines") - best_start(F.col("ta"), F.col("most")) - F.col("n_tail")).alias("out_last"),
+        F.coalesce(best_start(F.col("b"), side_caps[0]) + F.col("n_base"), best_start(F.col("r"), side_caps[1]) + F.col("n_remote")).alias("side_end"),
+    )
+    met = ends.join(ranged, item, "left")
+    last = F.greatest("last", "out_last")
+    wide = met.select(group, F.when(F.col("first").isNotNull(), F.least("first", "out_first")).alias("first"), F.when(F.col("last").isNotNull(), last).alias("last"), "side_end")
+    wide = wide.withColumn("last", F.when(F.col("last").isNotNull() & (F.col("side_end") > F.col("last")) & (F.col("side_end") <= F.col("last") + reach), F.col("side_end")).otherwise(F.col("last")))
+    return wide.groupBy(group).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count_if(F.col("first").isNotNull() & F.col("last").isNotNull()).alias("found"), F.count("*").alias("pieces"))

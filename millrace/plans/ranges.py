@@ -226,3 +226,18 @@ def context_windows(spark: SparkSession, folder: str) -> DataFrame:
 def context_range(spark: SparkSession, folder: str) -> DataFrame:
     """Where the patch belongs in the code, by all lines of its leading and trailing context."""
     return fuzzy.context_range(_framed(spark, folder), "request_id", 0.75)
+
+
+@query(f"""WITH {_FRAMED}, s AS (SELECT request_id, len(lines) AS size, len(head) AS n, len(tail) AS m, len(base) AS nb, len(remote) AS nr, CASE WHEN len(base) = 0 THEN 0.9 ELSE 0.75 END AS cap, least(len(base), len(remote)) // 100 AS least_gap, greatest(len(base), len(remote)) * 100 AS most_gap,
+    {_windows('head')} AS h, {_windows('tail', tail=True)} AS t, {_windows('head', True)} AS ha, {_windows('tail', True, True)} AS ta, {_windows('base')} AS b, {_windows('remote')} AS r FROM w),
+  o AS (SELECT *, {_START.format('h', 'cap')} + n AS a, size - ({_START.format('t', 'cap')}) - m AS z, {_START.format('ha', 'cap')} + n AS oa, size - ({_START.format('ta', 'cap')}) - m AS oz, coalesce({_START.format('b', 0.1)} + nb, {_START.format('r', 0.05)} + nr) AS side_end FROM s),
+  hs AS (SELECT request_id, cap, least_gap, most_gap, unnest(h) AS d, generate_subscripts(h, 1) - 1 + n AS at_h FROM o WHERE a > z AND greatest(nb, nr) > 0), ts AS (SELECT request_id, unnest(list_reverse(t)) AS d, generate_subscripts(t, 1) - 1 AS at_t FROM o WHERE a > z),
+  g AS (SELECT request_id, min_by(at_h, (hs.d + ts.d, at_h, at_t)) AS a2, min_by(at_t, (hs.d + ts.d, at_h, at_t)) AS z2 FROM hs JOIN ts USING (request_id) WHERE hs.d <= cap AND ts.d <= cap AND at_t - at_h BETWEEN least_gap AND most_gap GROUP BY request_id),
+  p AS (SELECT request_id, CASE WHEN a <= z THEN a ELSE a2 END AS f0, CASE WHEN a <= z THEN z ELSE z2 END AS l0, oa, oz, side_end, greatest(nb, nr) > 0 AS real FROM o LEFT JOIN g USING (request_id)),
+  q AS (SELECT request_id, CASE WHEN real AND f0 IS NOT NULL THEN least(f0, oa) END AS f1, CASE WHEN real AND l0 IS NOT NULL THEN greatest(l0, oz) END AS l1, side_end FROM p),
+  e AS (SELECT request_id, f1, CASE WHEN side_end > l1 AND side_end <= l1 + 100 THEN side_end ELSE l1 END AS l2 FROM q)
+  SELECT conflict_id, min(f1) AS first, max(l2) AS last, count_if(f1 IS NOT NULL AND l2 IS NOT NULL) AS found, count(*) AS pieces FROM e JOIN api_requests USING (request_id) GROUP BY conflict_id""")
+def relocate(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the patches of each conflict belong in the code: located by context, extended outward, as one hull."""
+    whose = table(spark, folder, "api_requests").select("request_id", "conflict_id")
+    return fuzzy.relocated(_framed(spark, folder).join(whose, "request_id"), "request_id", "conflict_id")

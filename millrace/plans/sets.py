@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, intervals, namesets
+from millrace.operators import contain, graph, intervals, namesets
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -91,3 +91,9 @@ def region_merge(spark: SparkSession, folder: str) -> DataFrame:
     same = texts.join(first, ["file_path", "h"]).where("a <> answer_id").select("a", F.col("answer_id").alias("b"))
     roots = graph.components(touch.unionByName(same), "a", "b")
     return rows.join(roots, F.col("node") == F.col("answer_id"), "left").select("answer_id", F.coalesce("root", "answer_id").alias("region"))
+
+
+@query("""SELECT f.file_path, min(doc_id) AS doc_id FROM (SELECT DISTINCT file_path FROM answers WHERE file_path <> '') f LEFT JOIN documents d ON contains(d.text, f.file_path) GROUP BY f.file_path""")
+def first_mention(spark: SparkSession, folder: str) -> DataFrame:
+    """The first document that names each file of the answers."""
+    return contain.first_containing(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "answers"), "file_path")

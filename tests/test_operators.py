@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.operators import analytics, diffs, graph, hunks, intervals, namesets, state, validate
+from millrace.operators import analytics, contain, diffs, graph, hunks, intervals, namesets, state, validate
 from millrace.streaming import results as streaming
 
 SCHEMA = "k string, i long, s long, e long"
@@ -292,3 +292,12 @@ def test_one_file_holds_all_ranges(spark):
     assert {r["i"] for r in accepted.collect()} == kept
     plan = accepted._jdf.queryExecution().optimizedPlan().toString()
     assert "island" in plan and all("_block" in w for w in plan.split("Window [")[1:] if "windowspecdefinition(k" in w.split("\n")[0] and ", s#" in w.split("\n")[0])
+
+
+def test_first_containing(spark):
+    texts = [(5, "see xlib/lock.cc now"), (3, "a lib/lock.c b"), (7, "deadbeef99"), (8, None), (9, ""), (2, "lock alone"), (6, "über/größe.x ab")]
+    needles = ["lib/lock.c", "lock", "beef", "dbeef9", "zz", "", None, "größe.x", "b", "a lib"]
+    df = spark.createDataFrame(texts, "i long, t string")
+    got = {r["s"]: r["i"] for r in contain.first_containing(df, "i", "t", spark.createDataFrame([(n,) for n in needles * 2], "s string"), "s").collect()}
+    assert got == {n: min((i for i, t in texts if t and n in t), default=None) for n in needles if n}
+    assert contain.first_containing(df.limit(0), "i", "t", df.select("t"), "t").where("i is not null").count() == 0
