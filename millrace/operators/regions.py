@@ -6,7 +6,7 @@ common base, optional) and ``=``. Patterns work on whole texts in the JVM; there
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import lines_of
@@ -34,12 +34,56 @@ def one_side(text: Column, side: str, size: int = 7) -> Column:
 def spliced(files: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text) of files with their edits (``start``, ``end``, ``replacement``; lines from 0, end exclusive) applied.
 
-    Edits of a file must not overlap; they are applied from the last to the first, so earlier positions stay valid. Files
-    without edits come out as they are. A file's edits are at most as many as its lines.
+    Edits of a file must not overlap; an edit that replaces no line stands before the line at its start. Files without
+    edits come out as they are; of the others lines and replacements are put in order once. ``key`` is unique.
     """
-    ordered = edits.groupBy(key).agg(F.reverse(F.sort_array(F.collect_list(F.struct("start", "end", "replacement")))).alias("_edits"))
-    lines = files.select(key, lines_of(F.col(text)).alias("_lines")).join(ordered, key, "left")
-    size = lambda x: F.greatest(F.size(x), F.lit(0))
-    cut = lambda acc, e: F.concat(F.slice(acc, F.lit(1), e["start"].cast("int")), F.array(e["replacement"]), F.slice(acc, e["end"].cast("int") + 1, size(acc)))
-    done = F.aggregate(F.coalesce("_edits", F.array().cast("array<struct<start:bigint,end:bigint,replacement:string>>")), F.col("_lines"), cut)
-    return lines.select(key, F.array_join(done, "").alias(text))
+    marked = edits.select(key).distinct()
+    lines = files.join(marked, key, "left_semi").select(key, F.posexplode(lines_of(F.col(text))).alias("_at", "_line"))
+    gone = edits.where(F.col("end") > F.col("start")).select(key, F.explode(F.sequence(F.col("start").cast("int"), F.col("end").cast("int") - 1)).alias("_at"))
+    kept = lines.join(gone, [key, "_at"], "left_anti").select(key, F.struct((F.col("_at").cast("long") * 2 + 1).alias("at"), F.lit(0).cast("long").alias("end"), F.col("_line").alias("line")).alias("x"))
+    new = edits.select(key, F.struct((F.col("start").cast("long") * 2).alias("at"), F.col("end").cast("long").alias("end"), F.col("replacement").alias("line")).alias("x")).join(files.select(key), key, "left_semi")
+    done = kept.unionByName(new).groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("x")).select(key, F.array_join(F.transform("x", lambda v: v["line"]), "").alias(text))
+    return done.unionByName(files.join(marked, key, "left_anti").select(key, text))
+
+
+def parsed(df: DataFrame, key: str, text: str, context: int, size: int = 7) -> DataFrame:
+    """One row per region of each text: (key, ``region`` from 1, ``error``, ``upper``, ``base``, ``lower``, ``answers``, ``answer``,
+    ``head``, ``tail``, ``upper_start``).
+
+    A region starts at a line of ``<``, with sides parted by lines of ``|`` (may be missing) and ``=``, then sections of answers
+    (each behind a line of ``&``; ``answer`` is the first), and ends at a line of ``>``. ``error`` is ``nested`` if
+    another region starts before its end, ``open`` without an end, ``no_lower`` without the line of ``=``, and
+    ``unordered`` if the lines stand in another order; else null. ``head`` and ``tail`` are up to ``context`` lines around
+    it, cut at the neighbouring regions. ``upper_start`` is the line (from 0) at which the upper side starts in the text
+    with every region before reduced to its upper side. Lines of a text meet in one task, as the text itself does.
+    """
+    mark = lambda c: F.lit(c * size)
+    line = F.col("line")
+    kind = (
+        F.when(line.startswith(F.concat(mark("<"), F.lit(" "))), "<").when(line.startswith(F.concat(mark("|"), F.lit(" "))), "|").when(F.rtrim(line, F.lit("\n")) == mark("="), "=")
+        .when(line.startswith(F.concat(mark("&"), F.lit(" "))), "&").when(line.startswith(mark(">")), ">")
+    )
+    w = Window.partitionBy(key).orderBy("pos")
+    rows = df.select(key, F.posexplode(lines_of(F.col(text))).alias("pos", "line")).withColumn("kind", kind)
+    rows = rows.withColumn("region", F.sum(F.coalesce((F.col("kind") == "<").cast("int"), F.lit(0))).over(w))
+    first = lambda c: F.min(F.when(F.col("kind") == c, F.col("pos")))
+    own = rows.groupBy(key, "region").agg(first("<").alias("l"), first("|").alias("b"), first("=").alias("q"), first("&").alias("a"), first(">").alias("e"), F.count_if(F.col("kind") == "&").alias("answers"), F.sort_array(F.collect_list(F.struct("pos", "line", "kind"))).alias("x"))
+    between = lambda lo, hi: F.array_join(F.transform(F.filter("x", lambda v: (v["pos"] > lo) & (v["pos"] < hi)), lambda v: v["line"]), "")
+    after = F.transform(F.filter("x", lambda v: F.col("l").isNull() | (v["pos"] > F.col("e"))), lambda v: v["line"])
+    second = F.array_min(F.transform(F.filter("x", lambda v: (v["kind"] == "&") & (v["pos"] > F.col("a"))), lambda v: v["pos"]))
+    own = own.withColumn("after", F.coalesce(after, F.array().cast("array<string>"))).withColumn("a2", second)
+    ordered = (F.col("l") < F.coalesce("b", "q")) & (F.coalesce("b", F.col("q") - 1) < F.col("q")) & (F.col("q") < F.coalesce("a", "e")) & (F.coalesce("a", "e") <= F.col("e"))
+    by_region = Window.partitionBy(key).orderBy("region")
+    error = F.when(F.col("e").isNull(), F.when(F.lead("region").over(by_region).isNotNull(), "nested").otherwise("open")).when(F.col("q").isNull(), "no_lower").when(~ordered, "unordered")
+    upper = between(F.col("l"), F.coalesce("b", "q"))
+    told = own.withColumn("error", error).withColumn("past", F.lag("after").over(by_region))
+    extra = F.when(F.col("error").isNull() & F.col("l").isNotNull(), F.col("e") - F.col("l") + 1 - (F.coalesce("b", "q") - F.col("l") - 1)).otherwise(0)
+    moved = told.withColumn("extra", F.coalesce(F.sum(extra).over(by_region.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("region > 0")
+    if_right = lambda c: F.when(F.col("error").isNull(), c)
+    n = F.size("past")
+    return moved.select(
+        key, "region", "error", if_right(upper).alias("upper"), if_right(F.when(F.col("b").isNotNull(), between(F.col("b"), F.col("q")))).alias("base"), if_right(between(F.col("q"), F.coalesce("a", "e"))).alias("lower"),
+        if_right(F.col("answers")).alias("answers"), if_right(F.when(F.col("a").isNotNull(), between(F.col("a"), F.coalesce("a2", "e")))).alias("answer"),
+        if_right(F.array_join(F.slice("past", F.greatest(n - context, F.lit(0)) + 1, F.lit(context)), "")).alias("head"), if_right(F.array_join(F.slice("after", 1, context), "")).alias("tail"),
+        if_right(F.col("l") - F.col("extra")).alias("upper_start"),
+    )

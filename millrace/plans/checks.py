@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import lines_of
-from millrace.operators import acceptance
+from millrace.operators import acceptance, regions
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -168,3 +168,59 @@ def byte_line(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("line_no")
     ended = found.withColumn("stop", F.sum("size").over(w))
     return ended.where((F.col("byte_at") >= F.col("stop") - F.col("size")) & (F.col("byte_at") < F.col("stop"))).select("doc_id", "byte_at", "line_no", (F.col("stop") - F.col("size")).alias("line_start"))
+
+
+_MARKED = r"""c AS (SELECT request_id, regexp_extract_all(code, '[^\n]*\n|[^\n]+') AS ls, coalesce(patch, '') AS p FROM api_requests WHERE code IS NOT NULL),
+  m AS (SELECT request_id, array_to_string(ls[1:2], '') || '<<<<<<< local' || chr(10) || array_to_string(ls[3:4], '') || CASE WHEN request_id % 7 = 0 THEN '<<<<<<< inner' || chr(10) ELSE '' END
+    || CASE WHEN request_id % 2 = 0 THEN '||||||| base' || chr(10) || array_to_string(ls[3:3], '') ELSE '' END || CASE WHEN request_id % 13 = 0 THEN '' ELSE '=======' || chr(10) END || array_to_string(ls[4:5], '')
+    || CASE WHEN request_id % 3 = 0 THEN '&&&&&&& one' || chr(10) || array_to_string(ls[5:5], '') || '&&&&&&& two' || chr(10) ELSE '' END || '>>>>>>> remote' || chr(10) || array_to_string(ls[5:6], '')
+    || '<<<<<<< local' || chr(10) || array_to_string(ls[7:8], '') || '||||||| base' || chr(10) || '=======' || chr(10) || array_to_string(ls[8:9], '') || CASE WHEN request_id % 11 = 0 THEN '' ELSE '>>>>>>> remote' || chr(10) END || array_to_string(ls[9:len(ls)], '') AS text FROM c)"""
+
+
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of every request with two marked regions: with and without a base and answers, some nested, open or broken."""
+    ls = lines_of(F.col("code"))
+    part = lambda a, b: F.array_join(F.slice("ls", a, b - a + 1), "")
+    when = lambda n, text, other="": F.when(F.col("request_id") % n == 0, text).otherwise(other)
+    rest = F.array_join(F.slice("ls", F.lit(9), F.greatest(F.size("ls") - 8, F.lit(0))), "")
+    text = F.concat(
+        part(1, 2), F.lit("<<<<<<< local\n"), part(3, 4), when(7, F.lit("<<<<<<< inner\n")), when(2, F.concat(F.lit("||||||| base\n"), part(3, 3))), when(13, F.lit(""), F.lit("=======\n")), part(4, 5),
+        when(3, F.concat(F.lit("&&&&&&& one\n"), part(5, 5), F.lit("&&&&&&& two\n"))), F.lit(">>>>>>> remote\n"), part(5, 6),
+        F.lit("<<<<<<< local\n"), part(7, 8), F.lit("||||||| base\n=======\n"), part(8, 9), when(11, F.lit(""), F.lit(">>>>>>> remote\n")), rest,
+    )
+    return table(spark, folder, "api_requests").where("code is not null").select("request_id", ls.alias("ls")).select("request_id", text.alias("text"))
+
+
+_LINE_KIND = "CASE WHEN starts_with(line, '<<<<<<< ') THEN '<' WHEN starts_with(line, '||||||| ') THEN '|' WHEN rtrim(line, chr(10)) = '=======' THEN '=' WHEN starts_with(line, '&&&&&&& ') THEN '&' WHEN starts_with(line, '>>>>>>>') THEN '>' END"
+
+
+def _between(lo: str, hi: str) -> str:
+    return f"array_to_string(list_transform(list_filter(x, lambda v: v.pos > {lo} AND v.pos < {hi}), lambda v: v.line), '')"
+
+
+@query(rf"""WITH {_MARKED}, l AS (SELECT request_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) - 1 AS pos FROM m),
+  k AS (SELECT *, {_LINE_KIND} AS kind FROM l), r AS (SELECT *, sum(coalesce((kind = '<')::INT, 0)) OVER (PARTITION BY request_id ORDER BY pos)::BIGINT AS region FROM k),
+  o AS (SELECT request_id, region, min(pos) FILTER (WHERE kind = '<') AS l, min(pos) FILTER (WHERE kind = '|') AS b, min(pos) FILTER (WHERE kind = '=') AS q, min(pos) FILTER (WHERE kind = '&') AS a, min(pos) FILTER (WHERE kind = '>') AS e,
+    count_if(kind = '&') AS answers, list(struct_pack(pos := pos, line := line, kind := kind) ORDER BY pos) AS x FROM r GROUP BY request_id, region),
+  f AS (SELECT *, list_transform(list_filter(x, lambda v: l IS NULL OR coalesce(v.pos > e, false)), lambda v: v.line) AS after, list_min(list_transform(list_filter(x, lambda v: v.kind = '&' AND v.pos > a), lambda v: v.pos)) AS a2 FROM o),
+  t AS (SELECT *, CASE WHEN e IS NULL THEN CASE WHEN lead(region) OVER w IS NOT NULL THEN 'nested' ELSE 'open' END WHEN q IS NULL THEN 'no_lower' WHEN NOT (l < coalesce(b, q) AND coalesce(b, q - 1) < q AND q < coalesce(a, e) AND coalesce(a, e) <= e) THEN 'unordered' END AS error,
+    lag(after) OVER w AS past FROM f WINDOW w AS (PARTITION BY request_id ORDER BY region)),
+  u AS (SELECT *, coalesce(sum(CASE WHEN error IS NULL AND l IS NOT NULL THEN e - l + 1 - (coalesce(b, q) - l - 1) ELSE 0 END) OVER (PARTITION BY request_id ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS extra FROM t)
+  SELECT request_id, region, error, CASE WHEN error IS NULL THEN md5({_between('l', 'coalesce(b, q)')}) END AS upper, CASE WHEN error IS NULL AND b IS NOT NULL THEN md5({_between('b', 'q')}) END AS base, CASE WHEN error IS NULL THEN md5({_between('q', 'coalesce(a, e)')}) END AS lower,
+    CASE WHEN error IS NULL THEN answers END AS answers, CASE WHEN error IS NULL AND a IS NOT NULL THEN md5({_between('a', 'coalesce(a2, e)')}) END AS answer,
+    CASE WHEN error IS NULL THEN md5(array_to_string(past[greatest(len(past) - 3, 0) + 1:], '')) END AS head, CASE WHEN error IS NULL THEN md5(array_to_string(after[1:3], '')) END AS tail, CASE WHEN error IS NULL THEN (l - extra)::BIGINT END AS upper_start FROM u WHERE region > 0""")
+def region_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Several regions a text with their sides, answers, context cut at the neighbours, and what is wrong with them."""
+    found = regions.parsed(_marked(spark, folder), "request_id", "text", 3)
+    return found.select("request_id", "region", "error", *(F.md5(c).alias(c) for c in ("upper", "base", "lower")), "answers", *(F.md5(c).alias(c) for c in ("answer", "head", "tail")), F.col("upper_start").cast("long").alias("upper_start"))
+
+
+@query(r"""WITH c AS (SELECT request_id, regexp_extract_all(code, '[^\n]*\n|[^\n]+') AS ls FROM api_requests WHERE code IS NOT NULL)
+  SELECT request_id, md5(CASE WHEN request_id % 5 = 0 OR len(ls) < 6 THEN array_to_string(ls, '') ELSE 'new head' || chr(10) || array_to_string(ls[1:1], '') || 'swap' || chr(10) || array_to_string(ls[4:5], '') || array_to_string(ls[7:], '') END) AS text FROM c""")
+def many_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Three edits of each file at once: a line before the first, two lines replaced by one, and a line cut out."""
+    files = table(spark, folder, "api_requests").where("code is not null").select("request_id", F.col("code").alias("text"))
+    chosen = files.where((F.col("request_id") % 5 != 0) & (F.size(lines_of(F.col("text"))) >= 6)).select("request_id")
+    edit = lambda a, b, new: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("replacement"))
+    edits = chosen.select("request_id", F.inline(F.array(edit(5, 6, ""), edit(0, 0, "new head\n"), edit(1, 3, "swap\n"))))
+    return regions.spliced(files, edits, "request_id", "text").withColumn("text", F.md5("text"))
