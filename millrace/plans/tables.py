@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import diffs, regions, state, validate
 from millrace.plans.registry import query
-from millrace.sources.csv import description_parts
+from millrace.sources.csv import RESULT_SCHEMA, commit_pairs, description_parts, read_results, status_entries, write_results
 from millrace.sources.tables import table
 from millrace.storage import shared_dir
 from millrace.streaming import results as streaming
@@ -117,3 +117,38 @@ def stream_model_counts(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{shared_dir(spark)}/millrace/stream-{uuid.uuid4().hex}"
     streaming.run_counts(streaming.read_stream(spark, folder, "results"), f"{place}/out", f"{place}/state")
     return streaming.total_counts(spark, f"{place}/out")
+
+
+_ROUND = "entry_index, model, correct, correct_aligned, error, input_tokens, output_tokens, md5(failed_patched_code) AS failed"
+
+
+@query(f"SELECT {_ROUND} FROM results")
+def results_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The results written as a checkpoint folder and read again, texts over several lines and empty ones included."""
+    path = f"{shared_dir(spark)}/millrace/checkpoint-{uuid.uuid4().hex}"
+    rows = table(spark, folder, "results")
+    write_results(rows.select(*(c.split(" ")[0] for c in RESULT_SCHEMA.split(", "))), path)
+    return read_results(spark, path).selectExpr(*_ROUND.split(", "))
+
+
+@query(r"""WITH e AS (SELECT filename, entry_index, lower(patch_commit_hash) AS c, lower(replace(code_commit_hash, '^', '')) AS u FROM test_entries WHERE regexp_full_match(lower(patch_commit_hash), '[0-9a-f]{40}') AND regexp_full_match(lower(replace(code_commit_hash, '^', '')), '[0-9a-f]{40}'))
+  SELECT filename, c AS commit, min_by(u, entry_index) AS upstream FROM e WHERE entry_index % 3 <> 2 GROUP BY filename, c""")
+def upstream_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Commits and the upstream commits that their log entries name, read from a log of each file in which a third has no note."""
+    bare = lambda c: F.lower(F.replace(c, F.lit("^"), F.lit("")))
+    e = table(spark, folder, "test_entries").select("filename", "entry_index", bare(F.col("patch_commit_hash")).alias("c"), bare(F.col("code_commit_hash")).alias("u")).where(F.col("c").rlike("^[0-9a-f]{40}$") & F.col("u").rlike("^[0-9a-f]{40}$"))
+    k = F.col("entry_index") % 3
+    note = F.when(k == 0, F.concat(F.lit("    commit "), "u", F.lit(" upstream."))).when(k == 1, F.concat(F.lit("    [ Upstream commit "), "u", F.lit(" ]"))).otherwise("    no note")
+    lines = e.select("filename", "entry_index", F.posexplode(F.array(F.concat(F.lit("commit "), "c"), F.lit("    Fix a part"), note, F.lit(f"    commit {'0' * 40} upstream."))).alias("at", "line")).where((F.col("at") < 3) | (k != 2))
+    return commit_pairs(lines.withColumn("number", F.col("entry_index") * 4 + F.col("at")), "number", "line", "filename")
+
+
+@query("SELECT file_path AS path, md5(file_path) AS hash FROM (SELECT DISTINCT file_path FROM answers WHERE commit_type = 'Conflict' AND file_path IS NOT NULL)")
+def unmerged_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The unmerged entries of a status listing parted by NUL that holds other entries too."""
+    path = f"{shared_dir(spark)}/millrace/status-{uuid.uuid4().hex}"
+    files = table(spark, folder, "answers").where("file_path is not null").groupBy("file_path").agg(F.bool_or(F.col("commit_type") == "Conflict").alias("open"))
+    line = F.when(F.col("open"), F.concat(F.lit("u UU N... 100644 100644 100644 100644 "), F.md5(F.concat(F.lit("b"), "file_path")), F.lit(" "), F.md5("file_path"), F.lit(" "), F.md5("file_path"), F.lit(" "), "file_path"))
+    other = F.concat(F.lit("1 .M N... 100644 100644 100644 x y "), "file_path")
+    files.select(F.coalesce(line, other).alias("value")).write.option("lineSep", "\0").text(path)
+    return status_entries(spark, path)

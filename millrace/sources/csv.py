@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 RESULT_SCHEMA = "entry_index long, model string, correct boolean, correct_aligned boolean, correct_stripped boolean, duration double, input_tokens long, output_tokens long, logprob double, failed_patched_code string, error boolean, patch_commit_hash string, code_commit_hash string"
 
+# white space and line ends inside of fields are kept
+EXACT = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def description_parts(description: Column) -> tuple[Column, Column, Column]:
     """(code hash with ``^``, patch hash, file name) of ``code / patch\\nfile``; without `` / `` all is the code hash."""
@@ -32,12 +35,13 @@ def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     there = [p for p in names if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(h)]
     if not there:
         return spark.createDataFrame([], RESULT_SCHEMA)
-    return spark.read.csv(there, header=True, multiLine=True, escape='"', schema=RESULT_SCHEMA)
+    return spark.read.csv(there, schema=RESULT_SCHEMA, multiLine=True, **EXACT)
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Write a new checkpoint folder; the folder must not be one that ``df`` reads."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """Write a new checkpoint folder; the folder must not be one that ``df`` reads. Texts come back as they were, with
+    their white space and line ends."""
+    df.write.mode("overwrite").csv(path, **EXACT)
 
 
 def status_entries(spark: SparkSession, path: str) -> DataFrame:
