@@ -76,11 +76,16 @@ def packed(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     workers = max(1, -(-pieces.count() // PER_WORKER))
 
     def work(table: pa.Table) -> pa.Table:
+        # the same pieces give the same containers, in whatever order they come
+        table = table.sort_by([("i", "ascending"), ("part", "ascending")])
         place = fill(table.column("size").to_pylist(), capacity)
         base = int(table.column("worker")[0].as_py()) << 32
         out = table.select(["i", "part", "start", "size"])
         return out.append_column("container", pa.array([base + p for p in place], pa.int64()))
 
-    spread = pieces.withColumn("worker", F.pmod(F.xxhash64("serial"), F.lit(workers)))
+    # an item and part name a piece, so its worker does not depend on how the files are split; repeated ones are salted
+    often = pieces.groupBy("i", "part").agg(F.count("*").alias("n")).where("n > 1")
+    told = pieces.alias("a").join(often.alias("b"), F.col("a.i").eqNullSafe(F.col("b.i")) & (F.col("a.part") == F.col("b.part")), "left").select("a.*", F.when(F.col("n") > 1, F.col("serial")).alias("salt"))
+    spread = told.withColumn("worker", F.pmod(F.xxhash64("i", "part", "salt"), F.lit(workers))).drop("salt")
     kind = dict(slim.dtypes)["i"]
     return spread.groupBy("worker").applyInArrow(work, f"i {kind}, part int, start long, size long, container long").withColumnRenamed("i", item)

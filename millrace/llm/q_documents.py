@@ -32,6 +32,21 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return per.groupBy(F.floor(F.col("used") * 10 / CAPACITY).alias("tenths")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
 
 
+@query("SELECT count(*) AS documents, 0::BIGINT AS torn, 0::BIGINT AS overfull, true AS full_enough FROM documents WHERE text <> ''")
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers: every text once and whole, none torn that fits, none overfull, 95 in 100 of the room
+    used (but for the last container of each class)."""
+    laid = p9_packed(spark, folder)
+    per_text = laid.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max("start").alias("start"), F.countDistinct("part").alias("distinct"))
+    torn = (F.col("parts") != F.ceil(F.col("size") / CAPACITY)) | (F.col("distinct") != F.col("parts"))
+    texts = per_text.select(F.lit(1).alias("text"), torn.cast("int").alias("torn"), F.lit(0).alias("over"), F.lit(0).alias("used"))
+    per = laid.groupBy("container").agg(F.sum("size").alias("used"))
+    both = texts.unionByName(per.select(F.lit(0).alias("text"), F.lit(0).alias("torn"), (F.col("used") > CAPACITY).cast("int").alias("over"), "used"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    enough = total("used") >= 0.95 * CAPACITY * (F.count_if(F.col("text") == 0) - 16)
+    return both.agg(total("text").alias("documents"), total("torn").alias("torn"), total("over").alias("overfull"), enough.alias("full_enough"))
+
+
 @query()
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents"), "doc_id", "text")

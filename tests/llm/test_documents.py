@@ -71,6 +71,13 @@ def test_packed(spark):
     assert {k: sorted(v) for k, v in by.items()} == {1: [(0, 0, 5)] * 2, 2: [(0, 0, 10)], 3: [(0, 0, 10), (1, 10, 10), (2, 20, 5)], None: [(0, 0, 3)], 7: [(0, 0, 10), (1, 10, 1)]}
 
 
+def test_containers_do_not_depend_on_the_split_of_the_input(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, rng.randrange(1, 3000)) for i in range(2000)], "i long, size long")
+    place = lambda d: {(r["i"], r["part"]): r["container"] for r in pack.packed(d, "i", "size", 2048).collect()}
+    assert place(df.repartition(1)) == place(df.repartition(7))
+
+
 CASES = [
     ["Dr. Orwen met Prof. Li at 9 a.m. on Mon. morning.", "It took 3.5 s.", "Then it ended, etc.", "See Fig. 3 and Sec. 4.1."],
     ["Wait... is it open?", "Yes…", "No.", "See v1.2.3 in lib/a.S for it.", "(See the log.)", "Done?!"],
