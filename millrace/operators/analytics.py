@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scores import number, score_percent, usable
 
 #: The classes are nested: a correct answer also counts as aligned, stripped and global.
-CLASSES = {"global": None, "incorrect": "wrong", "stripped": "correct_stripped", "aligned": "correct_aligned", "correct": "correct"}
+CLASSES = {"global": None, "incorrect": "wrong", "stripped": "correct_stripped", "aligned": "correct_aligned", "correct": "correct", "error": "error"}
 
 
 def count_if(condition: Column) -> Column:

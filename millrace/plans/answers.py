@@ -53,6 +53,14 @@ def model_names(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "answers").select(F.explode(F.split("model", ",")).alias("name")).select(F.trim("name").alias("name")).distinct()
 
 
+@query("""SELECT DISTINCT rtrim(endpoint_name) || CASE WHEN k = 0 THEN '' ELSE ' (#' || k || ')' END AS label FROM (SELECT endpoint_name, unnest(range(0, CASE WHEN endpoint_type = 'tuned' THEN coalesce(n_beams, 1) ELSE 1 END)) AS k FROM endpoints)""")
+def expected_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels that answers can have: one for each endpoint, and one more for each further beam of a tuned one."""
+    beams = F.when(F.col("endpoint_type") == "tuned", F.coalesce("n_beams", F.lit(1))).otherwise(1)
+    k = table(spark, folder, "endpoints").select("endpoint_name", F.explode(F.sequence(F.lit(0).cast("long"), beams - 1)).alias("k"))
+    return k.select(F.concat(F.rtrim("endpoint_name"), F.when(F.col("k") == 0, "").otherwise(F.concat(F.lit(" (#"), "k", F.lit(")")))).alias("label")).distinct()
+
+
 @query("""SELECT answer_id, model || CASE WHEN x = '' THEN '' ELSE ' (' || x || ')' END AS label FROM (SELECT *, CASE WHEN variant_index > 0 THEN variant_index::VARCHAR ELSE '' END ||
   CASE WHEN beam_index > 0 THEN '#' || beam_index ELSE '' END || CASE WHEN multi_index > 0 THEN '$' || multi_index ELSE '' END AS x FROM answers)""")
 def answer_labels(spark: SparkSession, folder: str) -> DataFrame:

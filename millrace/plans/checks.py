@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import nested
 from millrace.functions.text import lines_of
 from millrace.operators import acceptance, regions
 from millrace.plans.registry import query
@@ -224,3 +225,63 @@ def many_edits(spark: SparkSession, folder: str) -> DataFrame:
     edit = lambda a, b, new: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(new).alias("replacement"))
     edits = chosen.select("request_id", F.inline(F.array(edit(5, 6, ""), edit(0, 0, "new head\n"), edit(1, 3, "swap\n"))))
     return regions.spliced(files, edits, "request_id", "text").withColumn("text", F.md5("text"))
+
+
+def _payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Every response in the payload of one of three kinds: a chat, a plain completion, or an error."""
+    r = table(spark, folder, "api_responses").select("response_id", "response", "output_tokens")
+    k = F.col("response_id") % 5
+    sign = F.struct(F.lit("s").alias("thoughtSignature"), F.struct(F.lit(1).alias("signature_count"), "response_id").alias("inner")).alias("meta")
+    usage = F.struct(F.col("output_tokens").alias("completion_tokens")).alias("usage")
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("response").alias("content"), F.lit("x").alias("signature")).alias("message"), sign)).alias("choices"), usage))
+    plain = F.to_json(F.struct(F.array(F.struct(F.col("response").alias("text"))).alias("choices"), usage))
+    broken = F.to_json(F.struct(F.struct(F.lit("quota").alias("code"), F.array(F.struct(F.lit("a").alias("name"), F.col("response_id").cast("string").alias("value"))).alias("params")).alias("error")))
+    return r.select("response_id", F.when(k == 4, broken).when(k % 2 == 0, chat).otherwise(plain).alias("payload"))
+
+
+@query("SELECT response_id, CASE WHEN response_id % 5 <> 4 THEN md5(response) END AS content, CASE WHEN response_id % 5 <> 4 THEN output_tokens END AS tokens, CASE WHEN response_id % 5 = 4 THEN 'quota' END AS code FROM api_responses")
+def payload_content(spark: SparkSession, folder: str) -> DataFrame:
+    """What a payload says: the chat's content, else the completion's text, and the code of an error."""
+    at = lambda path: F.get_json_object("payload", path)
+    content = F.coalesce(at("$.choices[0].message.content"), at("$.choices[0].text"))
+    return _payloads(spark, folder).select("response_id", F.md5(content).alias("content"), at("$.usage.completion_tokens").cast("long").alias("tokens"), at("$.error.code").alias("code"))
+
+
+@query("""SELECT response_id, CASE WHEN response_id % 5 <> 4 THEN md5(response) END AS content, 0 AS signs, CASE WHEN response_id % 5 IN (0, 2) THEN response_id END AS inner_id FROM api_responses""")
+def payload_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Payloads with all signatures blanked at every depth: what is left of them, and how many signatures are."""
+    found = nested.redacted(_payloads(spark, folder), "response_id", "payload", "signature")
+    at = lambda path: F.get_json_object("payload", path)
+    signs = sum((at(p).isNotNull().cast("int") for p in ("$.choices[0].message.signature", "$.choices[0].meta.thoughtSignature")), at("$.choices[0].meta.inner.signature_count").isNotNull().cast("int"))
+    content = F.coalesce(at("$.choices[0].message.content"), at("$.choices[0].text"))
+    return found.select("response_id", F.md5(content).alias("content"), signs.alias("signs"), at("$.choices[0].meta.inner.response_id").cast("long").alias("inner_id"))
+
+
+@query("SELECT response_id, CASE WHEN response_id % 5 = 4 THEN response_id END AS value FROM api_responses")
+def payload_object(spark: SparkSession, folder: str) -> DataFrame:
+    """The first object of a payload, depth first, that has a name and a value."""
+    found = nested.first_object(_payloads(spark, folder), "response_id", "payload", ["name", "value"])
+    return found.select("response_id", F.get_json_object("payload", "$.value").cast("long").alias("value"))
+
+
+@query("""WITH x AS (SELECT request_id, 'system' AS role, prompt AS content FROM api_requests WHERE prompt <> '' UNION ALL
+    SELECT request_id, 'user', concat_ws(chr(10) || chr(10), nullif(patch, ''), nullif(code, ''), CASE WHEN endpoint_type IS DISTINCT FROM 'tuned' THEN nullif(git_diff, '') END) FROM api_requests LEFT JOIN endpoints USING (endpoint_index))
+  SELECT request_id, role, md5(content) AS content FROM x WHERE content <> ''""")
+def chat_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of each request by role: its elements in order with a blank line between, empty ones left out, the diff
+    suppressed for tuned endpoints, and no message without an element."""
+    e = table(spark, folder, "endpoints").select("endpoint_index", "endpoint_type")
+    rows = table(spark, folder, "api_requests").join(e, "endpoint_index", "left")
+    diff = F.when(~F.col("endpoint_type").eqNullSafe(F.lit("tuned")), F.col("git_diff"))
+    layout = F.array(F.struct(F.lit("system").alias("role"), F.array("prompt").alias("parts")), F.struct(F.lit("user").alias("role"), F.array("patch", "code", diff).alias("parts")))
+    joined = F.transform(layout, lambda m: F.struct(m["role"].alias("role"), F.array_join(F.filter(m["parts"], lambda p: p != ""), "\n\n").alias("content")))
+    return rows.select("request_id", F.inline(F.filter(joined, lambda m: m["content"] != ""))).withColumn("content", F.md5("content"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?m)^([A-Za-z-]+): [0-9.]+% \([0-9]+/[0-9]+\)', 1) AS names FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, unnest(list_distinct(names)) AS measure, names FROM m)
+  SELECT doc_id, measure, len(list_filter(names, lambda x: x = measure)) = 1 AS single FROM n""")
+def report_singles(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each measure of a report stands there exactly once; a report that repeats one cannot be scraped for it."""
+    names = F.regexp_extract_all("text", F.lit(r"(?m)^([A-Za-z-]+): [0-9.]+% \([0-9]+/[0-9]+\)"), F.lit(1))
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", names.alias("names"))
+    return rows.select("doc_id", "names", F.explode(F.array_distinct("names")).alias("measure")).select("doc_id", "measure", (F.size(F.filter("names", lambda x: x == F.col("measure"))) == 1).alias("single"))

@@ -14,7 +14,7 @@ _LP = "(CASE WHEN NOT isnan(logprob) THEN logprob END)"
 _WRONG = "(NOT coalesce(correct_stripped, false) AND NOT coalesce(error, false))"
 _STATS = ", ".join(
     f"round({_SCORE.format(f'avg({_LP}) FILTER (WHERE {on})')}, 6) AS prob_{c}, round(stddev_pop({_SCORE.format(_LP)}) FILTER (WHERE {on}), 6) AS prob_dev_{c}"
-    for c, on in {"global": "true", "incorrect": _WRONG, "stripped": "correct_stripped", "aligned": "correct_aligned", "correct": "correct"}.items()
+    for c, on in {"global": "true", "incorrect": _WRONG, "stripped": "correct_stripped", "aligned": "correct_aligned", "correct": "correct", "error": "error"}.items()
 )
 
 
