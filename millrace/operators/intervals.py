@@ -109,6 +109,38 @@ def islands(df: DataFrame, key: str, start: str, end: str, gap: int = 0, block:
     return rows.groupBy(key, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
 
 
+def running_max(df: DataFrame, key: str, position: str, order: Sequence[str], value: Column, name: str, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``name``, the greatest ``value`` over the rows of ``key`` before each row by (position, order), in two levels
+    like the sums; null if there is none. No nulls in ``position``."""
+    rows = df.withColumn("_v", value).withColumn("_block", F.floor(F.col(position) / block))
+    before = Window.partitionBy(key, "_block").orderBy(position, *order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    most = rows.groupBy(key, "_block").agg(F.max("_v").alias("_m")).select(key, "_block", F.max("_m").over(blocks).alias("_past"))
+    local = rows.withColumn("_here", F.max("_v").over(before))
+    return _with_block_totals(local, most, key).select(*df.columns, F.greatest("_here", "_past").alias(name))
+
+
+def padded(df: DataFrame, fences: DataFrame, key: str, item: str, start: str, end: str, margin: int) -> DataFrame:
+    """(key, item, start, end): ranges widened by ``margin`` on both sides, but not into the nearest of the ``fences`` of their
+    key that end at or before their start, or start at or after their end; nor below 0.
+
+    The nearest fences are running maxima over sorted bounds, so no pair is built. Ranges and fences have no nulls.
+    """
+    long = lambda c: F.col(c).cast("long")
+    asks = df.select(F.col(key).alias("k"), F.col(item).alias("i"), long(start).alias("s"), long(end).alias("e"))
+    bars = fences.select(F.col(key).alias("k"), long(start).alias("s"), long(end).alias("e"))
+
+    def nearest(ask: Column, bar: Column, name: str) -> DataFrame:
+        none = F.lit(None)
+        events = asks.select("k", "i", ask.alias("x"), F.lit(1).alias("o"), none.cast("long").alias("v")).unionByName(bars.select("k", none.cast(dict(asks.dtypes)["i"]).alias("i"), bar.alias("x"), F.lit(0).alias("o"), bar.alias("v")))
+        return running_max(events, "k", "x", ["o"], F.col("v"), name).where("o = 1").select("i", name)
+
+    low = nearest(F.col("s"), F.col("e"), "low")
+    high = nearest(-F.col("e"), -F.col("s"), "high")
+    met = asks.join(low, "i").join(high, "i")
+    return met.select(F.col("k").alias(key), F.col("i").alias(item), F.greatest(F.col("s") - margin, F.coalesce("low", F.lit(0)), F.lit(0)).alias(start), F.least(F.col("e") + margin, -F.col("high")).alias(end))
+
+
 def overlap_counts(df: DataFrame, others: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
     """(item, overlaps): with how many non-empty ranges of ``others`` with its key each non-empty range properly overlaps.
 

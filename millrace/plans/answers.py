@@ -176,3 +176,45 @@ def primary_fan_out(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "api_requests").select("conflict_id", "endpoint_index").distinct()
     typed = asked.join(e.select("endpoint_index", "endpoint_type"), "endpoint_index")
     return typed.join(e.where("is_primary").select(F.col("endpoint_index").alias("candidate"), "endpoint_type"), "endpoint_type").select("conflict_id", "endpoint_index", "candidate")
+
+
+@query("""WITH p AS (SELECT file_path, local_start, bool_and(commit_type = 'Clean') AS clean FROM answers GROUP BY ALL), a AS (SELECT file_path, local_start, min(answer_id) AS answer_id FROM answers WHERE resolved_version IS NOT NULL AND multi_index = 0 AND beam_index = 0 GROUP BY ALL),
+  j AS (SELECT p.*, answer_id FROM p LEFT JOIN a USING (file_path, local_start)), f AS (SELECT file_path FROM j GROUP BY file_path HAVING NOT bool_or(answer_id IS NULL AND NOT clean))
+  SELECT file_path, local_start, answer_id FROM j SEMI JOIN f USING (file_path) WHERE answer_id IS NOT NULL""")
+def applied_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The first answer of every place, for files in which no place but a clean one lacks an answer; such a one is skipped."""
+    rows = table(spark, folder, "answers")
+    places = rows.groupBy("file_path", "local_start").agg(F.bool_and(F.col("commit_type") == "Clean").alias("clean"))
+    first = consensus.first_answers(rows).where("resolved_version is not null").groupBy("file_path", "local_start").agg(F.min("answer_id").alias("answer_id"))
+    joined = places.join(first, ["file_path", "local_start"], "left")
+    whole = joined.groupBy("file_path").agg(F.bool_or(F.col("answer_id").isNull() & ~F.col("clean")).alias("aborted")).where("not aborted").select("file_path")
+    return joined.where("answer_id is not null").join(whole, "file_path", "left_semi").select("file_path", "local_start", "answer_id")
+
+
+_PLACE = ["file_path", "local_start", "local_end"]
+
+
+@query("""WITH old AS (SELECT file_path, local_start, local_end, answer_id AS reused FROM answers WHERE endpoint_index % 2 = 0), new AS (SELECT * FROM answers WHERE endpoint_index % 2 <> 0)
+  SELECT answer_id, reused, false AS fresh FROM new JOIN old USING (file_path, local_start, local_end) UNION ALL SELECT answer_id, NULL, true FROM new ANTI JOIN old USING (file_path, local_start, local_end)""")
+def reuse_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers at a place that other endpoints have answered take all of their answers; the others are new work."""
+    rows = table(spark, folder, "answers")
+    old = rows.where("endpoint_index % 2 = 0").select(*_PLACE, F.col("answer_id").alias("reused"))
+    new = rows.where("endpoint_index % 2 <> 0").select(*_PLACE, "answer_id")
+    fresh = new.join(old, _PLACE, "left_anti").select("answer_id", F.lit(None).cast("long").alias("reused"), F.lit(True).alias("fresh"))
+    return new.join(old, _PLACE).select("answer_id", "reused", F.lit(False).alias("fresh")).unionByName(fresh)
+
+
+@query("""SELECT endpoint_index, replace(CASE WHEN len(endpoint_name) - len(replace(endpoint_name, '(', '')) = 1 THEN replace(endpoint_name, '(', chr(10) || '(') ELSE endpoint_name END, '+', chr(10) || '+') AS label FROM endpoints""")
+def chart_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Names over several lines: a single bracket and every plus sign start a line."""
+    one = F.regexp_count("endpoint_name", F.lit(r"\(")) == 1
+    broken = F.when(one, F.replace("endpoint_name", F.lit("("), F.lit("\n("))).otherwise(F.col("endpoint_name"))
+    return table(spark, folder, "endpoints").select("endpoint_index", F.replace(broken, F.lit("+"), F.lit("\n+")).alias("label"))
+
+
+@query("""SELECT entry_index, coalesce(code, '') = '' AS missing, CASE WHEN code <> '' THEN md5(CASE WHEN ends_with(code, chr(10)) THEN code ELSE code || chr(10) END) END AS blob FROM test_entries""")
+def blob_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Contents as they are read: an empty one is an error, and a final line end is added where there is none."""
+    whole = F.when(F.col("code").endswith("\n"), F.col("code")).otherwise(F.concat("code", F.lit("\n")))
+    return table(spark, folder, "test_entries").select("entry_index", (F.coalesce("code", F.lit("")) == "").alias("missing"), F.when(F.col("code") != "", F.md5(whole)).alias("blob"))

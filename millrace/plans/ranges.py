@@ -241,3 +241,15 @@ def relocate(spark: SparkSession, folder: str) -> DataFrame:
     """Where the patches of each conflict belong in the code: located by context, extended outward, as one hull."""
     whose = table(spark, folder, "api_requests").select("request_id", "conflict_id")
     return fuzzy.relocated(_framed(spark, folder).join(whose, "request_id"), "request_id", "conflict_id")
+
+
+@query("""WITH r AS (SELECT * FROM answers WHERE commit_type = 'Conflict'), c AS (SELECT * FROM answers WHERE commit_type = 'Clean'),
+  l AS (SELECT r.answer_id, max(c.local_end) AS low FROM r LEFT JOIN c ON c.file_path = r.file_path AND c.local_end <= r.local_start GROUP BY r.answer_id), h AS (SELECT r.answer_id, min(c.local_start) AS high FROM r LEFT JOIN c ON c.file_path = r.file_path AND c.local_start >= r.local_end GROUP BY r.answer_id),
+  p AS (SELECT file_path, answer_id, greatest(local_start - 10, coalesce(low, 0), 0) AS s, least(local_end + 10, high) AS e FROM r JOIN l USING (answer_id) JOIN h USING (answer_id)),
+  o AS (SELECT *, max(e) OVER (PARTITION BY file_path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY file_path ORDER BY s, e ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM o)
+  SELECT file_path, island, min(s) AS first, max(e) AS last, count(*) AS members FROM i GROUP BY file_path, island""")
+def snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """Conflicts with ten lines around them, cut at the clean ranges beside them, and put together where they touch."""
+    rows = _answers(spark, folder)
+    wide = intervals.padded(rows.where("commit_type = 'Conflict'"), rows.where("commit_type = 'Clean'"), "file_path", "answer_id", "local_start", "local_end", 10)
+    return intervals.islands(wide, "file_path", "local_start", "local_end").withColumnsRenamed({"local_start": "first", "local_end": "last"})
