@@ -111,6 +111,15 @@ def entry_diffs(spark: SparkSession, folder: str) -> DataFrame:
     return diffs.line_diffs(table(spark, folder, "test_entries"), "entry_index", "code", "patched_code", n=3)
 
 
+@query(r"""SELECT entry_index, md5(code) AS base, md5(patched_code) AS remote, (length(code) - length(replace(code, chr(10), '')) + (code <> '' AND NOT ends_with(code, chr(10)))::INT)::BIGINT AS base_lines FROM test_entries WHERE patched_code IS NOT NULL AND code <> '' AND patched_code <> ''""")
+def diff_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Both texts of every test case, put together again from the lines of their difference."""
+    rows = table(spark, folder, "test_entries").where("code <> '' and patched_code <> ''")
+    script = diffs.line_script(rows, "entry_index", "code", "patched_code")
+    side = lambda sign: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("sign") != sign, F.struct("pos", "line")))), lambda x: x["line"]), ""))
+    return script.groupBy("entry_index").agg(side("+").alias("base"), side("-").alias("remote"), F.count_if(F.col("sign") != "+").alias("base_lines"))
+
+
 @query("SELECT model, run_day, count(*) AS answers, count_if(correct) AS n_correct, count_if(error) AS n_error FROM results GROUP BY model, run_day")
 def stream_model_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The running counts of a stream over the result files, after its last batch."""
