@@ -85,7 +85,10 @@ def packed(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
 
     # an item and part name a piece, so its worker does not depend on how the files are split; repeated ones are salted
     often = pieces.groupBy("i", "part").agg(F.count("*").alias("n")).where("n > 1")
-    told = pieces.alias("a").join(often.alias("b"), F.col("a.i").eqNullSafe(F.col("b.i")) & (F.col("a.part") == F.col("b.part")), "left").select("a.*", F.when(F.col("n") > 1, F.col("serial")).alias("salt"))
-    spread = told.withColumn("worker", F.pmod(F.xxhash64("i", "part", "salt"), F.lit(workers))).drop("salt")
+    salt = F.lit(None).cast("long")
+    if often.limit(1).count():
+        pieces = pieces.alias("a").join(often.alias("b"), F.col("a.i").eqNullSafe(F.col("b.i")) & (F.col("a.part") == F.col("b.part")), "left").select("a.*", "n")
+        salt = F.when(F.col("n") > 1, F.col("serial"))
+    spread = pieces.withColumn("worker", F.pmod(F.xxhash64("i", "part", salt), F.lit(workers)))
     kind = dict(slim.dtypes)["i"]
     return spread.groupBy("worker").applyInArrow(work, f"i {kind}, part int, start long, size long, container long").withColumnRenamed("i", item)
