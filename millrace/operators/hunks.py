@@ -91,35 +91,37 @@ def parts(df: DataFrame, key: str, patch: str, gap: int) -> DataFrame:
     return out.select(key, "hunk", F.col("part").cast("long").alias("part"), (F.col("b0") + F.col("b1")).alias("base_start"), "base_len", (F.col("r0") + F.col("r1")).alias("remote_start"), "remote_len", F.transform("body", lambda x: x["line"]).alias("body"))
 
 
-def coalesced(pieces: DataFrame, key: str) -> DataFrame:
+def coalesced(pieces: DataFrame, key: str, flag: str | None = None) -> DataFrame:
     """Pieces of a diff put together again where their base ranges overlap in equal unchanged lines.
 
-    (key, base_start, base_len, remote_start, remote_len, body, ok). A piece that overlaps the one before outside of
-    unchanged lines, by different numbers of lines on both sides, or with other text makes ``ok`` false and is not
-    joined; pieces without lines on a side are never joined. Pieces are folded in order of (base_start, remote_start); a
-    diff's pieces are at most as many as its lines.
+    (key, base_start, base_len, remote_start, remote_len, body, ok, and ``flag`` if named). In order of (base_start,
+    remote_start) each piece is compared with the one before: it joins it if both ranges overlap by the same number of
+    lines, all of them unchanged and equal in both, and the flags are equal. A piece that overlaps the one before in any
+    other way makes ``ok`` false and is not joined; pieces without lines on a side are never joined.
+
+    A joined piece ends where the whole ends, and its last lines are the whole's, so the one before is all that matters.
     """
-    fields = "base_start bigint, base_len bigint, remote_start bigint, remote_len bigint, body array<string>, ok boolean"
-    piece = F.struct("base_start", "remote_start", "base_len", "remote_len", "body")
-    ordered = pieces.groupBy(key).agg(F.sort_array(F.collect_list(piece)).alias("p"))
+    order = ["base_start", "remote_start", "base_len", "remote_len", "body"]
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = pieces.select(key, *order, *([flag] if flag else []))
+    near = rows.select("*", F.lag(F.struct(*order, *([flag] if flag else []))).over(w).alias("p"), F.row_number().over(w).alias("at"))
     context = lambda body, rev: F.array_position(F.transform(F.reverse(body) if rev else body, lambda x: ~x.startswith(" ")), True)
     run = lambda body, rev: F.when(context(body, rev) > 0, context(body, rev) - 1).otherwise(F.size(body))
-    made = lambda b, bl, r, rl, body, ok: F.struct(b.alias("base_start"), bl.alias("base_len"), r.alias("remote_start"), rl.alias("remote_len"), body.alias("body"), ok.alias("ok"))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        n = F.greatest(last["base_start"] + last["base_len"] - x["base_start"], F.lit(0)).cast("int")
-        sides = (last["base_len"] > 0) & (last["remote_len"] > 0) & (x["base_len"] > 0) & (x["remote_len"] > 0)
-        meet = sides & ((n > 0) | ((last["remote_start"] < x["remote_start"] + x["remote_len"]) & (x["remote_start"] < last["remote_start"] + last["remote_len"])))
-        fits = (n > 0) & (last["remote_start"] + last["remote_len"] - x["remote_start"] == n) & (n <= run(last["body"], True)) & (n <= run(x["body"], False))
-        equal = F.slice(last["body"], F.greatest(F.size(last["body"]) - n + 1, F.lit(1)), n) == F.slice(x["body"], F.lit(1), n)
-        joined = made(last["base_start"], last["base_len"] + x["base_len"] - n, last["remote_start"], last["remote_len"] + x["remote_len"] - n, F.concat(last["body"], F.slice(x["body"], n + 1, F.size(x["body"]))), last["ok"])
-        alone = made(x["base_start"], x["base_len"], x["remote_start"], x["remote_len"], x["body"], ~meet)
-        first = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when((F.size(done) > 0) & meet & fits & equal, F.concat(first, F.array(joined))).otherwise(F.concat(done, F.array(F.when(F.size(done) > 0, alone).otherwise(made(x["base_start"], x["base_len"], x["remote_start"], x["remote_len"], x["body"], F.lit(True))))))
-
-    folded = ordered.select(key, F.explode(F.aggregate("p", F.array().cast(f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"), step)).alias("h"))
-    return folded.select(key, "h.*")
+    base_end, remote_end = F.col("p.base_start") + F.col("p.base_len"), F.col("p.remote_start") + F.col("p.remote_len")
+    n = F.greatest(base_end - F.col("base_start"), F.lit(0)).cast("int")
+    sides = (F.col("p.base_len") > 0) & (F.col("p.remote_len") > 0) & (F.col("base_len") > 0) & (F.col("remote_len") > 0)
+    meet = sides & ((n > 0) | ((F.col("p.remote_start") < F.col("remote_start") + F.col("remote_len")) & (F.col("remote_start") < remote_end)))
+    fits = (n > 0) & (remote_end - F.col("remote_start") == n) & (n <= run(F.col("p.body"), True)) & (n <= run(F.col("body"), False))
+    equal = F.slice("p.body", F.greatest(F.size("p.body") - n + 1, F.lit(1)), n) == F.slice("body", F.lit(1), n)
+    same = F.col(flag).eqNullSafe(F.col(f"p.{flag}")) if flag else F.lit(True)
+    told = near.withColumn("meet", F.coalesce(meet, F.lit(False))).withColumn("joins", F.col("meet") & F.coalesce(fits & equal & same, F.lit(False))).withColumn("n", F.when(F.col("joins"), n).otherwise(0))
+    grouped = told.withColumn("whole", F.sum((~F.col("joins")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = lambda c: F.min_by(c, "at")
+    body = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", F.slice("body", F.col("n") + 1, F.size("body")).alias("lines")))), lambda x: x["lines"]))
+    out = grouped.groupBy(key, "whole").agg(
+        first("base_start").alias("base_start"), F.sum(F.col("base_len") - F.col("n")).alias("base_len"), first("remote_start").alias("remote_start"), F.sum(F.col("remote_len") - F.col("n")).alias("remote_len"), body.alias("body"), first(~F.col("meet")).alias("ok"), *([first(flag).alias(flag)] if flag else [])
+    )
+    return out.drop("whole")
 
 
 def rendered(start: Column, length: Column, remote_start: Column, remote_length: Column, body: Column) -> Column:

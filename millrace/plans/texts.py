@@ -209,6 +209,14 @@ def hunk_coalesce(spark: SparkSession, folder: str) -> DataFrame:
     return hunks.coalesced(pieces, "entry_index").withColumn("body", F.md5(F.array_join("body", "\n")))
 
 
+@query(rf"""WITH {_PARTS}, d AS (SELECT DISTINCT entry_index, hunk, part > 1 AS late, pos, line, bb, rb FROM w)
+  SELECT entry_index, late, (b0 + min(bb))::BIGINT AS base_start, sum((line[1] <> '+')::INT)::BIGINT AS base_len, (r0 + min(rb))::BIGINT AS remote_start, sum((line[1] <> '-')::INT)::BIGINT AS remote_len, md5(string_agg(line, chr(10) ORDER BY pos)) AS body, NOT late AS ok FROM d JOIN s USING (entry_index, hunk) GROUP BY entry_index, hunk, late, b0, r0""")
+def hunk_coalesce_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts put together again, but the first of a hunk apart from the later ones, which have another flag."""
+    pieces = hunks.parts(table(spark, folder, "test_entries").where("patch is not null"), "entry_index", "patch", 2)
+    return hunks.coalesced(pieces.withColumn("late", F.col("part") > 1), "entry_index", "late").withColumn("body", F.md5(F.array_join("body", "\n")))
+
+
 @query(rf"""WITH {_PARTS}, q AS (SELECT entry_index, b0, sum((line[1] <> '+')::INT)::BIGINT AS bl, r0, sum((line[1] <> '-')::INT)::BIGINT AS rl, string_agg(line, chr(10) ORDER BY pos) AS body FROM x JOIN s USING (entry_index, hunk) GROUP BY entry_index, hunk, b0, r0)
   SELECT entry_index, md5('@@ -' || b0 || CASE WHEN bl = 1 THEN '' ELSE ',' || bl END || ' +' || r0 || CASE WHEN rl = 1 THEN '' ELSE ',' || rl END || ' @@' || chr(10) || body || chr(10)) AS rendered FROM q""")
 def hunk_render(spark: SparkSession, folder: str) -> DataFrame:

@@ -301,3 +301,13 @@ def test_first_containing(spark):
     got = {r["s"]: r["i"] for r in contain.first_containing(df, "i", "t", spark.createDataFrame([(n,) for n in needles * 2], "s string"), "s").collect()}
     assert got == {n: min((i for i, t in texts if t and n in t), default=None) for n in needles if n}
     assert contain.first_containing(df.limit(0), "i", "t", df.select("t"), "t").where("i is not null").count() == 0
+
+
+def test_coalescing_keeps_pieces_with_other_flags_apart(spark):
+    schema = "id long, base_start long, base_len long, remote_start long, remote_len long, body array<string>, clean boolean"
+    piece = lambda i, at, clean: (i, at, 3, at, 3, [f" {at}", f"-{at + 1}", f"+n{at + 1}", f" {at + 2}"], clean)
+    rows = [piece(1, 1, True), piece(1, 3, True), piece(1, 5, False), piece(1, 7, False), piece(2, 1, None), piece(2, 3, None)]
+    got = {}
+    for r in hunks.coalesced(spark.createDataFrame(rows, schema), "id", "clean").collect():
+        got.setdefault(r["id"], []).append((r["base_start"], r["base_len"], r["remote_len"], len(r["body"]), r["ok"], r["clean"]))
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(1, 5, 5, 7, True, True), (5, 5, 5, 7, False, False)], 2: [(1, 5, 5, 7, True, None)]}
