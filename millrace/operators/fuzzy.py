@@ -5,8 +5,14 @@ All candidates of one record are elements of its arrays, so the search is a map
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
+
+
+#: Bounds up to which the nearest window is looked for before the whole bound.
+STEPS = (0.1, 0.3)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -56,21 +62,109 @@ def located_range(rows: DataFrame, item: str, lines: str, head: str, tail: str,
     return found.select(item, F.when(near, F.when(free, F.col("a.position")).otherwise(F.col("pair.head"))).alias("first"), F.when(near, F.when(free, F.col("b.position")).otherwise(F.col("pair.tail"))).alias("last"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: an expression inside a higher-order function is else computed for every
+    element and every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _windows(lines: Column, context: Column, anchored: bool, tail: bool) -> tuple[Column, Column]:
+    """The texts of the windows by start, and the context's text."""
+    ls, c = (F.reverse(lines), F.reverse(context)) if tail else (lines, context)
+    n = F.size(c)
+    starts = F.when((n > 0) & (F.size(ls) >= n), F.sequence(F.lit(0), F.size(ls) - n)).otherwise(F.array().cast("array<int>"))
+    windows = bound(ls, lambda xs: F.transform(starts, lambda i: F.array_join(F.slice(xs, i + 1, F.size(xs) - i if anchored else n), "")))
+    return windows, F.array_join(c, "")
+
+
+def _scores(windows: Column, wanted: Column, most: float | Column) -> Column:
+    def score(x: Column, w: Column) -> Column:
+        longest = F.greatest(F.length(x), F.length(w), F.lit(1))
+        # the bounded distance is -1 beyond its bound
+        bounded = F.call_function("levenshtein", x, w, F.floor(F.lit(most) * longest + 1e-9).cast("int"))
+        far = F.abs(F.length(x) - F.length(w)) > F.lit(most) * longest
+        near = bound(bounded, lambda d: F.when(d < 0, F.lit(float("inf"))).otherwise(d / longest))
+        return F.when(x == w, F.lit(0.0)).when(far, F.lit(float("inf"))).otherwise(near)
+
+    return bound(wanted, lambda w: F.transform(windows, lambda x: score(x, w)))
+
+
 def window_scores(lines: Column, context: Column, most: float | Column = 1.0, anchored: bool = False, tail: bool = False) -> Column:
     """The distance of ``context`` to each window of as many elements, by start; anchored windows reach to the last element.
 
-    Windows whose length alone puts them above ``most`` count as infinitely far.
+    Windows above ``most`` count as infinitely far; their distance is followed no further than that.
 
     For a tail both are taken in reverse order, so windows are numbered from the end and anchored ones reach to the first
     element. No element for an empty context, or one longer than the lines.
     """
-    ls, c = (F.reverse(lines), F.reverse(context)) if tail else (lines, context)
-    n = F.size(c)
-    starts = F.when((n > 0) & (F.size(ls) >= n), F.sequence(F.lit(0), F.size(ls) - n)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(ls, i + 1, F.size(ls) - i if anchored else n), ""))
-    wanted = F.array_join(c, "")
-    far = lambda x: F.abs(F.length(x) - F.length(wanted)) / F.greatest(F.length(x), F.length(wanted), F.lit(1)) > most
-    return F.transform(windows, lambda x: F.when(far(x), F.lit(float("inf"))).otherwise(distance(x, wanted)))
+    return _scores(*_windows(lines, context, anchored, tail), most)
+
+
+def suffix_distances(text: str, wanted: str, longest: int) -> list[int]:
+    """The edit distance of ``wanted`` to the last j characters of ``text``, for j = 0 to ``longest``.
+
+    The columns of the distance table are taken from the end of the text on, each as two sets of bits for its steps up and
+    down (bit-parallel), so a column costs a few operations on whole numbers.
+    """
+    m = len(wanted)
+    every, top = (1 << m) - 1, 1 << m >> 1
+    at: dict[str, int] = {}
+    for i, x in enumerate(reversed(wanted)):
+        at[x] = at.get(x, 0) | 1 << i
+    up, down, score, out = every, 0, m, [m]
+    for x in reversed(text[max(0, len(text) - longest) :]):
+        eq = at.get(x, 0)
+        right = (((eq & up) + up) ^ up) | eq
+        more, less = down | (every & ~(right | up)), up & right
+        score += bool(more & top) - bool(less & top) if m else 1
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        vertical = eq | down
+        up, down = less | (every & ~(vertical | more)), more & vertical
+        out.append(score)
+    return out
+
+
+def _first_nearest(lines: list[str] | None, context: list[str] | None, most: float) -> int | None:
+    if not lines or not context or len(lines) < len(context):
+        return None
+    wanted, text = "".join(context), "".join(lines)
+    # beyond this length the difference in length alone is above the bound
+    far = int(len(wanted) / (1 - most)) + 1 if most < 1 else len(text)
+    distances = suffix_distances(text, wanted, far)
+    best, left = None, len(text)
+    for i in range(len(lines) - len(context) + 1):
+        if left < len(distances):
+            score = distances[left] / max(left, len(wanted), 1)
+            if score <= most and (best is None or score < best[0]):
+                best = (score, i)
+        left -= len(lines[i])
+    return best[1] if best else None
+
+
+@F.arrow_udf(IntegerType())
+def _nearest_suffix(lines: pa.Array, context: pa.Array, most: pa.Array) -> pa.Array:
+    """The first start of the end of ``lines`` that is nearest to ``context``, within ``most``."""
+    return pa.array([_first_nearest(*row) for row in zip(lines.to_pylist(), context.to_pylist(), most.to_pylist(), strict=True)], pa.int32())
+
+
+def nearest_window(lines: Column, context: Column, most: float | Column = 1.0, anchored: bool = False, tail: bool = False) -> Column:
+    """The first start of the least score of :func:`window_scores` that is at most ``most``; null if there is none.
+
+    The first window that equals the context is nearest. Else distances are followed up to ``STEPS`` one after the other: the
+    least one within a step is the least of all, and the cost of a distance grows with its bound. Anchored windows are ends of
+    one text, so one pass over it gives the distances of all (:func:`suffix_distances`).
+    """
+    if anchored:
+        ls, c = (F.reverse(lines), F.reverse(context)) if tail else (lines, context)
+        return _nearest_suffix(ls, c, F.lit(most).cast("double")).cast("long")
+    windows, wanted = _windows(lines, context, False, tail)
+
+    def search(ws: Column) -> Column:
+        equal = F.array_position(ws, wanted)
+        found = [bound(_scores(ws, wanted, F.least(F.lit(step), F.lit(most)) if step else most), lambda scores: best_start(scores, most)) for step in (*STEPS, None)]
+        return F.when(equal > 0, equal - 1).otherwise(F.coalesce(*found))
+
+    return bound(windows, search)
 
 
 def best_start(scores: Column, most: float | Column) -> Column:
@@ -85,9 +179,9 @@ def bounded_pair(heads: Column, tails: Column, n: Column, least: Column, longest
     tail of equals. Only scores within ``most`` are paired.
     """
     placed = lambda scores, off: F.filter(F.transform(scores, lambda x, i: F.struct(x.alias("d"), (i + off).cast("long").alias("at"))), lambda v: v["d"] <= most)
-    ends, starts = placed(heads, n), placed(tails, F.lit(0))
-    fits = lambda a: F.filter(starts, lambda b: (b["at"] >= a["at"] + least) & (b["at"] <= a["at"] + longest))
-    return F.array_min(F.flatten(F.transform(ends, lambda a: F.transform(fits(a), lambda b: F.struct((a["d"] + b["d"]).alias("sum"), a["at"].alias("head"), b["at"].alias("tail"))))))
+    fits = lambda a, starts: F.filter(starts, lambda b: (b["at"] >= a["at"] + least) & (b["at"] <= a["at"] + longest))
+    pairs = lambda starts: F.transform(placed(heads, n), lambda a: F.transform(fits(a, starts), lambda b: F.struct((a["d"] + b["d"]).alias("sum"), a["at"].alias("head"), b["at"].alias("tail"))))
+    return F.array_min(F.flatten(bound(placed(tails, F.lit(0)), pairs)))
 
 
 def context_range(rows: DataFrame, item: str, most: float | Column, factor: int = 100) -> DataFrame:
@@ -98,9 +192,15 @@ def context_range(rows: DataFrame, item: str, most: float | Column, factor: int
     the greater times ``factor``. Null if a context is empty or not found, or if no pair fits.
     """
     sizes = F.size("base").cast("long"), F.size("remote").cast("long")
-    scored = rows.where(F.greatest(*sizes) > 0).select(item, F.size("lines").alias("size"), F.size("head").alias("n"), F.size("tail").alias("m"), F.floor(F.least(*sizes) / factor).alias("least"), (F.greatest(*sizes) * factor).alias("longest"), F.lit(most).alias("most"), window_scores(F.col("lines"), F.col("head"), most).alias("h"), window_scores(F.col("lines"), F.col("tail"), most, tail=True).alias("t"))
-    found = scored.select("*", (best_start(F.col("h"), F.col("most")) + F.col("n")).alias("a"), (F.col("size") - best_start(F.col("t"), F.col("most")) - F.col("m")).alias("b"))
-    paired = found.select("*", F.when(F.col("a") > F.col("b"), bounded_pair(F.col("h"), F.reverse("t"), F.col("n"), F.col("least"), F.col("longest"), F.col("most"))).alias("pair"))
+    n, m, size = F.size("head"), F.size("tail"), F.size("lines")
+    ends = rows.where(F.greatest(*sizes) > 0).select(
+        item, "lines", "head", "tail", F.floor(F.least(*sizes) / factor).alias("least"), (F.greatest(*sizes) * factor).alias("longest"), F.lit(most).alias("most"),
+        (nearest_window(F.col("lines"), F.col("head"), most) + n).alias("a"), (size - nearest_window(F.col("lines"), F.col("tail"), most, tail=True) - m).alias("b"),
+    )
+    # all distances are needed only where the two searches cross
+    scores = lambda c, tail: window_scores(F.col("lines"), F.col(c), F.col("most"), tail=tail)
+    crossed = F.when(F.col("a") > F.col("b"), bounded_pair(scores("head", False), F.reverse(scores("tail", True)), n, F.col("least"), F.col("longest"), F.col("most")))
+    paired = ends.select(item, "a", "b", crossed.alias("pair"))
     return paired.select(item, F.when(F.col("a") <= F.col("b"), F.col("a")).otherwise(F.col("pair.head")).alias("first"), F.when(F.col("a") <= F.col("b"), F.col("b")).otherwise(F.col("pair.tail")).alias("last"))
 
 
@@ -115,13 +215,10 @@ def relocated(rows: DataFrame, item: str, group: str, caps: tuple[float, float]
     """
     most = F.when(F.size("base") == 0, caps[1]).otherwise(caps[0])
     ranged = context_range(rows, item, most)
-    ha, ta = window_scores(F.col("lines"), F.col("head"), most, anchored=True), window_scores(F.col("lines"), F.col("tail"), most, anchored=True, tail=True)
-    b, r = window_scores(F.col("lines"), F.col("base"), side_caps[0]), window_scores(F.col("lines"), F.col("remote"), side_caps[1])
-    sizes = [F.size(c).alias(f"n_{c}") for c in ("lines", "head", "tail", "base", "remote")]
-    scored = rows.select(item, group, most.alias("most"), *sizes, ha.alias("ha"), ta.alias("ta"), b.alias("b"), r.alias("r"))
-    ends = scored.select(
-        item, group, (best_start(F.col("ha"), F.col("most")) + F.col("n_head")).alias("out_first"), (F.col("n_lines") - best_start(F.col("ta"), F.col("most")) - F.col("n_tail")).alias("out_last"),
-        F.coalesce(best_start(F.col("b"), side_caps[0]) + F.col("n_base"), best_start(F.col("r"), side_caps[1]) + F.col("n_remote")).alias("side_end"),
+    at = lambda c, cap, **kw: nearest_window(F.col("lines"), F.col(c), cap, **kw)
+    ends = rows.select(
+        item, group, (at("head", most, anchored=True) + F.size("head")).alias("out_first"), (F.size("lines") - at("tail", most, anchored=True, tail=True) - F.size("tail")).alias("out_last"),
+        F.coalesce(at("base", side_caps[0]) + F.size("base"), at("remote", side_caps[1]) + F.size("remote")).alias("side_end"),
     )
     met = ends.join(ranged, item, "left")
     last = F.greatest("last", "out_last")

@@ -210,13 +210,12 @@ _START = "CASE WHEN list_min({0}) <= {1} THEN list_position({0}, list_min({0}))
 def context_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Ends of the windows nearest to the leading context and starts of those nearest to the trailing one, free and anchored,
     and the end of the base lines or, if they are not there, of the remote lines."""
-    win = lambda c, most=0.75, **kw: fuzzy.window_scores(F.col("lines"), F.col(c), most, **kw)
-    kinds = {"h": win("head"), "t": win("tail", tail=True), "ha": win("head", anchored=True), "ta": win("tail", anchored=True, tail=True), "b": win("base", 0.1), "r": win("remote", 0.05)}
-    s = _framed(spark, folder).select("request_id", *(F.size(c).alias(f"n_{c}") for c in ("lines", "head", "tail", "base", "remote")), *(v.alias(k) for k, v in kinds.items()))
-    end = lambda c, n, most: fuzzy.best_start(F.col(c), most) + F.col(n)
-    start = lambda c: F.col("n_lines") - fuzzy.best_start(F.col(c), 0.75) - F.col("n_tail")
-    side = F.coalesce(end("b", "n_base", 0.1), end("r", "n_remote", 0.05))
-    return s.select("request_id", end("h", "n_head", 0.75).alias("head"), start("t").alias("tail"), end("ha", "n_head", 0.75).alias("head_anchored"), start("ta").alias("tail_anchored"), side.alias("side_end"))
+    at = lambda c, most=0.75, **kw: fuzzy.nearest_window(F.col("lines"), F.col(c), most, **kw)
+    end = lambda c, most=0.75, **kw: at(c, most, **kw) + F.size(c)
+    start = lambda **kw: F.size("lines") - at("tail", tail=True, **kw) - F.size("tail")
+    side = F.coalesce(end("base", 0.1), end("remote", 0.05))
+    found = _framed(spark, folder).select("request_id", end("head").alias("h"), start().alias("t"), end("head", anchored=True).alias("head_anchored"), start(anchored=True).alias("tail_anchored"), side.alias("side_end"))
+    return found.withColumnsRenamed({"h": "head", "t": "tail"})
 
 
 @query(f"""WITH {_FRAMED}, s AS (SELECT request_id, len(lines) AS size, len(head) AS n, len(tail) AS m, least(len(base), len(remote)) // 100 AS least_gap, greatest(len(base), len(remote)) * 100 AS most_gap, {_windows('head')} AS h, {_windows('tail', tail=True)} AS t FROM w WHERE greatest(len(base), len(remote)) > 0),

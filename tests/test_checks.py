@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from millrace.functions import nested
@@ -85,3 +87,19 @@ def test_alignment_is_longest(spark):
     got = {r["i"]: r["diff"] for r in diffs.line_diffs(df, "i", "a", "b", n=1).collect()}
     assert got[1] == "@@ -1,2 +1,2 @@\n a\n-b\n\\ No newline at end of file\n+b\n" and got[2] is None and got[3] == "@@ -0,0 +1 @@\n+q\n\\ No newline at end of file\n"
     assert diffs.line_script(df, "i", "a", "b").where(F.col("sign") == " ").count() == 1
+
+
+def test_suffix_distances():
+    rng = random.Random(2)
+    for _ in range(200):
+        text, wanted = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in range(2))
+        got = fuzzy.suffix_distances(text, wanted, 20)
+        for j, d in enumerate(got):
+            end = text[len(text) - j :]
+            row = list(range(len(wanted) + 1))
+            for i, x in enumerate(end, 1):
+                prev, row = row, [i]
+                for k, y in enumerate(wanted, 1):
+                    row.append(min(prev[k] + 1, row[k - 1] + 1, prev[k - 1] + (x != y)))
+            assert d == row[-1]
+        assert len(got) == len(text) + 1
